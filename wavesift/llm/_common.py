@@ -18,15 +18,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    Only where that is unset (tests on one machine) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wavesift-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -103,15 +103,15 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the copies; all columns stay. Rows are matched by (doc_id, digest)."""
-    kept = (
-        exact_dedup(docs, counters)
-        .filter("kept")
-        .select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    )
-    own = docs.withColumn("_sha", F.sha2(text_or_empty(), 256))
-    joined = own.join(kept, own["doc_id"].eqNullSafe(kept["_keep_id"]) & (own["_sha"] == kept["_keep_sha"]), "left_semi")
-    return joined.drop("_sha")
+    """``docs`` with one row of each text; all columns stay.
+
+    The texts meet the ids that stay under one key of digest and id, and rows
+    that repeat under it are dropped without another shuffle.
+    """
+    key = lambda sha, doc_id: F.concat_ws(":", sha, doc_id.cast("string"))
+    kept = exact_dedup(docs, counters).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("_key"))
+    own = docs.withColumn("_key", key(F.sha2(text_or_empty(), 256), F.col("doc_id")))
+    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.llm import bpe, exact_dedup, packing, quality_rules, simhash_dedup, url_filter
+from wavesift.llm import bpe, exact_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
 
 _QUERIES = {
     f.__name__: f
     for f in (
+        secret_scan.op1_secret_scan,
         packing.op3_packing,
+        quality_classifier.op4_quality,
         simhash_dedup.op5_simhash,
         exact_dedup.op6_exact_dedup,
         bpe.op7_bpe,
