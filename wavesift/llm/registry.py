@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.llm import bpe, exact_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
+from wavesift.llm import bpe, exact_dedup, licence_scan, packing, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
 
 _QUERIES = {
     f.__name__: f
     for f in (
         secret_scan.op1_secret_scan,
+        licence_scan.op2_licence_scan,
         packing.op3_packing,
         quality_classifier.op4_quality,
         simhash_dedup.op5_simhash,
         exact_dedup.op6_exact_dedup,
         bpe.op7_bpe,
+        pii.op8_pii,
         quality_rules.op9_quality_rules,
         url_filter.op10_url_filters,
     )
@@ -29,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licence_scan": licence_scan.oracle(),
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_url_filters": url_filter.OP10_SQL,
