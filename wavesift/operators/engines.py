@@ -513,7 +513,8 @@ class SequentialEngine(Engine):
 
     def domain(self):
         side = max(1, round(math.sqrt(self.domains)))
-        h, w = self.state.obj.shape[-2:]
+        n = self.state.probe.shape[-1]
+        h, w = (s - n + 1 for s in self.state.obj.shape[-2:])
         i = F.least(F.floor(F.col("r0") * side / h), F.lit(side - 1))
         j = F.least(F.floor(F.col("c0") * side / w), F.lit(side - 1))
         return F.lit(0).cast("long") if self.domains == 1 else (i * side + j).cast("long")

@@ -13,6 +13,8 @@ def block_sizes(n: int, ranks: int, load: Sequence[int] | None = None) -> list[i
     load = list(load or [0] * ranks)
     total = sum(load) + n
     free = [r for r in range(ranks) if total > load[r] * ranks]
+    if not free:  # nothing to deal
+        return [0] * ranks
     goal = sum(load[r] for r in free) + n
     parts = [divmod(goal - load[r] * len(free), len(free)) for r in free]
     sizes = [p for p, _ in parts]
