@@ -23,8 +23,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import WHITE_SPACE, table, text_or_empty
-from wavesift.llm.unit_encoder import UNIT, unit_encoder
+from wavesift.llm._common import table, text_or_empty
+from wavesift.llm.unit_encoder import UNIT, byte_letters, unit_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 4096
@@ -33,13 +33,6 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _TEXTS = ", ids binary, decoded string"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id; ids without a token have none."""
@@ -192,8 +185,10 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
     schema = DIGESTS + (_TEXTS if with_texts else "")
     names = [f.split()[0] for f in schema.split(", ")]
     own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    # A run of more than `leaf` characters without white space, looked for from its start only.
-    long_unit = (F.length("text") > leaf) & F.col("text").rlike(f"(?:^|[{WHITE_SPACE}])[^{WHITE_SPACE}]{{{leaf}}}")
+    # A unit of more than `leaf` characters holds one of the aligned blocks of half that length, and no space is in it.
+    half = leaf // 2
+    blocks = F.sequence(F.lit(0), F.floor(F.length("text") / half).cast("int") - 1)
+    long_unit = (F.length("text") > leaf) & F.exists(blocks, lambda k: F.instr(F.substring(F.col("text"), k * half + 1, F.lit(half)), " ") == 0)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = public_tokenizers.path(tokenizer)

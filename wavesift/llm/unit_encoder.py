@@ -1,13 +1,16 @@
-"""Encoding by units of text that a tokenizer never merges across.
+"""Encoders that give the tokenizers library's ids of whole texts, fast.
 
 A unit is a run of white space and the run of other characters after it. Both
 tokenizers here split text before each unit, whatever stands around it, so the
-ids of a text are those of its units in a row. Units repeat a great deal, so
-the ids of short ones are kept.
+ids of a text are those of its units in a row, and units repeat a great deal.
+Texts of Latin-1 characters, whose classes all Unicode versions agree on, take
+shorter ways to the same ids: the byte-level vocabulary through tiktoken with
+the same merges.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -18,9 +21,36 @@ from wavesift.llm._common import WHITE_SPACE
 
 UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
-#: Units of up to this many characters are kept; all are forgotten beyond this many units.
+#: Strings of up to this many characters are kept, at most twice this many of them.
 SHORT = 48
-KEPT = 300_000
+KEPT = 250_000
+
+
+class Recent(dict):
+    """What ``make`` gives for a key. When full, what was not asked for since the last time is forgotten."""
+
+    def __init__(self, make, most: int = KEPT):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= SHORT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class UnitEncoder:
@@ -33,26 +63,52 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[str, bytes] = {}
+        self.units = Recent(lambda u: np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes())
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+class ByteEncoder(UnitEncoder):
+    """Byte-level vocabularies whose ids are in the order of their merges."""
+
+    def __init__(self, path: str, spec: dict, pattern: str, ranks: dict[bytes, int]):
+        super().__init__(path)
+        import tiktoken
+
+        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.direct = tiktoken.Encoding("same-merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
     def encode(self, text: str) -> bytes:
-        units, kept = UNIT.findall(text), self.kept
-        out = list(map(kept.get, units))
-        if None in out:
-            new = list(dict.fromkeys(u for u, ids in zip(units, out, strict=True) if ids is None))
-            own = dict(zip(new, self.encode_units(new), strict=True))
-            out = [own[u] if ids is None else ids for u, ids in zip(units, out, strict=True)]
-            if len(kept) + len(own) > KEPT:
-                kept.clear()
-            kept.update((u, ids) for u, ids in own.items() if len(u) <= SHORT)
-        return b"".join(out)
+        if is_latin_1(text):
+            return self.direct.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        return super().encode(text)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each token by id, where ids follow the order of merges: only then do ranks say the same as merges."""
+    model, letters = spec["model"], byte_letters()
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if model.get("end_of_word_suffix") or [vocab.get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
 
 
 @lru_cache(maxsize=2)
 def unit_encoder(path: str) -> UnitEncoder:
-    """One encoder for each worker process and vocabulary."""
+    """The fastest encoder that is exact for the vocabulary; one for each worker process."""
+    import public_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and (ranks := merge_ranks(spec)):
+        return ByteEncoder(path, spec, public_tokenizers.PATTERN, ranks)
     return UnitEncoder(path)
