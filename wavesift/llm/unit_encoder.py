@@ -5,7 +5,7 @@ tokenizers here split text before each unit, whatever stands around it, so the
 ids of a text are those of its units in a row, and units repeat a great deal.
 Texts of Latin-1 characters, whose classes all Unicode versions agree on, take
 shorter ways to the same ids: the byte-level vocabulary through tiktoken with
-the same merges.
+the same merges, the word vocabulary through its pieces.
 """
 
 from __future__ import annotations
@@ -85,6 +85,31 @@ class ByteEncoder(UnitEncoder):
         return super().encode(text)
 
 
+#: Fixed value: how the word vocabulary cuts normalised text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"  # of Latin-1 in lower case
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\\t-\\r \\x85\\xa0]+")
+
+
+class WordEncoder(UnitEncoder):
+    """The word vocabulary: lower case, pieces of letters, single numbers and runs of signs."""
+
+    def __init__(self, path: str, letters: dict[int, str]):
+        super().__init__(path)
+        self.letters, self.model = letters, self.tokenizer.model
+        self.pieces = Recent(self._piece)
+        self.words = Recent(lambda u: b"".join(map(self.pieces.__getitem__, _PIECE.findall(u))))
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text or not is_latin_1(text):  # the start of a special token's name
+            return super().encode(text)
+        return b"".join(map(self.words.__getitem__, text.lower().split(" ")))
+
+
 def byte_letters() -> dict[str, int]:
     """The letter of each byte in byte-level vocabularies: printable ones stand for themselves, the rest follow from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -111,4 +136,8 @@ def unit_encoder(path: str) -> UnitEncoder:
     pre = spec["pre_tokenizer"] or {}
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and (ranks := merge_ranks(spec)):
         return ByteEncoder(path, spec, public_tokenizers.PATTERN, ranks)
+    cut = pre.get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if cut == WORD_PATTERN and kinds == ["NFC", "Replace", "Lowercase"] and all(t["content"].startswith("<|") for t in spec["added_tokens"]):
+        return WordEncoder(path, {b: c for c, b in byte_letters().items()})
     return UnitEncoder(path)
