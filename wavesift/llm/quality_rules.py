@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import ASCII_SPACE, table, text_or_empty
+from wavesift.llm._common import table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+#: A power of two: windows are hashed by doubling.
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -23,7 +24,7 @@ LINE_PERCENT = 2
 #: A document is rejected if less than this share of its words is left.
 LEFT_PERCENT = 50
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACES, _VISIBLE, _UNEVEN = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[\x09-\x0D]|\x20\x20"
 
 
 def _let(value: Column, body) -> Column:
@@ -33,7 +34,7 @@ def _let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of anything but space and tab to carriage return."""
-    return F.filter(F.split(F.translate(text, ASCII_SPACE, " " * len(ASCII_SPACE)), " "), lambda w: w != "")
+    return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
 def _covered(hashes: Column) -> Column:
@@ -47,42 +48,47 @@ def _covered(hashes: Column) -> Column:
         after = F.concat(F.slice(a, F.lit(2), n - 1), none)
         first = F.zip_with(a, before, lambda x, p: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.coalesce(x["h"] == p["h"], F.lit(False)).alias("again")))
         both = F.zip_with(first, after, lambda x, q: F.when(x["again"] | F.coalesce(x["h"] == q["h"], F.lit(False)), x["i"]))
-        return F.array_sort(F.filter(both, lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(both, lambda i: i.isNotNull()))
 
     def union(s: Column) -> Column:
         after = F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.lit(None).cast("int")))
         gaps = F.zip_with(s, after, lambda x, y: F.least(F.lit(WINDOW), F.coalesce(y - x, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g.cast("long"))
 
-    indexed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    indexed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return _let(_let(indexed, starts), union)
 
 
 def repeat_words(ws: Column) -> Column:
     """Words in WINDOW-word windows that the text has twice or more, the first included."""
 
-    def of(hashed: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(hashed) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashed, i, F.lit(WINDOW))))
+    def doubled(h: Column, width: int) -> Column:
+        """Hashes of twice the width: each with the one ``width`` places on. The last ones are of cut windows."""
+        return F.zip_with(h, F.slice(h, F.lit(width + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    def of(h1: Column) -> Column:
+        h8 = _let(_let(doubled(h1, 1), lambda h2: doubled(h2, 2)), lambda h4: doubled(h4, 4))
+        windows = F.slice(h8, F.lit(1), F.size(h1) - (WINDOW - 1))
         return _let(windows, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0).cast("long")).otherwise(_covered(v)))
 
     return F.when(F.size(ws) <= WINDOW, F.lit(0).cast("long")).otherwise(_let(F.transform(ws, lambda w: F.xxhash64(w)), of))
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    """The base counts of one text, each a Column."""
-    visible = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, ASCII_SPACE, "")) > 0)
+def text_features(text: Column, ws: Column) -> dict[str, Column]:
+    """The base counts of one text and its words, each a Column."""
+    visible = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(_VISIBLE)))
     return {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.translate(text, ASCII_SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(ws).cast("long"),
+        "word_chars": F.length(F.array_join(ws, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": _let(visible, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long"),
-        "n_repeat_words": repeat_words(words(text)),
+        "n_repeat_words": repeat_words(ws),
     }
 
 
 def normal_line(line: Column) -> Column:
-    """A-Z in lower case, space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+", " "))
+    """Space runs as one space, none at the ends; ``line`` is in lower case already."""
+    return F.trim(F.when(F.rlike(line, F.lit(_UNEVEN)), F.regexp_replace(line, _SPACES, " ")).otherwise(line))
 
 
 def quality_rules(
@@ -104,12 +110,15 @@ def quality_rules(
     """
     own = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty().alias("text"))
     own = own.withColumn("text_id", F.xxhash64("text"))
-    base = own.select("doc_id", "host", "text_id", *[c.alias(n) for n, c in text_features(F.col("text")).items()])
+    # Words are a column of their own: several counts use them, so the optimiser does not compute them again for each.
+    base = own.withColumn("ws", words(F.col("text"))).select(
+        "doc_id", "host", "text_id", *[c.alias(n) for n, c in text_features(F.col("text"), F.col("ws")).items()]
+    )
 
-    lines = own.select("doc_id", "host", "text_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = own.select("doc_id", "host", "text_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
     lines = lines.withColumn("line", normal_line(F.col("line"))).filter("line != ''").select(
         "doc_id", "host", "text_id", "at", F.xxhash64("line").alias("line_id"),
-        (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("line_words"),
+        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("line_words"),
     )
     in_host = own.select("host", "text_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     frequent = (
@@ -144,7 +153,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-_WS = r"[\x20\x09-\x0D]+"
+_WS = _SPACES
 
 OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -154,7 +163,7 @@ dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win)
 rep AS (SELECT rid, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW})))::BIGINT AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM dup) GROUP BY rid),
 ln0 AS (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS raw FROM d),
 dl AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM ln0 WHERE regexp_replace(raw, '{_WS}', '', 'g') <> '' GROUP BY rid),
-ln AS (SELECT rid, host, text, trim(regexp_replace(translate(raw, '{_UPPER}', '{_UPPER.lower()}'), '{_WS}', ' ', 'g'), ' ') AS line FROM ln0),
+ln AS (SELECT rid, host, text, trim(regexp_replace(lower(raw), '{_WS}', ' ', 'g'), ' ') AS line FROM ln0),
 fr AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS texts FROM ln WHERE line <> '' GROUP BY host, line)
     JOIN (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY host) USING (host) WHERE texts > {LINE_TEXTS} AND texts * 100 > host_texts * {LINE_PERCENT}),
 rm AS (SELECT rid, sum(len(string_split(line, ' ')))::BIGINT AS n FROM ln JOIN fr USING (host, line) GROUP BY rid),
