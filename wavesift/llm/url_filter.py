@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table
+from wavesift.llm._common import materialise, table
 
 #: (verdict, host, path) of the contract.
 RULES = (
@@ -94,7 +94,8 @@ def host_reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) ->
 
     ``bad`` is 1, 0 or null (not labelled). Hosts without labels get their parent's prior.
     """
-    hosts = with_domain(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k")))
+    # Written once: levels, strengths and rates are all made from it.
+    hosts = materialise(with_domain(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))))
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains, suffixes = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
     total = hosts.agg(*sums).first()
