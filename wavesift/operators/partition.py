@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,10 +71,16 @@ def tile(x: Column, y: Column, n: int) -> Column:
 
 def normalised(df: DataFrame, columns: Sequence[str], border: float = 0.01) -> DataFrame:
     """Adds n_<column>: scaled to [0, 1) with a border on either side."""
-    ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    out = df.join(F.broadcast(ends))  # one row
+    out = df
     for c in columns:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        width = hi - lo
-        out = out.withColumn(f"n_{c}", (F.col(c) - (lo - border * width)) / (width * (1 + 2 * border)))
-    return out.drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
+        lo, hi = df.agg(F.min(c)).scalar(), df.agg(F.max(c)).scalar()
+        out = out.withColumn(f"n_{c}", (F.col(c) - (lo - border * (hi - lo))) / ((hi - lo) * (1 + 2 * border)))
+    return out
+
+
+def region(x: Column, y: Column, n: int, how: str = "rect") -> Column:
+    """One of ``n`` parts of the unit square: tiles, slices of angle about the middle, rows or columns."""
+    if how == "rect":
+        return tile(x, y, n)
+    along = {"angle": (F.atan2(y - 0.5, x - 0.5) / (2 * math.pi)) + 0.5, "row": y, "column": x}[how]
+    return F.least(F.floor(along * n), F.lit(n - 1)).cast("long")

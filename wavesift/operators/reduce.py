@@ -48,8 +48,8 @@ def rebin_mean(df: DataFrame, keys: Sequence[str], axes: dict[str, int], value:
 def rebin_mask(df: DataFrame, keys: Sequence[str], axes: dict[str, int], mask: str) -> DataFrame:
     """A block is valid only where its mean is the largest mean of all blocks."""
     means = rebin_mean(df.withColumn(mask, F.col(mask).cast("double")), keys, axes, mask)
-    top = means.agg(F.max(mask).alias("_top"))
-    return means.join(F.broadcast(top)).withColumn(mask, F.col(mask) == F.col("_top")).drop("_top")  # one row
+    top = means.agg(F.max(mask)).scalar()
+    return means.withColumn(mask, F.col(mask) == top)
 
 
 def hdr_highest(df: DataFrame, keys: Sequence[str], image: Column, exposure: Column, valid: Column) -> DataFrame:

@@ -58,10 +58,10 @@ def dark_flat(raw: Column, dark: Column, flat: Column) -> Column:
 
 def norm_gate(df: DataFrame, value: str, reference: str, k: float) -> DataFrame:
     """value / reference x mean where the reference is within k standard deviations of its mean, else value."""
-    stats = df.agg(F.avg(reference).alias("_mu"), F.stddev_pop(reference).alias("_sd"))
-    inside = F.abs(F.col(reference) - F.col("_mu")) < k * F.col("_sd")
-    out = F.when(inside, F.col(value) / F.col(reference) * F.col("_mu")).otherwise(F.col(value))
-    return df.join(F.broadcast(stats)).withColumn("normalised", out).withColumn("in_gate", inside).drop("_mu", "_sd")  # one row
+    mu, sd = df.agg(F.avg(reference)).scalar(), df.agg(F.stddev_pop(reference)).scalar()
+    inside = F.abs(F.col(reference) - mu) < k * sd
+    out = F.when(inside, F.col(value) / F.col(reference) * mu).otherwise(F.col(value))
+    return df.withColumn("normalised", out).withColumn("in_gate", inside)
 
 
 def scan_subset(index: Column, skip: int, box: dict[str, tuple[Column, float, float]]) -> Column:
@@ -104,3 +104,19 @@ def upsample(df: DataFrame, keys: Sequence[str], axes: Sequence[str], value: str
     for a in axes:
         out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn(a, F.col(a) * factor + F.col("_k")).drop("_k")
     return out.withColumn(value, F.col(value) / factor ** len(axes)).select(*keys, *axes, value)
+
+
+def read_view(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], row: str = "r", col: str = "c") -> DataFrame:
+    """The part of a long image inside a window, ends exclusive, in the window's own indices."""
+    inside = F.col(row).between(rows[0], rows[1] - 1) & F.col(col).between(cols[0], cols[1] - 1)
+    return pixels.filter(inside).withColumn(row, F.col(row) - rows[0]).withColumn(col, F.col(col) - cols[0])
+
+
+def write_view(pixels: DataFrame, patch: DataFrame, at: tuple[int, int], keys: Sequence[str], value: str, row: str = "r", col: str = "c") -> DataFrame:
+    """``pixels`` with the values of a patch laid over them at (row, col); what falls outside is cut off."""
+    new = patch.select(*keys, (F.col(row) + at[0]).alias(row), (F.col(col) + at[1]).alias(col), F.col(value).alias("_new"))
+    return pixels.join(new, [*keys, row, col], "left").withColumn(value, F.coalesce("_new", F.col(value))).drop("_new")
+
+
+def mirror(index: Column, size: int) -> Column:
+    return size - 1 - index

@@ -63,7 +63,7 @@ def remove_hot_pixels(df: DataFrame, keys: Sequence[str], row: str, col: str, va
     )
     local = sent.groupBy(*keys, row, col).agg(F.median("_v").alias("median"), F.max("_own").alias(value)).filter(F.col(value).isNotNull())
     spread = local.groupBy(*keys).agg(F.stddev_pop(F.col(value) - F.col("median")).alias("_sd"))
-    joined = local.join(spread, list(keys)) if keys else local.join(F.broadcast(spread))  # one row without keys
+    joined = local.join(spread, list(keys)) if keys else local.withColumn("_sd", spread.scalar())
     hot = F.abs(F.col(value) - F.col("median")) > tolerance * F.col("_sd")
     return joined.withColumn("hot", hot).withColumn("fixed", F.when(F.col("hot"), F.col("median")).otherwise(F.col(value))).drop("_sd")
 
@@ -83,5 +83,5 @@ def remove_phase_ramp(df: DataFrame, keys: Sequence[str], row: str, col: str, re
     mean = lambda g: F.sum(F.col(g) * F.col("_w")) / F.sum(F.when(F.col(g).isNotNull(), F.col("_w")))
     ramp = with_steps.groupBy(*keys).agg(F.coalesce(mean("_gr"), F.lit(0.0)).alias("_mr"), F.coalesce(mean("_gc"), F.lit(0.0)).alias("_mc"))
     phi = F.col("_mr") * F.col(row) + F.col("_mc") * F.col(col)
-    joined = df.join(ramp, list(keys)) if keys else df.join(F.broadcast(ramp))
+    joined = df.join(ramp, list(keys)) if keys else df.withColumn("_mr", ramp.select("_mr").scalar()).withColumn("_mc", ramp.select("_mc").scalar())
     return joined.withColumn("out_re", F.col(re) * F.cos(phi) + F.col(im) * F.sin(phi)).withColumn("out_im", F.col(im) * F.cos(phi) - F.col(re) * F.sin(phi)).drop("_mr", "_mc")

@@ -83,7 +83,7 @@ _RADII = (500.0, 1000.0, 2000.0, 4000.0, 8000.0)
 @query("SELECT radius, round(sum(CASE WHEN abs(s_acctbal - mu) < radius THEN abs(s_acctbal) ELSE 0 END), 2) AS mass FROM supplier, (SELECT avg(s_acctbal) AS mu FROM supplier), (VALUES " + ", ".join(f"({r}::DOUBLE)" for r in _RADII) + ") v(radius) GROUP BY radius")
 def radial_distribution(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
-    s = s.join(F.broadcast(s.agg(F.avg("s_acctbal").alias("mu"))))  # one row
+    s = s.withColumn("mu", s.agg(F.avg("s_acctbal")).scalar())
     return rounded(reduce.radial_distribution(s, F.abs("s_acctbal"), F.abs(F.col("s_acctbal") - F.col("mu")), _RADII), 2, "mass")
 
 
@@ -106,9 +106,10 @@ def hdr_highest(spark, sf_dir):
     return rounded(reduce.hdr_highest(images, ["l_orderkey"], F.col("p"), F.col("l_linenumber"), F.col("p") < 60000), 4, "hdr")
 
 
-@query("SELECT l_orderkey, round(avg(CASE WHEN l_extendedprice < 50000 THEN l_extendedprice / l_linenumber END), 1) AS hdr FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, round(avg(CASE WHEN l_extendedprice < 50000 THEN l_extendedprice / l_linenumber END) + 1e-7, 4) AS hdr FROM lineitem GROUP BY l_orderkey")
 def hdr_average(spark, sf_dir):
-    return rounded(reduce.hdr_average(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_extendedprice") < 50000), 1, "hdr")
+    h = reduce.hdr_average(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_extendedprice"), F.col("l_linenumber"), F.col("l_extendedprice") < 50000)
+    return rounded(h.withColumn("hdr", F.col("hdr") + 1e-7), 4, "hdr")  # prices end in cents: no ties
 
 
 # ---- stencils ---------------------------------------------------------------

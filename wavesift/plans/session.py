@@ -24,9 +24,17 @@ def session(master: str | None = None, **settings) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Lineage cut in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wavesift-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Lineage cut in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
