@@ -1,8 +1,8 @@
 """Personal details replaced with keyed surrogates.
 
 Detected entities are mail addresses, phone numbers, IPv4 addresses, card
-numbers, other personal numbers, and names (after a title, or a known given
-name with a family name). A surrogate depends on the key and the entity alone,
+numbers, other personal numbers, and names (after a title or a phrase such as
+"my name is", or a known given name with a family name). A surrogate depends on the key and the entity alone,
 so an entity is the same person everywhere in the corpus. Formats are permuted
 one to one; names come from finite lists, so within a document a surrogate that
 is taken, or that is an entity of the document, is passed over.
@@ -40,6 +40,9 @@ TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra",
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_CAP})(?: ({_CAP}))?(?: ({_CAP}))?")
+#: Phrases that say a name comes next.
+CUES = ("my name is", "My name is", "Name:", "name:", "Dear", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
+CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)}) ({_CAP}(?: {_CAP}){{0,2}})")
 NAMED = re.compile(rf"(?<!\w)({'|'.join(sorted(S.GENDER_OF, key=len, reverse=True))}) ({_CAP})")
 
 
@@ -53,6 +56,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             found += [(*m.span(), kind, "") for m in pattern.finditer(text)]
     for m in TITLED.finditer(text):
         found.append((m.start(2), m.end(), "name", _GENDER[m[1]]))
+    for m in CUED.finditer(text):
+        found.append((m.start(1), m.end(), "name", S.GENDER_OF.get(m[1].split(" ")[0], ("", ""))[1]))
     for m in NAMED.finditer(text):
         found.append((m.start(1), m.end(), "name", S.GENDER_OF[m[1]][1]))
     order = {k: i for i, k in enumerate(PRECEDENCE)}
