@@ -47,3 +47,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run", str(tmp_path / "p.json"), str(tmp_path / "out"), "--set", "engines.engine00.numiter=1"]) == 0
     assert cli.main(["inspect", str(tmp_path / "out")]) == 0
     assert "container" in capsys.readouterr().out
+
+
+def test_bragg_volume(spark):
+    from wavesift.functions import generate
+    from wavesift.operators import bragg
+    from wavesift.operators.engines import State
+
+    obj = np.zeros((4, 20, 20), complex)
+    obj[1:3] = generate.flower((20, 20))
+    probe = np.repeat(generate.moon(10, 1e5)[None], 4, axis=0)
+    frames = bragg.bragg_scan(spark, probe, obj, [(r, c) for r in range(0, 11, 3) for c in range(0, 11, 3)]).persist()
+    e = bragg.BraggDM(frames, State(probe, np.full(obj.shape, 0.5 + 0j)), probe_update_start=99, support=bragg.BraggSupport(coefficient=0.0))
+    e.run(4)
+    assert e.log[-1]["err_fourier"] < e.log[0]["err_fourier"]
+    same = bragg.BraggDM(frames, State(probe, obj.copy()), probe_update_start=99)
+    same.run(1)
+    assert same.log[0]["err_fourier"] < 1e-3 * e.log[0]["err_fourier"]
+
+
+def test_autosave_and_description(spark, tmp_path):
+    from wavesift.operators.engines import AP, State
+    from wavesift.sources import files
+    from wavesift.streaming.progress import Progress, autosave
+
+    frames, probe, obj = moonflower(spark, 9, 16, 0.3)
+    AP(frames, State(probe[None].astype(complex), np.ones((1, *obj.shape), complex)), numiter=2, after=autosave(str(tmp_path / "a"), 2)).run()
+    parts = {r["part"] for r in files.describe(spark, str(tmp_path / "a")).collect()}
+    assert parts == {"content", "iter_info", "params"}
+    assert files.run_paths("/x/", "r", "DM", 7)["result"] == "/x/r/result_DM_0007"
+    assert Progress().table(spark).count() == 0

@@ -205,7 +205,7 @@ class ProjectionEngine(Engine):
     def prepare(self) -> None:
         def power(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame({"p": [float((a * m).sum()) for _, _, _, a, m in map(frame_arrays, pdf.itertuples())]})
+                yield pd.DataFrame({"p": [float((np.frombuffer(a, "<f4") * np.frombuffer(m, np.uint8)).sum()) for a, m in zip(pdf["intensity"], pdf["mask"], strict=True)]})
 
         s = self.frames.mapInPandas(power, "p double").agg(F.max("p").alias("top"), F.avg("p").alias("mean"), F.count(F.lit(1)).alias("n")).first()
         npix = self.state.probe.shape[-1] ** 2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.functions.propagate import Geometry
-from wavesift.operators import lowrank  # noqa: F401  registers its engines
+from wavesift.operators import bragg, lowrank  # noqa: F401  register their engines
 from wavesift.operators import posref
 from wavesift.operators.engines import ENGINES, State, by_name
 from wavesift.plans.demo_tables import read
@@ -39,7 +39,22 @@ def _engine(name: str) -> None:
 
 
 for _name in ENGINES:
-    _engine(_name)
+    if _name != "DM_3dBragg":  # volumes have a query of their own
+        _engine(_name)
+
+
+def engine_dm_3dbragg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rocking curves of a thin layer, thinned by its support."""
+    obj = np.zeros((6, 24, 24), complex)
+    obj[2:4] = generate.flower((24, 24))
+    probe = np.repeat(generate.moon(12, 1e5)[None], 6, axis=0)
+    frames = bragg.bragg_scan(spark, probe, obj, [(r, c) for r in range(0, 13, 4) for c in range(0, 13, 4)]).persist()
+    e = bragg.BraggDM(frames, State(probe, np.full(obj.shape, 0.5 + 0j)), numiter=3, probe_update_start=99, support=bragg.BraggSupport())
+    e.run()
+    return e.iter_info().drop("duration")
+
+
+QUERIES["engine_dm_3dbragg"] = engine_dm_3dbragg
 
 
 def _posref(method: str) -> None:

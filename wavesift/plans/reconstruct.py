@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.operators import lowrank  # noqa: F401  registers its engines
+from wavesift.operators import bragg, lowrank  # noqa: F401  register their engines
 from wavesift.operators.engines import State, by_name
 from wavesift.plans.params import Param, as_param, engine_schema
 from wavesift.sources import files

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,3 +169,23 @@ def read_hdf5(spark: SparkSession, path: str, intensity: str, slow: str, fast: s
                 yield pd.DataFrame(rows, columns=["frame_idx", "r0", "c0", "n", "intensity", "mask"])
 
     return index.mapInPandas(run, FRAMES)
+
+
+def describe(spark: SparkSession, path: str) -> DataFrame:
+    """part, column and type of everything a result or a frame table holds."""
+    rows = []
+    for part in ("content", "iter_info", "params", ""):
+        try:
+            df = spark.read.parquet(f"{path}/{part}".rstrip("/"))
+        except AnalysisException:
+            continue
+        rows += [(part or "table", name, kind) for name, kind in df.dtypes]
+        if part == "params":
+            break
+    return spark.createDataFrame(rows, "part string, column string, type string")
+
+
+def run_paths(home: str, run: str, engine: str = "", iterations: int = 0) -> dict[str, str]:
+    """Where a run keeps its results, its autosaves and its frames."""
+    base = f"{home.rstrip('/')}/{run}"
+    return {"result": f"{base}/result_{engine}_{iterations:04d}", "autosave": f"{base}/autosave", "frames": f"{base}/frames"}
