@@ -101,3 +101,22 @@ def test_run_from_parameters(spark, tmp_path):
         Reconstruction(spark, {"engines": {"a": {"numiter": 0}}}, level=1)
     with pytest.raises(KeyError):
         engines.by_name("nothing")
+
+
+def test_scatter_add_on_the_small_grid(spark):
+    """Four positions, two probe and two object modes: the sums are known whole numbers."""
+    from wavesift.operators.scatter import scatter_add
+
+    n, sums, rows = 5, engines.TileSums(), []
+    for p, (y, x) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)]):
+        for pm in range(2):
+            probe, wave = np.full((n, n), (pm + 1) * (1 + 1j)), np.full((n, n), (4 * p + 2 * pm + 1) * (1 + 1j))  # object mode 0
+            num, den = np.conj(probe) * wave, np.abs(probe) ** 2
+            sums.add_patch(y, x, num, den)
+            rows += [(y + r, x + c, float(num[r, c].real), float(den[r, c])) for r in range(n) for c in range(n)]
+    num, den = engines.object_sums({k: (a.ravel(), b.ravel()) for k, (a, b) in sums.parts.items()}, (7, 7))
+    assert (num[0].real + 1).tolist() == [15, 53, 53, 53, 53, 39, 1]
+    assert np.allclose(den[0] + 2, [12, 22, 22, 22, 22, 12, 2])
+    long = scatter_add(spark.createDataFrame(rows, "r int, c int, num double, den double"), ["r", "c"], num=F.col("num"), den=F.col("den"))
+    for row in long.collect():
+        assert row["num"] == pytest.approx(num[row["r"], row["c"]].real) and row["den"] == pytest.approx(den[row["r"], row["c"]])
