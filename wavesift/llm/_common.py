@@ -18,6 +18,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Bytes that Python workers get at a time: their memory then depends neither on row counts nor on text lengths.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are limited to BATCH_BYTES (lower limits stay)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, "67108864b").rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import small_batches, table, text_or_empty
 from wavesift.llm.unit_encoder import UNIT, byte_letters, unit_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -184,7 +184,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
     """
     schema = DIGESTS + (_TEXTS if with_texts else "")
     names = [f.split()[0] for f in schema.split(", ")]
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     # A unit of more than `leaf` characters holds one of the aligned blocks of half that length, and no space is in it.
     half = leaf // 2
     blocks = F.sequence(F.lit(0), F.floor(F.length("text") / half).cast("int") - 1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm._common import materialise, table, text_or_empty
+from wavesift.llm._common import materialise, small_batches, table, text_or_empty
 from wavesift.llm.unit_encoder import unit_encoder
 
 WINDOW = 4096
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     schema = T.StructType([*PIECES.fields, *([_IDS] if with_ids else [])])
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     # Written once: ranks within a task must not change if a task runs again.
     pieces = materialise(own.mapInPandas(cut_documents(encode_with_end(tokenizer, end_id), window, with_ids), schema))
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

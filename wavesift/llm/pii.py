@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.llm import surrogates as S
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import small_batches, table, text_or_empty
 
 KEY = b"wavesift surrogate key"
 KINDS = ("email", "phone", "ip", "card", "number", "name")
@@ -150,7 +150,7 @@ def surrogate_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 rows.append((doc_id, *(kinds.count(k) for k in KINDS), collisions, where, new, hashlib.sha256(new.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

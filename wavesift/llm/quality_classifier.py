@@ -21,7 +21,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import small_batches, table, text_or_empty
 
 #: Bounds of the training sample: rows of each label, and characters of a text that may be in it.
 SAMPLE_ROWS = 2000
@@ -156,14 +156,14 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
     Columns: doc_id, held_out, score, predicted.
     """
-    return docs.select("doc_id", held_out().alias("held_out"), score_column(model, text_or_empty()).alias("score")).withColumn(
+    return small_batches(docs).select("doc_id", held_out().alias("held_out"), score_column(model, text_or_empty()).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
 
 
 def drop_bad(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score below the threshold; all columns stay."""
-    return docs.filter(score_column(model, text_or_empty()) >= threshold)
+    return small_batches(docs).filter(score_column(model, text_or_empty()) >= threshold)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import small_batches, table, text_or_empty
 from wavesift.llm.secret_findings import findings
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -242,7 +242,7 @@ def secret_scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 rows.append((doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
 
 
 def redacted_column(text: Column, net: Network | None = None) -> Column:
@@ -260,7 +260,7 @@ def redacted_column(text: Column, net: Network | None = None) -> Column:
 
 def redact_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """``docs`` with secrets replaced; all rows and columns stay. Where ``n_chars`` exists it follows the text."""
-    out = docs.withColumn("text", redacted_column(text_or_empty(), net))
+    out = small_batches(docs).withColumn("text", redacted_column(text_or_empty(), net))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import materialise, table, text_or_empty
+from wavesift.llm._common import materialise, small_batches, table, text_or_empty
 
 SHINGLE = 3
 BITS = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
 
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return own.mapInPandas(run, "doc_id long, fp long")
 
 

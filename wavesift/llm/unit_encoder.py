@@ -23,7 +23,7 @@ UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 #: Strings of up to this many characters are kept, at most twice this many of them.
 SHORT = 48
-KEPT = 250_000
+KEPT = 100_000
 
 
 class Recent(dict):
@@ -97,7 +97,7 @@ class WordEncoder(UnitEncoder):
     def __init__(self, path: str, letters: dict[int, str]):
         super().__init__(path)
         self.letters, self.model = letters, self.tokenizer.model
-        self.pieces = Recent(self._piece)
+        self.pieces = Recent(self._piece, 3 * KEPT // 2)
         self.words = Recent(lambda u: b"".join(map(self.pieces.__getitem__, _PIECE.findall(u))))
 
     def _piece(self, piece: str) -> bytes:
