@@ -1,6 +1,6 @@
 """Secret scan: exact base patterns, and a character CNN over every candidate.
 
-Candidates are all key-like runs of a text. A convolutional network in numpy
+Candidates are what the base patterns find and all other key-like runs of a text. A convolutional network in numpy
 reads each with its surroundings (in windows, where it is long) and is trained
 on labelled findings. Its scores are calibrated on findings it has not seen, and
 the threshold is the largest that still finds the wanted share of their secrets.
@@ -184,22 +184,39 @@ def candidates(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int
     return out
 
 
-def scan_texts(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
-    """All spans (start, end, kind) of each text, in order."""
+def scored_texts(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]], int]]:
+    """All spans (start, end, kind) of each text in order, and how many base spans the network confirms.
+
+    The network reads every candidate, base spans (of assignments the value) as
+    well as others: base spans stay whatever it says, others only if it agrees.
+    """
     found, codes, owners = [], [], []
     for i, text in enumerate(texts):
         runs = [m.span() for m in RUN.finditer(text)]
         base = base_spans(text, runs)
         found.append(base)
+        for a, b, kind in base:
+            own = windows(text, ASSIGN.match(text, a).start(2) if kind == 0 else a, b)
+            codes += own
+            owners += [(i, (a, b), kind)] * len(own)
         for span in candidates(text, runs, base):
             own = windows(text, *span)
             codes += own
-            owners += [(i, span)] * len(own)
+            owners += [(i, span, 3)] * len(own)
+    confirmed = [0] * len(texts)
     if codes:
         scores = 1 / (1 + np.exp(-np.clip(net.scale * logits(np.stack(codes), net.weights) + net.shift, -30, 30)))
-        for (i, (a, b)) in dict.fromkeys(o for o, s in zip(owners, scores, strict=True) if s >= net.threshold):
-            found[i] = [*found[i], (a, b, 3)]
-    return [sorted(s, key=lambda x: (x[0], x[2])) for s in found]
+        for i, (a, b), kind in dict.fromkeys(o for o, s in zip(owners, scores, strict=True) if s >= net.threshold):
+            if kind < 3:
+                confirmed[i] += 1
+            else:
+                found[i] = [*found[i], (a, b, 3)]
+    return [(sorted(s, key=lambda x: (x[0], x[2])), n) for s, n in zip(found, confirmed, strict=True)]
+
+
+def scan_texts(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
+    """All spans (start, end, kind) of each text, in order."""
+    return [spans for spans, _ in scored_texts(texts, net)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -219,7 +236,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string"
+RESULT = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, n_confirmed long, base_sha256 string, spans string"
 
 
 def secret_scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -229,17 +246,18 @@ def secret_scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
     empty table none; other columns are ignored. Base spans of different kinds
     may overlap; the network adds spans only where there is no base span.
 
-    Columns: doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans.
+    Columns: doc_id, n_assign, n_access, n_hex, n_model, n_confirmed (base spans
+    that the network confirms), base_sha256, spans.
     """
     net = net or network()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, spans in zip(pdf["doc_id"], scan_texts(pdf["text"].tolist(), net), strict=True):
+            for doc_id, (spans, confirmed) in zip(pdf["doc_id"], scored_texts(pdf["text"].tolist(), net), strict=True):
                 kinds = [k for _, _, k in spans]
                 base = joined([s for s in spans if s[2] < 3])
-                rows.append((doc_id, *(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
+                rows.append((doc_id, *(kinds.count(k) for k in range(4)), confirmed, hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
