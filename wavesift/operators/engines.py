@@ -25,6 +25,8 @@ from wavesift.functions.special import gaussian_filter, shift_zoom
 from wavesift.plans.session import checkpoint
 
 TILE = 256
+#: Sums of up to this many tasks are added at once.
+FAN_IN = 16
 SUMS = "what string, i int, j int, num binary, den binary"
 ENGINES: dict[str, type] = {}
 
@@ -98,9 +100,11 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def collect_sums(parts: DataFrame) -> dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]]:
-    """Task sums added by key in two levels; the driver gets one row for each tile or array."""
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    first = salted.groupBy("what", "i", "j", "salt").applyInPandas(lambda p: _add_up(p.drop(columns="salt")), SUMS)
+    """Task sums added by key, in two levels where there are many tasks; the driver gets one row for each tile or array."""
+    first = parts
+    if parts.rdd.getNumPartitions() > FAN_IN:
+        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+        first = salted.groupBy("what", "i", "j", "salt").applyInPandas(lambda p: _add_up(p.drop(columns="salt")), SUMS)
     return {
         (r["what"], r["i"], r["j"]): (np.frombuffer(r["num"], "<c16"), np.frombuffer(r["den"], "<f8"))
         for r in first.groupBy("what", "i", "j").applyInPandas(_add_up, SUMS).collect()
