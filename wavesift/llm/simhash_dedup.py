@@ -27,6 +27,8 @@ SHINGLE = 3
 BITS = 3
 SEED = 42
 BYTES = 8
+#: Tasks that the edges of one node of the component graph are dealt to.
+SALTS = 16
 #: Fingerprints of one key that a task compares with one another at most, twice this for two blocks.
 BLOCK = 2048
 
@@ -154,6 +156,13 @@ def links(nodes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     return pairs.filter("u != v").distinct()
 
 
+def salted(edges: DataFrame, least: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``edges`` with ``least`` of their u. A hub's edges are dealt to ``salts`` tasks, each with a copy of its least."""
+    own = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return own.join(copies.hint("merge"), ["u", "salt"]).drop("salt")  # never by broadcast: nodes grow with the input
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v): the smallest node v that each linked node u > v reaches.
 
@@ -166,9 +175,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = salted(large, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialise(small.select("e.u", "e.v").filter("u != v").distinct())
         now = edges.agg(*size).first()
         if now == before:
