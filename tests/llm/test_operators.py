@@ -403,6 +403,10 @@ def test_surrogates_are_one_to_one():
     for (script, gender), names in S.GIVEN.items():
         mapped = [S.given_name(n, "", key) for n in names]
         assert sorted(mapped) == sorted(names), (script, gender)
+    families = [f"{a}{b}{c}er" for a in "BDFGHK" for b in "aeiou" for c in ("l", "rn", "ss", "ñ")] + S.FAMILY["latin"]
+    mapped = [S.family_name(n, key) for n in families]
+    assert len(set(mapped)) == len(set(families)) and all(m[0].isupper() for m in mapped)
+    assert S.script_of(S.family_name("Достоевский", key)) == "cyrillic"
 
 
 def test_pii(docs, nothing):

@@ -3,9 +3,10 @@
 Detected entities are mail addresses, phone numbers, IPv4 addresses, card
 numbers, other personal numbers, and names (after a title or a phrase such as
 "my name is", or a known given name with a family name). A surrogate depends on the key and the entity alone,
-so an entity is the same person everywhere in the corpus. Formats are permuted
-one to one; names come from finite lists, so within a document a surrogate that
-is taken, or that is an entity of the document, is passed over.
+so an entity is the same person everywhere in the corpus. Formats and sound
+patterns are permuted one to one; given names that only a title tells the gender
+of come from finite lists. Within a document a surrogate that is taken, or that
+is an entity of the document, is passed over.
 """
 
 from __future__ import annotations

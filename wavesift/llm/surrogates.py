@@ -2,8 +2,8 @@
 
 Strings of digits and letters are permuted within their own format by a keyed
 Feistel network with cycle walking, so different details of a format always get
-different surrogates and the same detail always gets the same one. Names come
-from lists of the same gender and script.
+different surrogates and the same detail always gets the same one. Family names
+keep their script and sound pattern, given names their gender and script.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _RADIX = {c: a for a in (LOWER, UPPER, DIGITS) for c in a}
+#: Letters that take one another's places in names: what is spoken stays speakable, and in its script.
+_SPOKEN = {c: a for a in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ") for c in a}
 
 #: Common given names by (script, gender), and family names by script.
 GIVEN = {
@@ -46,9 +48,9 @@ def permute(x: int, n: int, key: bytes, tweak: str, fits: Callable[[int], bool]
             return x
 
 
-def same_format(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda _: True) -> str:
-    """Letters and digits permuted within their class; all else stays. The format is part of the tweak."""
-    sets = [_RADIX.get(c) for c in text]
+def same_format(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda _: True, classes: dict[str, str] = _RADIX) -> str:
+    """Characters permuted within their class; all else stays. The format is part of the tweak."""
+    sets = [classes.get(c) for c in text]
     n, x = 1, 0
     for c, s in zip(text, sets, strict=True):
         if s:
@@ -118,27 +120,41 @@ def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
-def _from_list(word: str, names: list[str], key: bytes, tweak: str, attempt: int) -> str:
-    """A listed name goes to another place of the list one to one, any other to a place by its hash."""
-    n = len(names)
-    if word in names:
-        place = permute(names.index(word), n, key, tweak)
-    else:
-        place = _round(key, f"{tweak}|{word}", 0, 0, 32) % n
-    return names[(place + attempt) % n]
+def _listed(word: str, names: list[str], key: bytes, tweak: str, attempt: int) -> str:
+    """Another place of the list, one to one."""
+    return names[(permute(names.index(word), len(names), key, tweak) + attempt) % len(names)]
+
+
+def spoken(word: str, key: bytes, tweak: str, taken: frozenset[str], attempt: int = 0) -> str:
+    """Vowels for vowels and consonants for consonants, capitals where they were; one to one, and never a listed name."""
+    small = word.lower()
+    capital = lambda x: "".join(c.upper() if w.isupper() else c for c, w in zip(x, word, strict=True))
+    for _ in range(attempt + 1):
+        small = same_format(small, key, tweak, lambda x: capital(x) not in taken, _SPOKEN)
+    return capital(small)
+
+
+_FAMILY_NAMES = {script: frozenset(names) for script, names in FAMILY.items()}
+_GIVEN_NAMES = frozenset(GENDER_OF)
 
 
 def given_name(word: str, gender: str, key: bytes, attempt: int = 0) -> str:
-    """Of the same script and, where it is known, gender."""
-    script = script_of(word)
-    script, gender = GENDER_OF.get(word, (script, gender))
-    names = GIVEN[script, gender] if gender in ("f", "m") else GIVEN[script, "f"] + GIVEN[script, "m"]
-    return _case(word, _from_list(word, names, key, f"given|{script}|{gender}", attempt))
+    """A listed name becomes one of its gender and script. Others keep their script, and a known gender picks from its list."""
+    if word in GENDER_OF:
+        script, gender = GENDER_OF[word]
+        return _listed(word, GIVEN[script, gender], key, f"given|{script}|{gender}", attempt)
+    if gender in ("f", "m"):
+        names = GIVEN[script_of(word), gender]
+        return _case(word, names[(_round(key, f"given|{gender}|{word}", 0, 0, 32) + attempt) % len(names)])
+    return spoken(word, key, "given", _GIVEN_NAMES, attempt)
 
 
 def family_name(word: str, key: bytes, attempt: int = 0) -> str:
+    """A listed name becomes a listed one, any other a name of the same sound pattern: both one to one."""
     script = script_of(word)
-    return _case(word, _from_list(word, FAMILY[script], key, f"family|{script}", attempt))
+    if word in _FAMILY_NAMES[script]:
+        return _listed(word, FAMILY[script], key, f"family|{script}", attempt)
+    return spoken(word, key, "family", _FAMILY_NAMES[script], attempt)
 
 
 def _case(word: str, name: str) -> str:
