@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 #: Strings of up to this many characters are kept, at most twice this many of them.
 SHORT = 48
-KEPT = 100_000
+KEPT = 150_000
 
 
 class Recent(dict):
@@ -102,7 +103,8 @@ class WordEncoder(UnitEncoder):
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not is_latin_1(text):  # the start of a special token's name
