@@ -5,7 +5,9 @@ regression over word n-grams. Its weights are whole numbers (thousandths), so
 that sums are exact on any engine, and few: they come from the template list
 and are joined in by broadcast. A family is predicted where its log-odds
 against the unknown class pass a calibrated margin, and confirmed where the
-paragraph holds most word trigrams of one of the family's templates.
+paragraph holds most word trigrams of one of the family's templates. Paragraphs
+are single lines; notices that are wrapped over several lines are looked for
+beside them, in what blank lines bound.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavesift.llm._common import table, text_or_empty
@@ -27,9 +29,15 @@ FAMILIES = (*TEMPLATES, UNKNOWN)
 STEMS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "rights reserved", "permission is hereby")
 #: A template is confirmed by this share of its trigrams, in percent.
 CONFIRM_PERCENT = 70
+#: What parts the blocks in which wrapped notices are looked for: lines without letters a-z and digits, comment marks included.
+BLANK_LINES = r"\n[^A-Za-z0-9]*\n"
 #: The margin lets through at most this share of unseen paragraphs of the unknown class.
 FALSE_SHARE = 0.002
 
+WORD_STEMS = "|".join(STEMS)
+#: Blocks without any of these are not read for wrapped notices.
+GATE = WORD_STEMS
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DROP = r"[^a-z0-9]+"
 
@@ -136,6 +144,71 @@ def joined(ws: Column, n: int) -> Column:
     return F.filter(out, lambda g: g.isNotNull())
 
 
+def _has(stems: str, text: Column) -> Column:
+    return F.rlike(F.translate(text, _UPPER, _UPPER.lower()), F.lit(stems))
+
+
+def _scored(paragraphs: DataFrame, key: list[str], model: Model) -> DataFrame:
+    """(*key, odds, family) of rows with words ``ws``."""
+    # At most one row for each gram: bounded by licence_texts.
+    weights = paragraphs.sparkSession.createDataFrame([(g, [*map(int, ws)]) for g, ws in model.weights], "gram string, w array<bigint>")
+    one_two = F.array_distinct(F.concat("ws", joined(F.col("ws"), 2)))
+    sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0))).alias(f"s{k}") for k in range(len(FAMILIES))]
+    scored = (
+        paragraphs.select(*key, F.explode(one_two).alias("gram"))
+        .join(F.broadcast(weights), "gram", "left")
+        .groupBy(*key).agg(*sums)
+    )
+    z = [F.col(f"s{k}") + F.lit(model.bias[k]) for k in range(len(FAMILIES))]
+    best = F.greatest(*z[:-1])
+    family = F.coalesce(*[F.when(c == best, F.lit(name)) for c, name in zip(z[:-1], FAMILIES, strict=False)])
+    scored = scored.select(*key, family.alias("best"), (best - z[-1]).alias("odds"))
+    return scored.withColumn("family", F.when(F.col("odds") >= model.margin, F.col("best")).otherwise(UNKNOWN)).drop("best")
+
+
+def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Families that a block between blank lines confirms where no line with a licence word does.
+
+    Trigrams run over line ends here. A notice is a stretch of at most twice the
+    words of a template that holds CONFIRM_PERCENT of its trigrams; the best stretch
+    for each block and template is scored. Lines with a licence word that hold as much
+    by themselves are left to licence_paragraphs.
+
+    Columns: doc_id, row, paragraph (number of the block), family, odds, confirmed (true).
+    """
+    model = model or fit()
+    templates = docs.sparkSession.createDataFrame(template_trigrams(), "template int, known string, of int, gram string")
+    lines = F.transform(F.split("block", "\n"), lambda line, i: F.transform(normal_words(line), lambda w: F.struct(w.alias("w"), i.alias("line"), _has(WORD_STEMS, line).alias("stem"))))
+    blocks = (
+        docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
+        .filter(_has(GATE, F.col("text")))
+        .select("doc_id", "row", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "block"))
+        .filter(_has(GATE, F.col("block")))
+        .select("doc_id", "row", "paragraph", F.flatten(lines).alias("words"))
+    )
+    key = ["row", "paragraph", "template"]
+    at = F.col("pos")
+    hits = (
+        blocks.select("row", "paragraph", "words", F.posexplode(joined(F.col("words.w"), 3)).alias("pos", "gram"))
+        .join(F.broadcast(templates), "gram")
+        .select(*key, "known", "of", "gram", "pos", F.col("words")[at]["line"].alias("line"), (F.col("words")[at]["line"] == F.col("words")[at + 2]["line"]).alias("inside"), F.col("words")[at]["stem"].alias("stem"))
+    )
+    of_line = F.size(F.collect_set(F.when(F.col("inside"), F.col("gram"))).over(Window.partitionBy(*key, "line")))
+    by_line = F.col("stem") & (of_line * 100 >= F.col("of") * CONFIRM_PERCENT)
+    ahead = Window.partitionBy(*key).orderBy(F.col("pos") / (2 * (F.col("of") + 2))).rangeBetween(0, 1)
+    best = (
+        hits.withColumn("by_line", by_line)
+        .withColumn("by_line", F.max("by_line").over(Window.partitionBy("row", "paragraph", "known", "line"))).filter(~F.col("by_line"))
+        .select(*key, "known", "of", "pos", F.size(F.collect_set("gram").over(ahead)).alias("n"), F.max("pos").over(ahead).alias("last"))
+        .filter(F.col("n") * 100 >= F.col("of") * CONFIRM_PERCENT)
+        .groupBy(*key, "known").agg(F.max(F.struct("n", (F.col("pos") - F.col("last")).alias("short"), (-F.col("pos")).alias("first"))).alias("b"))
+    )
+    first, length = -F.col("b.first"), 3 - F.col("b.short")
+    stretches = blocks.join(best, ["row", "paragraph"]).select("doc_id", *key, "known", F.slice(F.col("words.w"), first + 1, length).alias("ws"))
+    scored = _scored(stretches, ["doc_id", *key, "known"], model).filter(F.col("family") == F.col("known"))
+    return scored.groupBy("doc_id", "row", "paragraph", "family").agg(F.max("odds").alias("odds")).withColumn("confirmed", F.lit(True))
+
+
 def licence_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Candidate paragraphs of all documents, scored and compared.
 
@@ -144,34 +217,18 @@ def licence_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame
     """
     model = model or fit()
     spark = docs.sparkSession
-    # At most one row for each gram and family, and for each trigram of a template: bounded by licence_texts.
-    weights = spark.createDataFrame(
-        [(g, [*map(int, ws)]) for g, ws in model.weights], "gram string, w array<bigint>"
-    )
+    # At most one row for each trigram of a template: bounded by licence_texts.
     templates = spark.createDataFrame(template_trigrams(), "template int, family string, of int, gram string")
 
-    low = F.translate("text", _UPPER, _UPPER.lower())
-    has_stem = lambda c: F.rlike(c, F.lit("|".join(STEMS)))
     own = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
     paragraphs = (
-        own.filter(has_stem(low))
+        own.filter(_has(WORD_STEMS, F.col("text")))
         .select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-        .filter(has_stem(F.translate("line", _UPPER, _UPPER.lower())))
+        .filter(_has(WORD_STEMS, F.col("line")))
         .select("doc_id", "row", "paragraph", normal_words(F.col("line")).alias("ws"))
     )
     key = ["doc_id", "row", "paragraph"]
-    one_two = F.array_distinct(F.concat("ws", joined(F.col("ws"), 2)))
-    sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0))).alias(f"s{k}") for k in range(len(FAMILIES))]
-    scored = (
-        paragraphs.select(*key, F.explode(one_two).alias("gram"))
-        .join(F.broadcast(weights), "gram", "left")
-        .groupBy(*key).agg(*sums)
-    )
-    z = [F.col(f"s{k}") + F.lit(model.bias[k]) for k in range(len(FAMILIES))]
-    best = F.greatest(*z[:-1])
-    family = F.coalesce(*[F.when(c == best, F.lit(name)) for c, name in zip(z[:-1], FAMILIES, strict=False)])
-    scored = scored.select(*key, family.alias("best"), (best - z[-1]).alias("odds"))
-    scored = scored.withColumn("family", F.when(F.col("odds") >= model.margin, F.col("best")).otherwise(UNKNOWN)).drop("best")
+    scored = _scored(paragraphs, key, model)
 
     three = F.array_distinct(F.when(F.size("ws") < 3, F.array(F.array_join("ws", " "))).otherwise(joined(F.col("ws"), 3)))
     alike = (
@@ -190,14 +247,15 @@ def licence_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The licence families of every document.
 
     ``licences`` holds the confirmed families in order, comma-joined and empty
-    without any; n_candidates counts paragraphs with a licence word, n_unknown
-    those of the unknown class, n_unconfirmed those whose family no template
-    confirms. Null texts count as empty. Repeated rows each give a row, an empty
+    without any; n_candidates counts lines with a licence word, n_unknown those of
+    the unknown class, n_unconfirmed those whose family no template confirms. What
+    wrapped_notices finds beyond these lines counts in n_candidates and n_confirmed. Null texts count as empty. Repeated rows each give a row, an empty
     table none; other columns are ignored.
 
     Columns: doc_id, n_candidates, n_unknown, n_unconfirmed, n_confirmed, licences.
     """
-    found = licence_paragraphs(docs, model)
+    wrapped = wrapped_notices(docs, model)
+    found = licence_paragraphs(docs, model).unionByName(wrapped)
     is_known = F.col("family") != UNKNOWN
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     per_row = found.groupBy("doc_id", "row").agg(
@@ -208,7 +266,8 @@ def licence_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(is_known & F.col("confirmed"), F.col("family")))), ",").alias("licences"),
     )
     zero = F.lit(0).cast("long")
-    stemless = docs.select("doc_id", text_or_empty().alias("text")).filter(~F.rlike(F.translate("text", _UPPER, _UPPER.lower()), F.lit("|".join(STEMS))))
+    stemless = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id()).filter(~_has(WORD_STEMS, F.col("text")))
+    stemless = stemless.select("doc_id", "row").join(wrapped.select("row").distinct(), "row", "left_anti")
     no_paragraph = stemless.select("doc_id", *[zero.alias(n) for n in ("n_candidates", "n_unknown", "n_unconfirmed", "n_confirmed")], F.lit("").alias("licences"))
     return per_row.drop("row").unionByName(no_paragraph)
 
