@@ -31,3 +31,19 @@ def test_lines_count_once(spark):
     df = spark.createDataFrame([(0, f"{line}\n{line}\nNothing else."), (1, "\n".join(textwrap.wrap(line, 72)))], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_confirmed"], r["licences"]) for r in L.licence_scan(df).collect()}
     assert got == {0: (2, LONG[0][0]), 1: (1, LONG[0][0])}
+
+
+def test_notices_without_a_raw_stem_are_found(spark):
+    texts = {
+        "This work is released into the public-domain.": "public-domain", "All  rights  reserved.": "reserved",
+        "Available under CC BY-SA 3.0.": "cc-by", "Released under CC BY-NC-ND 4.0.": "cc-by-nc", "He took the bus to work.": "",
+    }
+    assert licences(spark, [f"Some words before.\n{t}\nAnd after." for t in texts]) == list(texts.values())
+
+
+def test_the_gate_drops_only_what_cannot_be_confirmed():
+    words = set(L.gate_words())
+    for _, texts in L.TEMPLATES.items():
+        for t in texts:
+            own = L.trigrams(L.tokens(t))
+            assert 100 * sum(not words & set(g.split(" ")) for g in own) < L.CONFIRM_PERCENT * len(own)

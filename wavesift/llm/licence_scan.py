@@ -13,6 +13,7 @@ beside them, in what blank lines bound.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from wavesift.llm.licence_texts import NONE, TEMPLATES
 
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
-#: Every template has one of these stems; a paragraph with none of them is unknown without scoring.
+#: Every template has one of these stems. Lines that hold one are candidates; others are only where a template confirms them.
 STEMS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "rights reserved", "permission is hereby")
 #: A template is confirmed by this share of its trigrams, in percent.
 CONFIRM_PERCENT = 70
@@ -35,9 +36,6 @@ BLANK_LINES = r"\n[^A-Za-z0-9]*\n"
 FALSE_SHARE = 0.002
 
 WORD_STEMS = "|".join(STEMS)
-#: Blocks without any of these are not read for wrapped notices.
-GATE = WORD_STEMS
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DROP = r"[^a-z0-9]+"
 
@@ -131,6 +129,28 @@ def template_trigrams() -> list[tuple[int, str, int, str]]:
     return out
 
 
+def gate_words() -> list[str]:
+    """Words without which nothing is confirmed: of each template, the trigrams that hold none are too few.
+
+    Chosen greedily, words of ordinary paragraphs and short ones only where no other is left.
+    """
+    common = {w for text in NONE for w in tokens(text)}
+    free = [{tuple(g.split(" ")) for g in trigrams(tokens(t))} for ts in TEMPLATES.values() for t in ts]
+    few = [len(own) * CONFIRM_PERCENT for own in free]
+    out: list[str] = []
+    while True:
+        free_open = [own for own, n in zip(free, few, strict=True) if len(own) * 100 >= n]
+        if not free_open:
+            return sorted(out)
+        gain = Counter(w for own in free_open for g in own for w in set(g))
+        out.append(max(gain, key=lambda w: (w not in common, len(w) > 3, gain[w], w)))
+        free = [{g for g in own if out[-1] not in g} for own in free]
+
+
+#: On words as normal_words gives them: runs of letters a-z and digits, whatever stands between.
+GATE = rf"(?<![a-z0-9])(?:{'|'.join(gate_words())})(?![a-z0-9])"
+
+
 def normal_words(paragraph: Column) -> Column:
     """Words of letters a-z and digits, A-Z lower-cased."""
     return F.filter(F.split(F.regexp_replace(F.translate(paragraph, _UPPER, _UPPER.lower()), _DROP, " "), " "), lambda w: w != "")
@@ -167,31 +187,35 @@ def _scored(paragraphs: DataFrame, key: list[str], model: Model) -> DataFrame:
 
 
 def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Families that a block between blank lines confirms where no line with a licence word does.
+    """Families that a block between blank lines, or a line without a licence word, confirms.
 
     Trigrams run over line ends here. A notice is a stretch of at most twice the
     words of a template that holds CONFIRM_PERCENT of its trigrams; the best stretch
     for each block and template is scored. Lines with a licence word that hold as much
-    by themselves are left to licence_paragraphs.
+    by themselves are left to licence_paragraphs. The gate drops only what no template
+    can confirm (see gate_words).
 
     Columns: doc_id, row, paragraph (number of the block), family, odds, confirmed (true).
     """
     model = model or fit()
     templates = docs.sparkSession.createDataFrame(template_trigrams(), "template int, known string, of int, gram string")
-    lines = F.transform(F.split("block", "\n"), lambda line, i: F.transform(normal_words(line), lambda w: F.struct(w.alias("w"), i.alias("line"), _has(WORD_STEMS, line).alias("stem"))))
+    lines = F.transform(F.split("block", "\n"), lambda line: F.struct(normal_words(line).alias("ws"), _has(WORD_STEMS, line).alias("stem")))
+    of_words = F.transform("lines", lambda x, i: F.transform(x["ws"], lambda w: F.struct(i.alias("line"), x["stem"].alias("stem"))))
     blocks = (
         docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
         .filter(_has(GATE, F.col("text")))
         .select("doc_id", "row", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "block"))
         .filter(_has(GATE, F.col("block")))
-        .select("doc_id", "row", "paragraph", F.flatten(lines).alias("words"))
+        .select("doc_id", "row", "paragraph", lines.alias("lines"))
+        .select("doc_id", "row", "paragraph", F.flatten("lines.ws").alias("ws"), F.flatten(of_words).alias("at"))
     )
     key = ["row", "paragraph", "template"]
-    at = F.col("pos")
+    # Each trigram goes out with the lines of its ends, never with the words of its block.
+    three = F.zip_with(joined(F.col("ws"), 3), F.zip_with("at", F.slice("at", F.lit(3), F.size("at")), lambda x, y: F.struct(x["line"].alias("line"), (x["line"] == y["line"]).alias("inside"), x["stem"].alias("stem"))), lambda g, x: F.struct(g.alias("gram"), x.alias("at")))
     hits = (
-        blocks.select("row", "paragraph", "words", F.posexplode(joined(F.col("words.w"), 3)).alias("pos", "gram"))
+        blocks.select("row", "paragraph", F.posexplode(three).alias("pos", "t"))
+        .select("row", "paragraph", "pos", "t.gram", "t.at.line", F.coalesce("t.at.inside", F.lit(False)).alias("inside"), "t.at.stem")
         .join(F.broadcast(templates), "gram")
-        .select(*key, "known", "of", "gram", "pos", F.col("words")[at]["line"].alias("line"), (F.col("words")[at]["line"] == F.col("words")[at + 2]["line"]).alias("inside"), F.col("words")[at]["stem"].alias("stem"))
     )
     of_line = F.size(F.collect_set(F.when(F.col("inside"), F.col("gram"))).over(Window.partitionBy(*key, "line")))
     by_line = F.col("stem") & (of_line * 100 >= F.col("of") * CONFIRM_PERCENT)
@@ -204,7 +228,7 @@ def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
         .groupBy(*key, "known").agg(F.max(F.struct("n", (F.col("pos") - F.col("last")).alias("short"), (-F.col("pos")).alias("first"))).alias("b"))
     )
     first, length = -F.col("b.first"), 3 - F.col("b.short")
-    stretches = blocks.join(best, ["row", "paragraph"]).select("doc_id", *key, "known", F.slice(F.col("words.w"), first + 1, length).alias("ws"))
+    stretches = blocks.join(best, ["row", "paragraph"]).select("doc_id", *key, "known", F.slice("ws", first + 1, length).alias("ws"))
     scored = _scored(stretches, ["doc_id", *key, "known"], model).filter(F.col("family") == F.col("known"))
     return scored.groupBy("doc_id", "row", "paragraph", "family").agg(F.max("odds").alias("odds")).withColumn("confirmed", F.lit(True))
 
@@ -247,7 +271,7 @@ def licence_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The licence families of every document.
 
     ``licences`` holds the confirmed families in order, comma-joined and empty
-    without any; n_candidates counts lines with a licence word, n_unknown those of
+    without any; n_candidates counts lines with a licence word in STEMS, n_unknown those of
     the unknown class, n_unconfirmed those whose family no template confirms. What
     wrapped_notices finds beyond these lines counts in n_candidates and n_confirmed. Null texts count as empty. Repeated rows each give a row, an empty
     table none; other columns are ignored.
