@@ -4,9 +4,9 @@ Detected entities are mail addresses, phone numbers, IPv4 addresses, card
 numbers, other personal numbers, and names (after a title or a phrase such as
 "my name is", or a known given name with a family name). A surrogate depends on the key and the entity alone,
 so an entity is the same person everywhere in the corpus. Formats and sound
-patterns are permuted one to one; given names that only a title tells the gender
-of come from finite lists. Within a document a surrogate that is taken, or that
-is an entity of the document, is passed over.
+patterns are permuted one to one. Within a document a surrogate that is taken, or
+that is an entity of the document, is passed over; where every other of the
+format is, one that is not taken is used, so no two entities ever share one.
 """
 
 from __future__ import annotations
@@ -79,13 +79,24 @@ class Document:
         self.taken: dict[str, tuple[str, str]] = {}
         self.collisions = 0
 
-    def _unique(self, what: tuple[str, str], make, tries: int) -> str:
+    def _unique(self, what: tuple[str, str], make) -> str:
+        """The first surrogate of ``make`` that is free. They go round in a cycle, no longer than what is taken or own."""
         if what not in self.of:
-            for attempt in range(tries):
+            first, spare, attempt = make(0), None, 0
+            out = first
+            while out in self.own or self.taken.get(out, what) != what:
+                self.collisions += 1
+                if spare is None and self.taken.get(out, what) == what:
+                    spare = out
+                attempt += 1
                 out = make(attempt)
-                if out not in self.own and self.taken.get(out, what) == what:
+                if out == first:  # entities of one cycle are no more than its surrogates: one is left
+                    out = spare
                     break
-                self.collisions += 1
+            if out is None:  # all taken by entities of other kinds
+                out = first
+                while self.taken.get(out, what) != what:
+                    out += first[-1]
             self.taken[out], self.of[what] = what, out
         return self.of[what]
 
@@ -100,7 +111,7 @@ class Document:
                 out = make(out, self.key)
             return out
 
-        return self._unique((kind, entity), again, 20)
+        return self._unique((kind, entity), again)
 
     def _name(self, entity: str, gender: str) -> str:
         words = entity.split(" ")
@@ -108,9 +119,9 @@ class Document:
         out = []
         for i, w in enumerate(words):
             if i == len(words) - 1 and (len(words) > 1 or alone):
-                out.append(self._unique(("family", w), lambda n, w=w: S.family_name(w, self.key, n), 60))
+                out.append(self._unique(("family", w), lambda n, w=w: S.family_name(w, self.key, n)))
             else:
-                out.append(self._unique(("given", w), lambda n, w=w: S.given_name(w, gender, self.key, n), 40))
+                out.append(self._unique(("given", w), lambda n, w=w: S.given_name(w, gender, self.key, n)))
         return " ".join(out)
 
 

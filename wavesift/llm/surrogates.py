@@ -139,13 +139,13 @@ _GIVEN_NAMES = frozenset(GENDER_OF)
 
 
 def given_name(word: str, gender: str, key: bytes, attempt: int = 0) -> str:
-    """A listed name becomes one of its gender and script. Others keep their script, and a known gender picks from its list."""
+    """A listed name becomes one of its gender and script, any other a name of the same sound pattern: both one to one.
+
+    The gender of a name that is not listed shows in its title only, which stays; a list would run out.
+    """
     if word in GENDER_OF:
         script, gender = GENDER_OF[word]
         return _listed(word, GIVEN[script, gender], key, f"given|{script}|{gender}", attempt)
-    if gender in ("f", "m"):
-        names = GIVEN[script_of(word), gender]
-        return _case(word, names[(_round(key, f"given|{gender}|{word}", 0, 0, 32) + attempt) % len(names)])
     return spoken(word, key, "given", _GIVEN_NAMES, attempt)
 
 
@@ -155,7 +155,3 @@ def family_name(word: str, key: bytes, attempt: int = 0) -> str:
     if word in _FAMILY_NAMES[script]:
         return _listed(word, FAMILY[script], key, f"family|{script}", attempt)
     return spoken(word, key, "family", _FAMILY_NAMES[script], attempt)
-
-
-def _case(word: str, name: str) -> str:
-    return name.upper() if word.isupper() and len(word) > 1 else name
