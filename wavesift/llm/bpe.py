@@ -1,21 +1,29 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Texts are encoded by units (see unit_encoder). A unit without white space that
-is longer than ``leaf`` characters is unsplit text: its pre-tokens above that
-length are halved down to leaves, the leaves are encoded in parallel as rows of
-their own, and neighbours are joined up the tree. At a join the last and first
-tokens of both sides are encoded again in a window that doubles until it starts
-with the left side's token and ends with the right side's: from there on each
-side's tokens hold, as a BPE encoding is right exactly if each pair of
-neighbouring tokens is. If a window never agrees it grows to both sides whole.
+Texts longer than ``leaf`` characters are halved until no part is longer; the
+leaves are encoded in parallel as rows of their own, and neighbours are joined
+up the tree. At a join the last and first tokens of both sides are encoded again
+in a window that doubles until both sides agree with it exactly.
+
+Two kinds of leaves are told apart in one pass over a text. Parts of units (see
+unit_encoder: white space, then other characters) of at most ``leaf`` characters
+are halved wherever the middle falls; a window there reaches from the start of a
+unit on the left to the start of a unit on the right, where the tokenizer splits
+whatever stands around, and it agrees if what it leaves out is encoded as the
+sides have it. Longer units are unsplit text: their pre-tokens above that length
+are halved, and a window agrees as soon as it starts with the left side's token
+and ends with the right side's, as a BPE encoding is right exactly if each pair
+of neighbouring tokens is. A window that never agrees grows to both sides whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,12 +31,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import small_batches, table, text_or_empty
+from wavesift.llm._common import WHITE_SPACE, small_batches, table, text_or_empty
 from wavesift.llm.unit_encoder import UNIT, byte_letters, unit_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 LEAF = 4096
 
+#: Where a unit starts, whatever stands further off: white space after other characters.
+UNIT_START = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _TEXTS = ", ids binary, decoded string"
 
@@ -72,11 +83,11 @@ def join_sides(left: list[int], right: list[int], letters: Callable[[int], str],
         k *= 2
 
 
-def join_leaves(leaves: list[list[int]], letters: Callable[[int], str], encode: Callable[[str], list[int]]) -> list[int]:
+def up_the_tree(leaves: list, join: Callable) -> list[int]:
     """Neighbours joined level by level."""
     while len(leaves) > 1:
         pairs = [leaves[i : i + 2] for i in range(0, len(leaves), 2)]
-        leaves = [join_sides(*p, letters, encode) if len(p) == 2 else p[0] for p in pairs]
+        leaves = [join(*p) if len(p) == 2 else p[0] for p in pairs]
     return leaves[0]
 
 
@@ -87,7 +98,8 @@ class TreeEncoder:
         self.units = unit_encoder(path)
         self.tokenizer = self.units.tokenizer
         self.specials = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.vocab = self.tokenizer.get_vocab_size()
+        self.special = re.compile(f"({'|'.join(map(re.escape, sorted(self.specials, key=len, reverse=True)))})" if self.specials else "((?!))")
+        self.bytes = token_bytes(path)
 
     def letters(self, i: int) -> str:
         return self.tokenizer.id_to_token(i)
@@ -95,71 +107,89 @@ class TreeEncoder:
     def encode_piece(self, piece: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(piece)]
 
-    def _split_specials(self, unit: str) -> Iterator[str]:
-        while unit:
-            at, special = min(((unit.find(s), s) for s in self.specials if s in unit), default=(len(unit), ""))
-            yield from (x for x in (unit[:at], special) if x)
-            unit = unit[at + len(special) :]
-
-    def parts(self, text: str, leaf: int) -> list[tuple[str, int, str]]:
-        """(kind, piece, content): 'text' as it is, 'pieces' of long units, or one 'leaf' of a long piece."""
-        out: list[tuple[str, int, str]] = []
-        plain: list[str] = []
-        n = 0
-
-        def flush() -> None:
-            if plain:
-                out.append(("text", -1, "".join(plain)))
-                plain.clear()
-
-        for unit in UNIT.findall(text):
-            if len(unit) <= leaf:
-                plain.append(unit)
+    def parts(self, text: str, leaf: int) -> Iterator[tuple[str, int, str]]:
+        """(kind, group, content) in order; leaves of one group are joined.
+
+        'text' leaves are halves of units of at most ``leaf`` characters, 'pieces'
+        the short pre-tokens of a longer unit, 'leaf' the halves of a long one.
+        """
+        group = at = 0
+        for m in UNIT.finditer(text):
+            if m.end() - m.start() <= leaf:
                 continue
-            flush()
-            for own in self._split_specials(unit):
+            if at < m.start():
+                yield from (("text", group, x) for x in halves(text[at : m.start()], leaf))
+            group, at = group + 1, m.end()
+            for own in filter(None, self.special.split(m[0])):
                 if own in self.specials:
-                    out.append(("text", -1, own))
+                    yield "text", group, own
+                    group += 1
                     continue
                 short: list[str] = []
+                size = 0
                 for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(own):
+                    if short and size + len(piece) > leaf:
+                        yield "pieces", -1, " ".join(short)
+                        short, size = [], 0
                     if len(piece) <= leaf:
                         short.append(piece)
+                        size += len(piece)
                         continue
-                    if short:
-                        out.append(("pieces", -1, " ".join(short)))
-                        short = []
-                    out += [("leaf", n, x) for x in halves(piece, leaf)]
-                    n += 1
+                    yield from (("leaf", group, x) for x in halves(piece, leaf))
+                    group += 1
                 if short:
-                    out.append(("pieces", -1, " ".join(short)))
-        flush()
-        return out
+                    yield "pieces", -1, " ".join(short)
+        if at < len(text):
+            yield from (("text", group, x) for x in halves(text[at:], leaf))
 
     def encode_part(self, kind: str, content: str) -> bytes:
         if kind == "text":
             return self.units.encode(content)
         return np.array([i for p in content.split(" ") for i in self.encode_piece(p)], "<u4").tobytes()
 
+    def join_texts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The encoding of both sides' text in one, from the encodings of the sides."""
+        k = 16
+        while True:
+            a, b = min(k, len(left)), min(k, len(right))
+            before, after = (b"".join(map(self.bytes.__getitem__, x.tolist())).decode("utf-8", "ignore") for x in (left[len(left) - a :], right[:b]))
+            start, end = UNIT_START.search(before), None
+            for end in UNIT_START.finditer(after):
+                pass
+            p = 0 if a == len(left) else start and start.end()
+            q = len(after) if b == len(right) else end and end.end()
+            if p is not None and q is not None:
+                tail, head = self._ids(before[p:]), self._ids(after[:q])
+                if np.array_equal(left[len(left) - len(tail) :], tail) and np.array_equal(right[: len(head)], head):
+                    return np.concatenate([left[: len(left) - len(tail)], self._ids(before[p:] + after[:q]), right[len(head) :]])
+            k *= 2
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.units.encode(text), "<u4")
+
     def concatenate(self, parts: list[tuple[str, int, bytes]]) -> bytes:
-        """Ids of the whole text from (kind, piece, ids) in order."""
+        """Ids of the whole text from (kind, group, ids) in order."""
         out: list[bytes] = []
         i = 0
         while i < len(parts):
-            kind, piece, ids = parts[i]
+            kind, group, ids = parts[i]
             j = i + 1
-            if kind == "leaf":
-                while j < len(parts) and parts[j][:2] == (kind, piece):
-                    j += 1
-                leaves = [np.frombuffer(p[2], "<u4").tolist() for p in parts[i:j]]
-                ids = np.array(join_leaves(leaves, self.letters, self.encode_piece), "<u4").tobytes()
+            while kind != "pieces" and j < len(parts) and parts[j][:2] == (kind, group):
+                j += 1
+            if j > i + 1:
+                leaves = [np.frombuffer(p[2], "<u4") for p in parts[i:j]]
+                if kind == "text":
+                    ids = up_the_tree(leaves, self.join_texts).astype("<u4").tobytes()
+                else:
+                    join = lambda x, y: join_sides(x, y, self.letters, self.encode_piece)
+                    ids = np.array(up_the_tree([x.tolist() for x in leaves], join), "<u4").tobytes()
             out.append(ids)
             i = j
         return b"".join(out)
 
     def encode(self, text: str, leaf: int) -> bytes:
         """All steps in one process."""
-        return self.concatenate([(kind, piece, self.encode_part(kind, x)) for kind, piece, x in self.parts(text, leaf)])
+        return self.concatenate([(kind, group, self.encode_part(kind, x)) for kind, group, x in self.parts(text, leaf)])
 
 
 @lru_cache(maxsize=2)
@@ -177,7 +207,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
     """Encode every whole text and decode its ids again.
 
     Null counts as empty: no tokens, and the digest of nothing. Repeated rows
-    each give a row, an empty table none; other columns are ignored.
+    each give a row, an empty table none; other columns are ignored. Texts of more
+    than ``leaf`` characters go through the tree, whatever they are made of.
     ``with_texts`` adds ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256.
@@ -185,10 +216,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
     schema = DIGESTS + (_TEXTS if with_texts else "")
     names = [f.split()[0] for f in schema.split(", ")]
     own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    # A unit of more than `leaf` characters holds one of the aligned blocks of half that length, and no space is in it.
-    half = leaf // 2
-    blocks = F.sequence(F.lit(0), F.floor(F.length("text") / half).cast("int") - 1)
-    long_unit = (F.length("text") > leaf) & F.exists(blocks, lambda k: F.instr(F.substring(F.col("text"), k * half + 1, F.lit(half)), " ") == 0)
+    long = F.length("text") > leaf
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = public_tokenizers.path(tokenizer)
@@ -202,9 +230,10 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
         for pdf in batches:
             for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
                 parts = encoder.parts(text, leaf)
-                for at in range(0, len(parts), 256):
-                    few = parts[at : at + 256]
-                    yield pd.DataFrame(few, columns=["kind", "piece", "content"]).assign(doc_id=pd.array([doc_id] * len(few), "Int64"), row=row, part=range(at, at + len(few)))
+                at = 0
+                while few := list(islice(parts, 256)):
+                    yield pd.DataFrame(few, columns=["kind", "group", "content"]).assign(doc_id=pd.array([doc_id] * len(few), "Int64"), row=row, part=range(at, at + len(few)))
+                    at += len(few)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tree_encoder(public_tokenizers.path(tokenizer))
@@ -215,13 +244,13 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         path = public_tokenizers.path(tokenizer)
         pdf = pdf.sort_values("part")
-        raw = tree_encoder(path).concatenate(list(zip(pdf["kind"], pdf["piece"], pdf["ids"], strict=True)))
+        raw = tree_encoder(path).concatenate(list(zip(pdf["kind"], pdf["group"], pdf["ids"], strict=True)))
         return pd.DataFrame([_row(pdf["doc_id"].iloc[0], raw, path, with_texts)], columns=names).astype({"doc_id": "Int64"})
 
-    fields = "doc_id long, row long, part int, kind string, piece int"
-    short = own.filter(~long_unit).mapInPandas(whole, schema)
+    fields = "doc_id long, row long, part int, kind string, `group` int"
+    short = own.filter(~long).mapInPandas(whole, schema)
     long_ = (
-        own.withColumn("row", F.monotonically_increasing_id()).filter(long_unit)
+        own.withColumn("row", F.monotonically_increasing_id()).filter(long)
         .mapInPandas(split, f"{fields}, content string")
         .repartition("row", "part")  # leaves of one text go to many tasks
         .mapInPandas(encode, f"{fields}, ids binary")
