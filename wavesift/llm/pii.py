@@ -2,18 +2,20 @@
 
 Detected entities are mail addresses, phone numbers, IPv4 addresses, card
 numbers, other personal numbers, and names (after a title or a phrase such as
-"my name is", or a known given name with a family name). A surrogate depends on the key and the entity alone,
-so an entity is the same person everywhere in the corpus. Formats and sound
-patterns are permuted one to one. Within a document a surrogate that is taken, or
-that is an entity of the document, is passed over; where every other of the
-format is, one that is not taken is used, so no two entities ever share one.
+"my name is", or a known given name with a family name). Words of a name that a
+text gives once are found wherever else it has them. A surrogate depends on the
+key and the entity alone, and the entities of a format are one to one with their
+surrogates: an entity is the same person everywhere in the corpus, and no two
+share a surrogate. The key comes from outside; whoever has it can undo surrogates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from wavesift.llm import surrogates as S
 from wavesift.llm._common import small_batches, table, text_or_empty
 
-KEY = b"wavesift surrogate key"
+#: Setting with the key in hex. Spark leaves settings with this word in their name out of logs and pages.
+KEY_SETTING = "spark.wavesift.surrogates.secret"
 KINDS = ("email", "phone", "ip", "card", "number", "name")
 #: Where entities overlap, the kind that comes first here holds.
 PRECEDENCE = ("email", "ip", "number", "card", "phone", "name")
@@ -38,118 +41,106 @@ DIGITS = tuple((kind, re.compile(p)) for kind, p in _DIGIT_FORMS)
 
 #: Titles that come before a name, by gender.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra", "Doña", "госпожа"), "m": ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Don", "господин"), "": ("Dr", "Prof")}
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+"
-TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({_CAP})(?: ({_CAP}))?(?: ({_CAP}))?")
+TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.? ({_CAP})(?: ({_CAP}))?(?: ({_CAP}))?")
 #: Phrases that say a name comes next.
 CUES = ("my name is", "My name is", "Name:", "name:", "Dear", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
 CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)}) ({_CAP}(?: {_CAP}){{0,2}})")
 NAMED = re.compile(rf"(?<!\w)({'|'.join(sorted(S.GENDER_OF, key=len, reverse=True))}) ({_CAP})")
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) without overlaps, in order."""
-    found: list[tuple[int, int, str, str]] = []
+_WORD = re.compile(rf"(?<!\w){_CAP}|(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]{{3,}}(?!\w)")
+#: Words after a phrase or title that are no names.
+NO_NAMES = frozenset("sir madam all friends team colleagues customer reader editor friend members students parents the and".split())
+
+
+def _bare(text: str, start: int, end: int) -> int:
+    """The end without a genitive, hyphens and apostrophes."""
+    if text[end - 2 : end] in ("'s", "’s"):
+        end -= 2
+    while end > start and text[end - 1] in "'’-":
+        end -= 1
+    return end
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) without overlaps, in order."""
+    found: list[tuple[int, int, str]] = []
     if "@" in text:
-        found += [(*m.span(), "email", "") for m in EMAIL.finditer(text)]
+        found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
     if any(c in text for c in "0123456789"):
         for kind, pattern in DIGITS:
-            found += [(*m.span(), kind, "") for m in pattern.finditer(text)]
-    for m in TITLED.finditer(text):
-        found.append((m.start(2), m.end(), "name", _GENDER[m[1]]))
-    for m in CUED.finditer(text):
-        found.append((m.start(1), m.end(), "name", S.GENDER_OF.get(m[1].split(" ")[0], ("", ""))[1]))
-    for m in NAMED.finditer(text):
-        found.append((m.start(1), m.end(), "name", S.GENDER_OF[m[1]][1]))
+            found += [(*m.span(), kind) for m in pattern.finditer(text)]
+    for pattern, group in ((TITLED, 2), (CUED, 1), (NAMED, 1)):
+        for m in pattern.finditer(text):
+            end = _bare(text, m.start(group), m.end())
+            if text[m.start(group) : end].split(" ")[0].lower() not in NO_NAMES:
+                found.append((m.start(group), end, "name"))
+    names = {w.lower() for a, b, k in found if k == "name" for w in text[a:b].split(" ") if len(w) > 2}
     order = {k: i for i, k in enumerate(PRECEDENCE)}
-    taken: list[tuple[int, int, str, str]] = []
-    for span in sorted(found, key=lambda s: (order[s[2]], s[0], -s[1])):
-        if all(span[1] <= a or b <= span[0] for a, b, _, _ in taken):
-            taken.append(span)
-    return sorted(taken)
-
-
-class Document:
-    """Surrogates of one text; what is taken stays taken."""
-
-    def __init__(self, text: str, spans: list[tuple[int, int, str, str]], key: bytes):
-        self.key = key
-        self.own = {w for a, b, k, _ in spans for w in (text[a:b].split() if k == "name" else [text[a:b]])}
-        self.of: dict[tuple[str, str], str] = {}
-        self.taken: dict[str, tuple[str, str]] = {}
-        self.collisions = 0
-
-    def _unique(self, what: tuple[str, str], make) -> str:
-        """The first surrogate of ``make`` that is free. They go round in a cycle, no longer than what is taken or own."""
-        if what not in self.of:
-            first, spare, attempt = make(0), None, 0
-            out = first
-            while out in self.own or self.taken.get(out, what) != what:
-                self.collisions += 1
-                if spare is None and self.taken.get(out, what) == what:
-                    spare = out
-                attempt += 1
-                out = make(attempt)
-                if out == first:  # entities of one cycle are no more than its surrogates: one is left
-                    out = spare
-                    break
-            if out is None:  # all taken by entities of other kinds
-                out = first
-                while self.taken.get(out, what) != what:
-                    out += first[-1]
-            self.taken[out], self.of[what] = what, out
-        return self.of[what]
-
-    def surrogate(self, entity: str, kind: str, gender: str) -> str:
-        if kind == "name":
-            return self._name(entity, gender)
-        make = getattr(S, kind)
-
-        def again(attempt: int) -> str:  # a permutation has no collisions; it may meet another entity of the text
-            out = entity
-            for _ in range(attempt + 1):
-                out = make(out, self.key)
-            return out
-
-        return self._unique((kind, entity), again)
-
-    def _name(self, entity: str, gender: str) -> str:
-        words = entity.split(" ")
-        alone = len(words) == 1 and words[0] not in S.GENDER_OF
-        out = []
-        for i, w in enumerate(words):
-            if i == len(words) - 1 and (len(words) > 1 or alone):
-                out.append(self._unique(("family", w), lambda n, w=w: S.family_name(w, self.key, n)))
-            else:
-                out.append(self._unique(("given", w), lambda n, w=w: S.given_name(w, gender, self.key, n)))
-        return " ".join(out)
-
-
-def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str]], int]:
-    """The text with surrogates, the entities that it had, and how many collisions were resolved."""
+    ranked = [(order[k], a, -b, k) for a, b, k in found]
+    if names:  # later and earlier mentions
+        for m in _WORD.finditer(text):
+            end = _bare(text, *m.span())
+            if m[0][: end - m.start()].lower() in names:
+                ranked.append((len(order), m.start(), -end, "name"))
+    taken: list[tuple[int, int, str]] = []
+    for _, group in groupby(sorted(ranked), key=lambda x: x[0]):
+        # Spans of one rank come in order, so what is taken is swept once with them.
+        new, at, end = [], 0, -1
+        for _, a, b, k in group:
+            b = -b
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if a >= end and (at == len(taken) or b <= taken[at][0]):
+                new.append((a, b, k))
+                end = b
+        taken = sorted(taken + new)
+    return taken
+
+
+def surrogate(entity: str, kind: str, key: bytes) -> str:
+    """What stands for ``entity``: depends on nothing else but the key."""
+    if kind == "name":
+        return " ".join(S.name_word(w, key) for w in entity.split(" "))
+    return getattr(S, kind)(entity, key)
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]], int]:
+    """The text with surrogates, the entities that it had, and how many of these share a surrogate.
+
+    The last is the collision check. It counts entities, by their small letters;
+    permutations are one to one, so it is 0.
+    """
     spans = entities(text)
-    if not spans:
-        return text, spans, 0
-    doc, out, at = Document(text, spans, key), [], 0
-    for a, b, kind, gender in spans:
-        out += [text[at:a], doc.surrogate(text[a:b], kind, gender)]
+    out, at, of = [], 0, {}
+    for a, b, kind in spans:
+        old = text[a:b]
+        if (kind, old) not in of:
+            of[kind, old] = surrogate(old, kind, key)
+        out += [text[at:a], of[kind, old]]
         at = b
-    return "".join([*out, text[at:]]), spans, doc.collisions
+    fold = lambda kind, x: x.lower() if kind == "name" else x
+    olds, news = {(k, fold(k, x)) for k, x in of}, {fold(k, y) for (k, _), y in of.items()}
+    return "".join([*out, text[at:]]), spans, len(olds) - len(news)
 
 
 RESULT = f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, n_collisions long, entities string, text string, text_sha256 string"
 
 
-def surrogate_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Every whole text with its personal details replaced.
+def surrogate_pii(docs: DataFrame, key: bytes) -> DataFrame:
+    """Every whole text with its personal details replaced under ``key`` (16 bytes or more, kept by the caller).
 
     Null counts as empty. Repeated rows each give a row, an empty table none;
     other columns are ignored. Entities are given as kind:start:end in the code
-    points of the original text, ends exclusive.
+    points of the original text, ends exclusive. Of entities that overlap the first
+    in PRECEDENCE holds, then the first in the text, then the longest. Texts of any
+    length take time in proportion to it.
 
     Columns: doc_id, n_email, n_phone, n_ip, n_card, n_number, n_name,
     n_collisions, entities, text, text_sha256.
     """
+    key = S.check_key(key)
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,12 +149,18 @@ def surrogate_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 new, spans, collisions = replace(text, key)
                 kinds = [s[2] for s in spans]
-                where = ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
+                where = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
                 rows.append((doc_id, *(kinds.count(k) for k in KINDS), collisions, where, new, hashlib.sha256(new.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, RESULT)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; without one a random key, so that surrogates hold for this call only."""
+    given = spark.conf.get(KEY_SETTING, "")
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_pii(table(spark, sf_dir, "documents"))
+    return surrogate_pii(table(spark, sf_dir, "documents"), session_key(spark))

@@ -1,22 +1,32 @@
 """Keyed surrogates: what a personal detail is replaced with.
 
-Strings of digits and letters are permuted within their own format by a keyed
-Feistel network with cycle walking, so different details of a format always get
-different surrogates and the same detail always gets the same one. Family names
-keep their script and sound pattern, given names their gender and script.
+A detail is a string of characters, each of a class (digits, small letters,
+vowels, ...). The strings of one format are permuted among themselves by one
+cycle: a keyed Feistel network over the characters, a step of one, and the
+network's inverse. So different details of a format have different surrogates,
+no detail is its own (where a format has more than one string), and the same
+detail has the same surrogate in every document, whatever stands beside it. The
+network works on characters, not on one large number: its time is linear and all
+of a detail changes at any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _RADIX = {c: a for a in (LOWER, UPPER, DIGITS) for c in a}
 #: Letters that take one another's places in names: what is spoken stays speakable, and in its script.
 _SPOKEN = {c: a for a in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ") for c in a}
+ROUNDS = 8
+#: Shorter keys are refused.
+KEY_BYTES = 16
 
-#: Common given names by (script, gender), and family names by script.
+# Our own lists: common given names by (script, gender), and family names by script.
 GIVEN = {
     ("latin", "f"): "Alice Amelia Anna Barbara Beatrice Camille Carla Carmen Caroline Charlotte Claire Clara Elena Elisabeth Emily Emma Eva Greta Hannah Helen Ingrid Isabel Jane Julia Karin Katharina Laura Linda Lucia Margaret Maria Marie Martha Mary Monica Nina Olivia Paula Rosa Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
     ("latin", "m"): "Adam Albert Alexander Andreas Antonio Arthur Benjamin Carlos Charles Daniel David Diego Edward Emil Felix Francisco Frank George Hans Henri Henry Hugo Jack James Jean Johann John Jonas Jorge Juan Karl Louis Lucas Luis Marcel Mark Martin Michael Miguel Oscar Otto Pablo Paul Peter Pierre Richard Robert Samuel Stefan Thomas Victor William".split(),
@@ -28,59 +38,80 @@ FAMILY = {
     "cyrillic": "Абрамов Белов Волков Громов Данилов Егоров Жуков Зайцев Исаев Козлов Лебедев Морозов Новиков Орлов Павлов Романов Соколов Титов Фомин Чернов".split(),
 }
 GENDER_OF = {name: key for key, names in GIVEN.items() for name in names}
-
-
-def _round(key: bytes, tweak: str, i: int, half: int, bits: int) -> int:
-    h = hashlib.blake2b(f"{tweak}|{i}|{half}".encode(), key=key, digest_size=16).digest()
-    return int.from_bytes(h, "big") & ((1 << bits) - 1)
-
-
-def permute(x: int, n: int, key: bytes, tweak: str, fits: Callable[[int], bool] = lambda _: True) -> int:
-    """A keyed permutation of those of 0..n-1 that ``fits`` holds for; ``x`` must be one of them."""
-    bits = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
-    mask = (1 << bits) - 1
-    while True:  # cycle walking: the network permutes 0..4^bits-1
-        left, right = x >> bits, x & mask
-        for i in range(8):
-            left, right = right, left ^ _round(key, tweak, i, right, bits)
-        x = left << bits | right
-        if x < n and fits(x):
-            return x
+#: The list that a name is in, by the name in small letters.
+_LIST_OF = {name.lower(): (f"given|{script}|{gender}", names) for (script, gender), names in GIVEN.items() for name in names}
+_LIST_OF |= {name.lower(): (f"family|{script}", names) for script, names in FAMILY.items() for name in names}
+
+
+def check_key(key: bytes) -> bytes:
+    if not isinstance(key, bytes) or len(key) < KEY_BYTES:
+        raise ValueError(f"surrogates need a secret key of at least {KEY_BYTES} bytes")
+    return key
+
+
+def _network(symbols: np.ndarray, radix: np.ndarray, key: bytes, tweak: str, back: bool) -> np.ndarray:
+    """Feistel over two halves of the characters: each round shifts one by a stream that the other keys."""
+    cut, size = len(symbols) // 2, len(symbols)
+    halves = [slice(0, cut), slice(cut, size)]
+    out = symbols.copy()
+    for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        own, other = halves[i % 2], halves[1 - i % 2]
+        n = out[own].size
+        if not n:
+            continue
+        seed = hashlib.blake2b(b"%d|%d|" % (i, size) + tweak.encode() + b"|" + out[other].astype("<u1").tobytes(), key=hashlib.sha256(key).digest()).digest()
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * n), "<u4").astype(np.int64)
+        out[own] = (out[own] - stream if back else out[own] + stream) % radix[own]
+    return out
+
+
+def cycle(symbols: np.ndarray, radix: np.ndarray, key: bytes, tweak: str, fits: Callable[[np.ndarray], bool] = lambda _: True) -> np.ndarray:
+    """The next one of a keyed cycle through all strings of ``radix`` that ``fits`` holds for; ``symbols`` must be one of them."""
+    at = _network(symbols, radix, key, tweak, False)
+    while True:
+        for k in range(len(at)):  # a step of one, with carry
+            at[k] = (at[k] + 1) % radix[k]
+            if at[k]:
+                break
+        out = _network(at, radix, key, tweak, True)
+        if fits(out):
+            return out
 
 
 def same_format(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda _: True, classes: dict[str, str] = _RADIX) -> str:
-    """Characters permuted within their class; all else stays. The format is part of the tweak."""
-    sets = [classes.get(c) for c in text]
-    n, x = 1, 0
-    for c, s in zip(text, sets, strict=True):
-        if s:
-            n, x = n * len(s), x * len(s) + s.index(c)
-    if n == 1:
+    """Characters change within their class; all else stays. The format is part of the tweak."""
+    sets = [classes.get(c, "") for c in text]
+    where = [i for i, s in enumerate(sets) if s]
+    if not where:
         return text
+    symbols = np.array([sets[i].index(text[i]) for i in where], np.int64)
+    radix = np.array([len(sets[i]) for i in where], np.int64)
 
-    def spell(y: int) -> str:
-        out = []
-        for c, s in zip(reversed(text), reversed(sets), strict=True):
-            if s:
-                y, k = divmod(y, len(s))
-                c = s[k]
-            out.append(c)
-        return "".join(reversed(out))
+    def spell(x: np.ndarray) -> str:
+        out = list(text)
+        for i, v in zip(where, x.tolist(), strict=True):
+            out[i] = sets[i][v]
+        return "".join(out)
 
     form = "".join(s[0] if s else c for c, s in zip(text, sets, strict=True))
-    return spell(permute(x, n, key, f"{tweak}|{form}", lambda y: fits(spell(y))))
+    return spell(cycle(symbols, radix, key, f"{tweak}|{form}", lambda x: fits(spell(x))))
 
 
-def luhn(digits: str) -> bool:
+def luhn_rest(digits: str) -> int:
+    """0 where the Luhn check holds."""
     total = 0
     for i, c in enumerate(reversed(digits)):
         d = int(c) * (1 + i % 2)
         total += d - 9 * (d > 9)
-    return total % 10 == 0
+    return total % 10
+
+
+def luhn(digits: str) -> bool:
+    return luhn_rest(digits) == 0
 
 
 def email(text: str, key: bytes) -> str:
-    """Local part and domain labels permuted in their format; the top-level domain stays."""
+    """Local part and domain labels change in their format; the top-level domain stays."""
     local, _, domain = text.rpartition("@")
     labels = domain.split(".")
     head = same_format(".".join(labels[:-1]), key, "domain")
@@ -96,62 +127,76 @@ def phone(text: str, key: bytes) -> str:
 
 
 def card(text: str, key: bytes) -> str:
-    """Numbers that pass the Luhn check stay among those that do, the others among the others."""
+    """All digits but the last, which keeps its distance from the check digit: valid numbers give valid ones."""
+    last = max(i for i, c in enumerate(text) if c in DIGITS)
     digits = lambda s: "".join(c for c in s if c in DIGITS)
-    passes = luhn(digits(text))
-    return same_format(text, key, f"card|{passes}", lambda s: luhn(digits(s)) == passes)
-
-
-def ip(text: str, key: bytes) -> str:
-    """Another address whose octets have as many digits each and are valid."""
-    form = [len(o) for o in text.split(".")]
-
-    def valid(s: str) -> bool:
-        return all(int(o) < 256 and str(int(o)) == o and len(o) == n for o, n in zip(s.split("."), form, strict=True))
-
-    return same_format(text, key, "ip", valid) if valid(text) else same_format(text, key, "ip|odd", lambda s: not valid(s))
-
-
-def number(text: str, key: bytes) -> str:
-    return same_format(text, key, "number")
+    rest = luhn_rest(digits(text))
+    head = same_format(text[:last], key, f"card|{rest}")
+    check = (rest - luhn_rest(digits(head) + "0")) % 10
+    return head + str(check) + text[last + 1 :]
 
 
-def script_of(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+#: The least number and how many there are of 1, 2 and 3 digits in an address.
+_OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
 
 
-def _listed(word: str, names: list[str], key: bytes, tweak: str, attempt: int) -> str:
-    """Another place of the list, one to one."""
-    return names[(permute(names.index(word), len(names), key, tweak) + attempt) % len(names)]
-
+def ip(text: str, key: bytes) -> str:
+    """Another address whose octets have as many digits each; valid ones stay valid."""
+    octets = text.split(".")
+    forms = [_OCTETS.get(len(o)) for o in octets]
+    if not all(f and 0 <= int(o) - f[0] < f[1] for o, f in zip(octets, forms, strict=True)):
+        return same_format(text, key, "ip|odd", lambda s: not all(str(int(o)) == o and int(o) < 256 for o in s.split(".")))
+    symbols, radix = (np.array(x, np.int64) for x in zip(*((int(o) - f[0], f[1]) for o, f in zip(octets, forms, strict=True)), strict=True))
+    out = cycle(symbols, radix, key, f"ip|{[len(o) for o in octets]}")
+    return ".".join(str(v + f[0]) for v, f in zip(out.tolist(), forms, strict=True))
 
-def spoken(word: str, key: bytes, tweak: str, taken: frozenset[str], attempt: int = 0) -> str:
-    """Vowels for vowels and consonants for consonants, capitals where they were; one to one, and never a listed name."""
-    small = word.lower()
-    capital = lambda x: "".join(c.upper() if w.isupper() else c for c, w in zip(x, word, strict=True))
-    for _ in range(attempt + 1):
-        small = same_format(small, key, tweak, lambda x: capital(x) not in taken, _SPOKEN)
-    return capital(small)
 
+def iban_rest(text: str) -> int:
+    """The remainder of an account number: two letters, two check digits, the rest."""
+    flat = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97
 
-_FAMILY_NAMES = {script: frozenset(names) for script, names in FAMILY.items()}
-_GIVEN_NAMES = frozenset(GENDER_OF)
 
+def iban(text: str) -> bool:
+    """Whether the check digits hold; each number has one pair of them."""
+    return "02" <= text[2:4] <= "98" and iban_rest(text) == 1
 
-def given_name(word: str, gender: str, key: bytes, attempt: int = 0) -> str:
-    """A listed name becomes one of its gender and script, any other a name of the same sound pattern: both one to one.
 
-    The gender of a name that is not listed shows in its title only, which stays; a list would run out.
+def number(text: str, key: bytes) -> str:
+    """Account numbers keep their country, and valid check digits stay valid; other numbers keep their format."""
+    if not text[0].isalpha():
+        return same_format(text, key, "number")
+    if iban(text):
+        rest = same_format(text[4:], key, f"iban|{text[:2]}")
+        return f"{text[:2]}{98 - iban_rest(text[:2] + '00' + rest):02d}{rest}"
+    return text[:2] + same_format(text[2:], key, f"iban|odd|{text[:2]}", lambda s: not iban(text[:2] + s))
+
+
+@lru_cache(maxsize=64)
+def _next_in_list(tweak: str, key: bytes) -> dict[str, str]:
+    """A keyed cycle through the names of a list."""
+    names = next(names for t, names in _LIST_OF.values() if t == tweak)
+    order = sorted(names, key=lambda n: hashlib.blake2b(f"{tweak}|{n}".encode(), key=hashlib.sha256(key).digest()).digest())
+    return {a.lower(): b.lower() for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
+def name_word(word: str, key: bytes) -> str:
+    """The surrogate of one word of a name, wherever it stands.
+
+    A listed name becomes the next of a cycle through its list (given names of its
+    script and gender, family names of its script). Any other becomes a word of the
+    same pattern of vowels and consonants; a vowel at its end, which often shows the
+    gender, stays. Capitals are where they were. Lists and patterns never meet, so
+    words are one to one, and small letters decide alone.
     """
-    if word in GENDER_OF:
-        script, gender = GENDER_OF[word]
-        return _listed(word, GIVEN[script, gender], key, f"given|{script}|{gender}", attempt)
-    return spoken(word, key, "given", _GIVEN_NAMES, attempt)
-
-
-def family_name(word: str, key: bytes, attempt: int = 0) -> str:
-    """A listed name becomes a listed one, any other a name of the same sound pattern: both one to one."""
-    script = script_of(word)
-    if word in _FAMILY_NAMES[script]:
-        return _listed(word, FAMILY[script], key, f"family|{script}", attempt)
-    return spoken(word, key, "family", _FAMILY_NAMES[script], attempt)
+    small = word.lower()
+    if small in _LIST_OF:
+        out = _next_in_list(_LIST_OF[small][0], key)[small]
+        capital = out.upper() if len(word) > 1 and word.isupper() else out.capitalize()
+        return capital
+    if len(small) != len(word):  # letters whose small form is longer have no place in a pattern
+        return same_format(word, key, "odd name", classes=_RADIX)
+    ending = small[-1] if len(small) > 2 and small[-1] in "aeiouаеиоуыэюя" else ""
+    stem = small[: len(small) - len(ending)]
+    out = same_format(stem, key, f"name|{ending}", lambda x: x + ending not in _LIST_OF, _SPOKEN) + ending
+    return "".join(c.upper() if w.isupper() else c for c, w in zip(out, word, strict=True))
