@@ -305,17 +305,17 @@ def slow_rules(rows):
     ws = {t: re.findall(r"[^\x20\x09-\x0D]+", t) for t in {text_of(r[1]) for r in rows}}
     norm = {t: [re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ") for x in t.lower().split("\n")] for t in ws}
     holders, hosts = {}, {}
-    for _, t, _, h, _ in rows:
-        hosts.setdefault(text_of(h), set()).add(text_of(t))
+    for d, t, _, h, _ in rows:
+        hosts.setdefault(text_of(h), set()).add(d)
         for x in norm[text_of(t)]:
-            holders.setdefault((text_of(h), x), set()).add(text_of(t))
+            holders.setdefault((text_of(h), x), set()).add(d)
     for d, t, _, h, _ in rows:
         t, h = text_of(t), text_of(h)
         w = ws[t]
         windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        removed = sum(len(x.split(" ")) for x in norm[t] if x and len(holders[h, x]) > 1 and 100 * len(holders[h, x]) > 2 * len(hosts[h]))
+        removed = sum(len(x.split(" ")) for x in norm[t] if x and len(holders[h, x]) > 1 and 100 * len(holders[h, x]) > 5 * len(hosts[h]))
         failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
         yield d, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed, not failed and 100 * (len(w) - removed) >= 50 * len(w), removed
 
@@ -324,13 +324,34 @@ def test_quality_rules(docs, nothing, spark):
     shared = [(100 + i, f"Common line of many pages here\n{prose(30)}" if i % 2 else "Common line of many pages here\n" * 2 + prose(9), "en", "src0", 1) for i in range(8)]
     rows = ROWS + shared
     both = docs.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(spark.createDataFrame(shared, SCHEMA))
-    got = quality_rules.quality_rules(both, line_texts=1)
+    got = quality_rules.quality_rules(both, line_docs=1, line_percent=5, left_percent=50)
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     assert by_row(got, *columns) == expected(*slow_rules(rows))
     assert any(r["n_removed_words"] and not r["base_failed"] and not r["kept"] for r in got.collect())
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def test_copies_are_documents_of_their_own(spark):
+    """60 copies of one page deplete one another; 60 rows of one document do not."""
+    page = "\n".join(" ".join(f"{w}{i}" for w in ("a", "line", "of", "some", "page")) for i in range(9))
+    own = [(i, f"{page} {i}\n{i} is a line of its own", "h") for i in range(60)]
+    for rows, removed in (([(i, page, "h") for i in range(60)], 45), ([(1, page, "h")] * 60, 0), (own, 40)):
+        got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(got) == 60 and {(r["n_removed_words"], r["kept"]) for r in got} == {(removed, removed == 0)}, removed
+
+
+def test_many_frequent_lines_are_joined_without_broadcast(spark):
+    from wavesift.llm._common import join_counted
+
+    rows = spark.range(2000).selectExpr("id AS rid", "id % 7 AS key")
+    few = spark.range(5).selectExpr("id AS key", "id * 10 AS v")
+    want = sorted((i, i % 7, i % 7 * 10) for i in range(2000) if i % 7 < 5)
+    for most in (0, 100):
+        out = join_counted(rows, few, ["key"], "rid", most=most)
+        assert sorted((r["rid"], r["key"], r["v"]) for r in out.collect()) == want
+        assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+
+
 # ---- secrets, licences, PII ---------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Where that is unset a temporary folder is used on one machine (master ``local``);
+    a cluster must name one.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wavesift-checkpoint-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -49,6 +53,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a side up to which it is broadcast; they are counted first. Rows are keys and numbers, of 100 bytes or so.
+BROADCAST_ROWS = 50_000
+#: Tasks that the rows of one key are dealt to in a join that is not broadcast.
+SALTS = 16
+
+
+def join_counted(rows: DataFrame, few: DataFrame, keys: list[str], salt: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to ``few``, which has one row for each key and is written already.
+
+    Its rows are counted: up to ``most`` it is broadcast. Beyond, the rows of a key
+    are dealt by ``salt`` to SALTS tasks, each with a copy of the key's row.
+    """
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), keys, how)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")
+
+
 #: Fixed value: what the tokenizers' \s matches (Unicode White_Space), as a character class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 

@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame code only.
 
 Base rules look at one text. The method hashes every normalised line, counts
-the distinct texts of a host that hold it, removes lines above the limits and
-rejects documents of which too little is left.
+the distinct documents of a host that hold it, removes lines above the limits and
+rejects documents of which too little is left. Texts are read once: counts and
+line hashes of each row are written to the shared folder, all else is made of them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import join_counted, materialise, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 #: A power of two: windows are hashed by doubling.
@@ -18,11 +19,11 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: A line is removed if more than this many distinct texts of the host have it, and more than this share of them.
-LINE_TEXTS = 20
-LINE_PERCENT = 2
+#: A line is removed if more than this many distinct documents of the host have it, and more than this share of them.
+LINE_DOCS = 3
+LINE_PERCENT = 10
 #: A document is rejected if less than this share of its words is left.
-LEFT_PERCENT = 50
+LEFT_PERCENT = 70
 
 _SPACES, _VISIBLE, _UNEVEN = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[\x09-\x0D]|\x20\x20"
 
@@ -91,54 +92,52 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.when(F.rlike(line, F.lit(_UNEVEN)), F.regexp_replace(line, _SPACES, " ")).otherwise(line))
 
 
+def line_counts(text: Column) -> Column:
+    """(hash, words) of every normalised line that has a word."""
+    own = F.filter(F.transform(F.split(F.lower(text), "\n"), normal_line), lambda x: x != "")
+    n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    return F.transform(own, lambda x: F.struct(F.xxhash64(x).alias("line"), n_words(x).cast("int").alias("n")))
+
+
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
-    line_texts: int = LINE_TEXTS,
+    line_docs: int = LINE_DOCS,
     line_percent: int = LINE_PERCENT,
     left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
     """Base counts and verdicts of every document.
 
     Null texts have no words and so fail; a null host counts as the host ''.
-    Exact copies count once in line frequencies, so copies alone never deplete a
-    document. Rows that repeat (same id and text) get the same result each.
-    Empty input gives an empty result; other columns are ignored.
+    Documents are counted by id, rows without one as one document; so rows that
+    repeat count once, and copies under other ids each count. Ties do not arise:
+    limits are strict. Very long texts are one row of line hashes each. Every row
+    gives a row, an empty table none; other columns are ignored.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_removed_words.
     """
     own = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty().alias("text"))
-    own = own.withColumn("text_id", F.xxhash64("text"))
     # Words are a column of their own: several counts use them, so the optimiser does not compute them again for each.
-    base = own.withColumn("ws", words(F.col("text"))).select(
-        "doc_id", "host", "text_id", *[c.alias(n) for n, c in text_features(F.col("text"), F.col("ws")).items()]
-    )
-
-    lines = own.select("doc_id", "host", "text_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", normal_line(F.col("line"))).filter("line != ''").select(
-        "doc_id", "host", "text_id", "at", F.xxhash64("line").alias("line_id"),
-        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("line_words"),
-    )
-    in_host = own.select("host", "text_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    frequent = (
-        lines.select("host", "line_id", "text_id").distinct().groupBy("host", "line_id").agg(F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") > line_texts)
-        .join(in_host, "host")
-        .filter(F.col("texts") * 100 > F.col("host_texts") * line_percent)
-        .select("host", "line_id")
+    rows = materialise(
+        own.withColumn("ws", words(F.col("text"))).select(
+            F.monotonically_increasing_id().alias("rid"), "doc_id", "host", line_counts(F.col("text")).alias("lines"),
+            *[c.alias(n) for n, c in text_features(F.col("text"), F.col("ws")).items()],
+        )
     )
-    removed = (
-        lines.join(frequent, ["host", "line_id"])
-        .groupBy("doc_id", "host", "text_id", "at").agg(F.max("line_words").alias("line_words"))  # repeated rows
-        .groupBy("doc_id", "host", "text_id").agg(F.sum("line_words").alias("n_removed_words"))
-        .select(F.col("doc_id").alias("r_doc"), F.col("host").alias("r_host"), F.col("text_id").alias("r_text"), "n_removed_words")
+    count = F.count(F.lit(1))
+    in_host = rows.select("host", "doc_id").distinct().groupBy("host").agg(count.alias("host_docs"))
+    in_line = (
+        rows.select("doc_id", "host", F.explode(F.array_distinct("lines.line")).alias("line"))
+        .distinct().groupBy("host", "line").agg(count.alias("docs")).filter(F.col("docs") > line_docs)
     )
-    same = base["doc_id"].eqNullSafe(removed["r_doc"]) & (base["host"] == removed["r_host"]) & (base["text_id"] == removed["r_text"])
+    frequent = materialise(in_line.join(in_host, "host").filter(F.col("docs") * 100 > F.col("host_docs") * line_percent).select("host", "line"))
+    lines = rows.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", "x.line", "x.n")
+    removed = join_counted(lines, frequent, ["host", "line"], "rid").groupBy("rid").agg(F.sum("n").alias("n_removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     return (
-        base.join(removed, same, "left")
+        rows.drop("lines").join(removed, "rid", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -161,11 +160,12 @@ w AS (SELECT rid, doc_id, host, text, list_filter(string_split_regex(text, '{_WS
 win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW})))::BIGINT AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM dup) GROUP BY rid),
-ln0 AS (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS raw FROM d),
+ln0 AS (SELECT rid, doc_id, host, unnest(string_split(text, chr(10))) AS raw FROM d),
 dl AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM ln0 WHERE regexp_replace(raw, '{_WS}', '', 'g') <> '' GROUP BY rid),
-ln AS (SELECT rid, host, text, trim(regexp_replace(lower(raw), '{_WS}', ' ', 'g'), ' ') AS line FROM ln0),
-fr AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS texts FROM ln WHERE line <> '' GROUP BY host, line)
-    JOIN (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY host) USING (host) WHERE texts > {LINE_TEXTS} AND texts * 100 > host_texts * {LINE_PERCENT}),
+ln AS (SELECT rid, doc_id, host, trim(regexp_replace(lower(raw), '{_WS}', ' ', 'g'), ' ') AS line FROM ln0),
+hd AS (SELECT host, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS host_docs FROM d GROUP BY host),
+fr AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS docs FROM ln WHERE line <> '' GROUP BY host, line)
+    JOIN hd USING (host) WHERE docs > {LINE_DOCS} AND docs * 100 > host_docs * {LINE_PERCENT}),
 rm AS (SELECT rid, sum(len(string_split(line, ' ')))::BIGINT AS n FROM ln JOIN fr USING (host, line) GROUP BY rid),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines,
