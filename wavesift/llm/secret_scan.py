@@ -1,9 +1,12 @@
 """Secret scan: exact base patterns, and a character CNN over every candidate.
 
-Candidates are what the base patterns find and all other key-like runs of a text. A convolutional network in numpy
-reads each with its surroundings (in windows, where it is long) and is trained
-on labelled findings. Its scores are calibrated on findings it has not seen, and
-the threshold is the largest that still finds the wanted share of their secrets.
+Candidates are what the base patterns find, all other key-like runs of a text
+(with or without digits, and the rest of runs that a base span only touches),
+passwords of addresses and values under telling names. A convolutional network in numpy reads each with its
+surroundings (in windows, where it is long) and is trained on labelled findings.
+Its scores are calibrated on findings it has not seen, and for each kind of
+candidate the threshold is the largest that still finds the wanted share of their
+secrets.
 """
 
 from __future__ import annotations
@@ -26,15 +29,23 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+#: The password of an address: scheme://user:password@
+ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{6,128})@")
+#: A value under a name that tells of a secret.
+NAMED = re.compile(r"""(?ai:key|auth|pwd|pass|cred|secret|token|bearer)[A-Za-z_]{0,16}["']?[\x20\t]{0,4}[:=][\x20\t]{0,4}["']?([A-Za-z0-9+/_.=-]{8,})""")
 KINDS = ("assign", "access", "hex", "model")
+#: Passwords of addresses and values under a name have thresholds of their own; they are given as ``model``, as runs are.
+ADDRESSES, VALUES = len(KINDS), len(KINDS) + 1
 #: Least lengths: of an assignment's value, and of the other two kinds.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CONTEXT = 32
 INSIDE = 64
-FILTERS, WIDTH, EMBED = 24, 5, 10
-FINDINGS, EPOCHS, SEED = 3000, 6, 7
+FILTERS, WIDTH, EMBED = 32, 5, 10
+FINDINGS, EPOCHS, SEED = 8000, 8, 7
 RECALL = 0.99
+#: Key-like runs have this many characters at least, and this many different ones.
+RUN_LENGTH, VARIETY = 16, 6
 
 #: Classes of characters that the network tells apart: each ASCII letter and sign, all else as one; 0 is padding.
 _CODES = np.full(0x110000 + 1, 96, np.uint8)
@@ -44,12 +55,19 @@ _CODES[[9, 10, 13]] = 1
 
 @dataclass(frozen=True)
 class Network:
-    """Weights, the calibration (scale, shift) and the threshold."""
+    """Weights, the calibration (scale, shift) and the threshold of each of KINDS, of ADDRESSES and of VALUES."""
 
     weights: tuple[np.ndarray, ...]
     scale: float
     shift: float
-    threshold: float
+    thresholds: tuple[float, ...]
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        return _squash(self.scale * logits(codes, self.weights) + self.shift)
+
+
+def _squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def encode(before: str, candidate: str, after: str) -> np.ndarray:
@@ -85,7 +103,7 @@ def _forward(codes: np.ndarray, w: tuple[np.ndarray, ...]):
         args.append(at[k])
         pools.append(np.take_along_axis(conv[:, at], k[:, None], 1)[:, 0])
     inside = np.flatnonzero(mids == 1)
-    filled = (codes[:, CONTEXT : CONTEXT + INSIDE] > 0)[:, : len(inside), None]
+    filled = (codes[:, CONTEXT : CONTEXT + INSIDE] > 0)[:, : len(inside), None].astype(np.float32)
     size = np.maximum(filled.sum(axis=1), 1)
     pools.append((conv[:, inside] * filled).sum(axis=1) / size)
     pooled = np.concatenate(pools, axis=1)
@@ -93,6 +111,9 @@ def _forward(codes: np.ndarray, w: tuple[np.ndarray, ...]):
     return cols, conv, args, filled, size, inside, pooled, hidden, hidden @ out + shift
 
 
+_ONE_HOT = np.eye(97, dtype=np.float32)
+
+
 def logits(codes: np.ndarray, w: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.concatenate([_forward(codes[i : i + 256], w)[-1] for i in range(0, len(codes), 256)] or [np.empty(0)])
 
@@ -102,11 +123,13 @@ def train(codes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SE
     rng = np.random.default_rng(seed)
     shapes = ((97, EMBED), (WIDTH * EMBED, FILTERS), (FILTERS,), (4 * FILTERS, 16), (16,), ())
     scales = (0.5, 0.15, 0.0, 0.1, 0.3, 0.0)
-    w = [np.array(rng.normal(0, s, shape) if s else np.zeros(shape)) for shape, s in zip(shapes, scales, strict=True)]
+    w = [np.array(rng.normal(0, s, shape) if s else np.zeros(shape), np.float32) for shape, s in zip(shapes, scales, strict=True)]
+    y = y.astype(np.float32)
     w[0][0] = 0
     m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(codes))
+        rate = np.float32(0.004 if epoch < epochs - 2 else 0.001)
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
             own = codes[rows].astype(np.int64)
@@ -121,9 +144,10 @@ def train(codes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SE
             dc[:, inside] += filled * (dp[:, 3 * FILTERS :] / size)[:, None]
             dc *= conv > 0
             dx = (dc @ w[1].T).reshape(n, conv.shape[1], WIDTH, EMBED)
-            de = np.zeros_like(w[0])
+            places = np.zeros((n, codes.shape[1], EMBED), np.float32)  # gradient of each character's place
             for k in range(WIDTH):
-                np.add.at(de, own[:, k : k + conv.shape[1]].ravel(), dx[:, :, k].reshape(-1, EMBED))
+                places[:, k : k + conv.shape[1]] += dx[:, :, k]
+            de = _ONE_HOT[own.ravel()].T @ places.reshape(-1, EMBED)
             de[0] = 0
             flat = cols.reshape(-1, WIDTH * EMBED)
             grads = (de, flat.T @ dc.reshape(-1, FILTERS), dc.sum(axis=(0, 1)), pooled.T @ dh, hidden.T @ dz, dz.sum())
@@ -131,32 +155,48 @@ def train(codes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SE
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
-                w[i] = w[i] - 0.004 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     return tuple(w)
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, recall: float) -> tuple[float, float, float]:
-    """Platt's scale and shift, and the largest threshold on scores that keeps ``recall``."""
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt's scale and shift."""
     a, b = 1.0, 0.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        p = _squash(a * z + b)
         g, h = np.array([((p - target) * z).sum(), (p - target).sum()]), p * (1 - p) + 1e-9
         step = np.linalg.solve(np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]]), g)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    scores = np.sort(1 / (1 + np.exp(-np.clip(a * z[y > 0] + b, -30, 30))))
-    return float(a), float(b), float(scores[int((1 - recall) * len(scores))])
+    return float(a), float(b)
+
+
+def threshold(scores: np.ndarray, recall: float) -> float:
+    """The largest threshold that keeps ``recall`` of the secrets with these scores."""
+    return float(np.sort(scores)[int((1 - recall) * len(scores))]) if len(scores) else 0.5
+
+
+def kind_of(before: str, candidate: str, after: str) -> int:
+    """The kind of candidate under which the scan meets a finding; -1 if it meets none."""
+    text = before + candidate + after
+    at, end = len(before), len(before) + len(candidate)
+    runs = [m.span() for m in RUN.finditer(text)]
+    base = base_spans(text, runs)
+    return next((k for a, b, k in base + candidates(text, runs, base) if a < end and at < b), -1)
 
 
 @lru_cache(maxsize=1)
 def network(n: int = FINDINGS, recall: float = RECALL) -> Network:
-    """The network, trained on ``n`` labelled findings; a fifth of them calibrates it."""
+    """The network, trained on ``n`` labelled findings; a quarter of them calibrates it."""
     rows = findings(n, SEED)
     codes = np.stack([encode(b[-CONTEXT:], c[:INSIDE], (c[INSIDE:] + a)[:CONTEXT]) for b, c, a, _ in rows])
     y = np.array([r[3] for r in rows], float)
-    cut = n * 4 // 5
+    cut = n * 3 // 4
     w = train(codes[:cut], y[:cut])
-    return Network(w, *calibrate(logits(codes[cut:], w), y[cut:], recall))
+    z = logits(codes[cut:], w)
+    scale, shift = calibrate(z, y[cut:])
+    scores, kinds = _squash(scale * z + shift), np.array([kind_of(b, c, a) for b, c, a, _ in rows[cut:]])
+    return Network(w, scale, shift, tuple(threshold(scores[(kinds == k) & (y[cut:] > 0)], recall) for k in range(VALUES + 1)))
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -172,16 +212,44 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def candidates(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Key-like runs that no base span touches: 16 characters or more, a digit, and some variety."""
-    out = []
-    for a, b in runs:
+def candidates(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, threshold's kind) of what else may be a secret, in order: passwords of addresses, and key-like runs without the base spans in them.
+
+    All lists are in order, so they are swept once.
+    """
+    covers: list[tuple[int, int]] = []
+    for a, b, _ in base:
+        if covers and a <= covers[-1][1]:
+            covers[-1] = (covers[-1][0], max(covers[-1][1], b))
+        else:
+            covers.append((a, b))
+
+    def uncovered(spans: list[tuple[int, int]], taken: list[tuple[int, int]], cut: bool) -> list[tuple[int, int]]:
+        out, k = [], 0
+        for a, b in spans:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            i = k
+            if not cut:
+                if i == len(taken) or taken[i][0] >= b:
+                    out.append((a, b))
+                continue
+            while i < len(taken) and taken[i][0] < b:
+                out.append((a, taken[i][0]))
+                a, i = max(a, taken[i][1]), i + 1
+            out.append((a, b))
+        return out
+
+    passwords = uncovered([m.span(1) for m in ADDRESS.finditer(text)], covers, False) if "://" in text else []
+    taken = sorted(covers + passwords)
+    values = uncovered([m.span(1) for m in NAMED.finditer(text)], taken, False) if "=" in text or ":" in text else []
+    out = [(a, b, ADDRESSES) for a, b in passwords] + [(a, b, VALUES) for a, b in values]
+    for a, b in uncovered(runs, sorted(taken + values), True):
         while b > a and text[b - 1] in ".-":
             b -= 1
-        run = text[a:b]
-        if b - a >= 16 and any(c.isdigit() for c in run) and len(set(run)) >= 6 and not any(s < b and a < e for s, e, _ in base):
-            out.append((a, b))
-    return out
+        if b - a >= RUN_LENGTH and len(set(text[a:b])) >= VARIETY:
+            out.append((a, b, 3))
+    return sorted(out)
 
 
 def scored_texts(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]], int]]:
@@ -199,19 +267,19 @@ def scored_texts(texts: list[str], net: Network) -> list[tuple[list[tuple[int, i
             own = windows(text, ASSIGN.match(text, a).start(2) if kind == 0 else a, b)
             codes += own
             owners += [(i, (a, b), kind)] * len(own)
-        for span in candidates(text, runs, base):
-            own = windows(text, *span)
+        for a, b, kind in candidates(text, runs, base):
+            own = windows(text, a, b)
             codes += own
-            owners += [(i, span, 3)] * len(own)
-    confirmed = [0] * len(texts)
+            owners += [(i, (a, b), kind)] * len(own)
+    confirmed, added = [0] * len(texts), [[] for _ in texts]
     if codes:
-        scores = 1 / (1 + np.exp(-np.clip(net.scale * logits(np.stack(codes), net.weights) + net.shift, -30, 30)))
-        for i, (a, b), kind in dict.fromkeys(o for o, s in zip(owners, scores, strict=True) if s >= net.threshold):
+        scores = net.scores(np.stack(codes))
+        for i, (a, b), kind in dict.fromkeys(o for o, s in zip(owners, scores, strict=True) if s >= net.thresholds[o[2]]):
             if kind < 3:
                 confirmed[i] += 1
             else:
-                found[i] = [*found[i], (a, b, 3)]
-    return [(sorted(s, key=lambda x: (x[0], x[2])), n) for s, n in zip(found, confirmed, strict=True)]
+                added[i].append((a, b, 3))
+    return [(sorted(s + more, key=lambda x: (x[0], x[2])), n) for s, more, n in zip(found, added, confirmed, strict=True)]
 
 
 def scan_texts(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
@@ -244,7 +312,9 @@ def secret_scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     Null counts as empty and has no spans. Repeated rows each give a row, an
     empty table none; other columns are ignored. Base spans of different kinds
-    may overlap; the network adds spans only where there is no base span.
+    may overlap; the network adds spans only where there is no base span. Spans that
+    start at one place come in the order of KINDS. Very long texts and runs are read
+    whole, in windows.
 
     Columns: doc_id, n_assign, n_access, n_hex, n_model, n_confirmed (base spans
     that the network confirms), base_sha256, spans.
