@@ -72,6 +72,50 @@ def join_counted(rows: DataFrame, few: DataFrame, keys: list[str], salt: str, ho
     return dealt.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
+#: Rows of a key from which join_split treats it as large, at least.
+LARGE = 100
+
+
+def join_split(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``per_key`` (written already), which has one row for each key and the key's number of rows in ``count``.
+
+    No more than BROADCAST_ROWS keys can have more than that share of all rows each:
+    these are broadcast, and only the rows of smaller keys are shuffled.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    large = per_key.filter(F.col(count) > max(LARGE, total // BROADCAST_ROWS))
+    names = [c for c in per_key.columns if c != key]
+    marked = rows.join(F.broadcast(large.withColumn("__large", F.lit(True))), key, "left")
+    rest = marked.filter(F.col("__large").isNull()).select(*rows.columns).join(per_key, key)
+    return marked.filter(F.col("__large").isNotNull()).select(*rows.columns, *names).unionByName(rest.select(*rows.columns, *names))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """Rows of one id and text have one key."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
+
+
+def rows_of_keys(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each key in ``kept`` (its only column): of several the one whose hash is least.
+
+    All columns stay as they are. Rows meet their keys and one another in one shuffle.
+    """
+    name = free_name(docs, "__key")
+    kept = kept.toDF(name)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    own = docs.withColumn(name, key).join(kept, name, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.groupBy(name).agg(F.min_by(row, F.xxhash64(*hashed)).alias("__row")).select("__row.*")
+
+
 #: Fixed value: what the tokenizers' \s matches (Unicode White_Space), as a character class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavesift.llm._common import materialise, table, text_or_empty
+from wavesift.llm._common import materialise, rows_of_keys, table, text_or_empty
 
 COUNTERS = 1024
 
@@ -103,15 +103,14 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` with one row of each text; all columns stay.
+    """``docs`` with one row of each text, that with the largest doc_id; all columns stay, whatever their names.
 
-    The texts meet the ids that stay under one key of digest and id, and rows
-    that repeat under it are dropped without another shuffle.
+    Of rows with that id and text that differ elsewhere the one with the least hash
+    of all columns stays.
     """
-    key = lambda sha, doc_id: F.concat_ws(":", sha, doc_id.cast("string"))
-    kept = exact_dedup(docs, counters).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("_key"))
-    own = docs.withColumn("_key", key(F.sha2(text_or_empty(), 256), F.col("doc_id")))
-    return own.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = lambda doc_id, sha: F.concat_ws(":", sha, F.coalesce(doc_id.cast("string"), F.lit("null")))
+    kept = exact_dedup(docs, counters).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")))
+    return rows_of_keys(docs, key(F.col("doc_id"), F.sha2(text_or_empty(), 256)), kept)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +121,7 @@ OP6_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """

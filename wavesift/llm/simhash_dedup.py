@@ -3,8 +3,9 @@
 Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their
 8 positional bytes. The index lists every distinct fingerprint under sets of
 (position, byte): a family of position sets of size 4 such that any 5 positions
-hold one of them whole, so every linked pair meets under some key. Within a key
-the shared positional bytes are tallied, pairs with at least 5 go on, and the
+hold one of them whole, so every linked pair meets under some key (keys of single
+bytes would list a 256th of all fingerprints each). Within a key the shared
+positional bytes of every pair are tallied, pairs with at least 5 go on, and the
 bits are compared. Only a spanning forest of the links of a key leaves its task,
 never all pairs; keys of many fingerprints are cut into blocks that meet two by
 two in tasks of their own.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import materialise, small_batches, table, text_or_empty
+from wavesift.llm._common import join_counted, join_split, materialise, row_key, rows_of_keys, small_batches, table, text_or_empty
 
 SHINGLE = 3
 BITS = 3
@@ -53,16 +54,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *others: str) -> DataFrame:
+    """(doc_id, fp, others): fp as a signed long; other columns are longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp, **{c: pdf[c] for c in others}})
 
-    own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return own.mapInPandas(run, "doc_id long, fp long")
+    own = small_batches(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *others)
+    return own.mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *others)))
 
 
 def position_sets(shared: int, size: int, positions: int = BYTES) -> list[tuple[int, ...]]:
@@ -87,6 +88,11 @@ def index_keys(fp: Column, bits: int) -> Column:
     return F.array(*keys)
 
 
+def tally(differences: np.ndarray) -> np.ndarray:
+    """Positional bytes that the fingerprints of each pair share."""
+    return (differences.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
 def forest(fps: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among ``fps``, breadth first; each fingerprint is expanded once."""
     left = fps
@@ -95,8 +101,7 @@ def forest(fps: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
         while queue and len(left):
             own = queue.pop()
             other = own ^ left
-            shared = (other.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)  # the tally
-            near = shared >= BYTES - bits
+            near = tally(other) >= BYTES - bits
             near[near] = np.bitwise_count(other[near]) <= bits
             if near.any():
                 for x in left[near]:
@@ -113,7 +118,8 @@ def _links(bits: int):
         sizes = np.diff(np.r_[starts, len(keys)])
         two = starts[sizes == 2]
         x, y = fps[two], fps[two + 1]
-        near = np.bitwise_count(x ^ y) <= bits
+        near = tally(x ^ y) >= BYTES - bits
+        near[near] = np.bitwise_count((x ^ y)[near]) <= bits
         out = [(x[near], y[near])]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             pairs = list(forest(np.unique(fps[s : s + n]), bits))
@@ -142,11 +148,11 @@ def _links(bits: int):
 def links(nodes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints that connect all that links connect."""
     listed = nodes.select("fp", F.explode(index_keys(F.col("fp"), bits)).alias("key"))
-    large = listed.groupBy("key").count().filter(F.col("count") > block)
+    large = materialise(listed.groupBy("key").count().filter(F.col("count") > block))
     cut = F.ceil(F.col("count") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")
     cells = (
-        listed.join(large, "key", "left")
+        join_counted(listed, large, ["key"], "fp", "left")
         .withColumn("cut", F.coalesce(cut, F.lit(1)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
@@ -195,19 +201,31 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, blo
     Columns: doc_id, fingerprint, component_id (smallest doc_id reachable).
     """
     prints = materialise(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    return classes_of(prints, bits, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes_of(prints: DataFrame, bits: int, block: int) -> DataFrame:
+    """``prints`` (doc_id, fp and others) with the root of their class and its least doc_id, component_id."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     root = connected_components(links(nodes.select("fp"), bits, block))
-    placed = nodes.join(root.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = placed.join(classes, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = materialise(nodes.join(root.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least_id", "n", F.coalesce("v", "fp").alias("root")))
+    classes = materialise(placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_fp")))
+    of_print = materialise(join_split(placed, classes, "root", "n_fp").select("fp", "n", "root", "component_id"))
+    return join_split(prints, of_print, "fp", "n").drop("n")
+
 
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each class, one with the smallest doc_id; all columns stay, whatever their names.
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``docs`` with the smallest doc_id of each class only; all columns stay."""
-    classes = simhash_dedup(docs, shingle, bits)
-    kept = classes.groupBy("component_id").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    Of several rows with that id in one class the one with the least hash of its
+    text stays, then the one with the least hash of all columns. A null id is larger than any.
+    """
+    text_hash = F.xxhash64(text_or_empty())
+    rows = fingerprints(docs.select("doc_id", text_or_empty().alias("text"), text_hash.alias("text_hash")), shingle, "text_hash")
+    classes = classes_of(materialise(rows), bits, block)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
+    kept = classes.groupBy("root").agg(first).select(row_key(F.col("f.doc_id"), F.col("f.text_hash")))
+    return rows_of_keys(docs, row_key(F.col("doc_id").cast("long"), text_hash), kept)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
