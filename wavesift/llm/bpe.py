@@ -23,7 +23,8 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,16 @@ def decode(ids: np.ndarray, path: str) -> str:
     return b"".join(map(token_bytes(path).__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=8)
+def long_run(leaf: int) -> re.Pattern:
+    """What a unit of more than ``leaf`` characters has: white space or other characters of more than half that length.
+
+    Tried where a run starts only, so in linear time.
+    """
+    n = leaf // 2 + 1
+    return re.compile(f"(?<![^{WHITE_SPACE}])[^{WHITE_SPACE}]{{{n},}}|(?<![{WHITE_SPACE}])[{WHITE_SPACE}]{{{n},}}")
+
+
 def halves(piece: str, leaf: int) -> list[str]:
     """``piece`` halved until no part is longer than ``leaf``."""
     if len(piece) <= leaf:
@@ -101,6 +112,13 @@ class TreeEncoder:
         self.special = re.compile(f"({'|'.join(map(re.escape, sorted(self.specials, key=len, reverse=True)))})" if self.specials else "((?!))")
         self.bytes = token_bytes(path)
 
+    def packed(self, ids: bytes) -> bytes:
+        """Ids in half the bytes where the vocabulary allows, for the way between tasks."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if len(self.bytes) <= 1 << 16 else ids
+
+    def unpacked(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(self.bytes) <= 1 << 16 else ids
+
     def letters(self, i: int) -> str:
         return self.tokenizer.id_to_token(i)
 
@@ -114,7 +132,7 @@ class TreeEncoder:
         the short pre-tokens of a longer unit, 'leaf' the halves of a long one.
         """
         group = at = 0
-        for m in UNIT.finditer(text):
+        for m in UNIT.finditer(text) if long_run(leaf).search(text) else ():
             if m.end() - m.start() <= leaf:
                 continue
             if at < m.start():
@@ -227,34 +245,42 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, leaf: int = LEAF
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tree_encoder(public_tokenizers.path(tokenizer))
-        for pdf in batches:
-            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
-                parts = encoder.parts(text, leaf)
-                at = 0
-                while few := list(islice(parts, 256)):
-                    yield pd.DataFrame(few, columns=["kind", "group", "content"]).assign(doc_id=pd.array([doc_id] * len(few), "Int64"), row=row, part=range(at, at + len(few)))
-                    at += len(few)
+        rows = (
+            (doc_id, row, part, *own)
+            for pdf in batches
+            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True)
+            for part, own in enumerate(encoder.parts(text, leaf))
+        )
+        while few := list(islice(rows, 1024)):
+            yield pd.DataFrame(few, columns=["doc_id", "row", "part", "kind", "group", "content"]).astype({"doc_id": "Int64"})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tree_encoder(public_tokenizers.path(tokenizer))
         for pdf in batches:
-            ids = [encoder.encode_part(k, x) for k, x in zip(pdf["kind"], pdf["content"], strict=True)]
+            ids = [encoder.packed(encoder.encode_part(k, x)) for k, x in zip(pdf["kind"], pdf["content"], strict=True)]
             yield pdf.drop(columns="content").assign(ids=ids)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in the order of (row, part): one text after the other."""
         path = public_tokenizers.path(tokenizer)
-        pdf = pdf.sort_values("part")
-        raw = tree_encoder(path).concatenate(list(zip(pdf["kind"], pdf["group"], pdf["ids"], strict=True)))
-        return pd.DataFrame([_row(pdf["doc_id"].iloc[0], raw, path, with_texts)], columns=names).astype({"doc_id": "Int64"})
-
+        encoder = tree_encoder(path)
+        parts = (x for pdf in batches for x in zip(pdf["row"], pdf["doc_id"], pdf["kind"], pdf["group"], pdf["ids"], strict=True))
+        texts = (list(own) for _, own in groupby(parts, key=itemgetter(0)))
+        rows = (_row(own[0][1], encoder.concatenate([(k, g, encoder.unpacked(i)) for *_, k, g, i in own]), path, with_texts) for own in texts)
+        while few := list(islice(rows, 64)):
+            yield pd.DataFrame(few, columns=names).astype({"doc_id": "Int64"})
+
+    # Bytes are few for the work they make: with a number of tasks, adaptive execution does not merge them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = "doc_id long, row long, part int, kind string, `group` int"
     short = own.filter(~long).mapInPandas(whole, schema)
     long_ = (
         own.withColumn("row", F.monotonically_increasing_id()).filter(long)
         .mapInPandas(split, f"{fields}, content string")
-        .repartition("row", "part")  # leaves of one text go to many tasks
+        .repartition(tasks, "row", "part")  # leaves of one text go to many tasks
         .mapInPandas(encode, f"{fields}, ids binary")
-        .groupBy("row").applyInPandas(join, schema)  # one text at a time
+        .repartition(tasks, "row").sortWithinPartitions("row", "part")
+        .mapInPandas(join, schema)  # one text at a time
     )
     return short.unionByName(long_)
 
