@@ -39,7 +39,7 @@ def _engine(name: str) -> None:
 
 
 for _name in ENGINES:
-    if _name != "DM_3dBragg":  # volumes have a query of their own
+    if _name not in ("DM_3dBragg", "DM", "RAAR", "AP", "DM_object_regul"):  # volumes have a query of their own, the others one with SQL
         _engine(_name)
 
 

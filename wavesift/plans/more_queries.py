@@ -92,12 +92,6 @@ def gather_parts(spark, sf_dir):
     return setops.gather([c, s]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total, product(n_nationkey + 1)::DOUBLE AS prod, min(n_nationkey) AS least, max(n_nationkey) AS most FROM nation GROUP BY n_regionkey")
-def allreduce(spark, sf_dir):
-    g = read(spark, sf_dir, "nation").groupBy("n_regionkey")
-    return g.agg(F.sum("n_nationkey").alias("total"), F.product(F.col("n_nationkey") + 1).alias("prod"), F.min("n_nationkey").alias("least"), F.max("n_nationkey").alias("most"))
-
-
 @query(f"SELECT to_plane, k, round(sum(v), 5) + 0.0 AS v FROM (SELECT vec_id % 2 AS to_plane, k, v FROM {VECTOR_SQL}) GROUP BY to_plane, k")
 def sum_to_buffer(spark, sf_dir):
     planes = vector(spark, sf_dir).withColumn("to_plane", F.col("vec_id") % 2)

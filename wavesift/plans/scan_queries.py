@@ -423,77 +423,3 @@ def object_update(spark, sf_dir):
 def wasp_average(spark, sf_dir):
     s = scatter.scatter_add(_patches(spark, sf_dir), ["pixel"], num=F.col("t") * F.col("w"), den=F.when(F.col("pixel") == 0, 0.0).otherwise(F.col("w")))
     return rounded(s.select("pixel", scatter.wasp_average(F.col("num"), F.col("den")).alias("o")), 5, "o")
-
-
-_LL = "sum(CASE WHEN mask THEN (m - intensity) * (m - intensity) / (intensity + 1) ELSE 0 END) / count(*)"
-_MODEL = "(SELECT l_orderkey AS frame, l_quantity AS intensity, l_returnflag <> 'R' AS mask, l_extendedprice / 1000 AS m FROM lineitem)"
-
-
-def _model(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_quantity").alias("intensity"), (F.col("l_returnflag") != "R").alias("mask"), (F.col("l_extendedprice") / 1000).alias("m"))
-
-
-def _errors():
-    i, m, ok = F.col("intensity"), F.col("m"), F.col("mask")
-    d = F.sqrt(m) - F.sqrt(i)
-    return (
-        (F.sum(F.when(ok, d * d)) / F.sum(ok.cast("int"))).alias("err_fourier"),
-        (F.sum(F.when(ok, (m - i) * (m - i) / (i + 1)).otherwise(0.0)) / F.count(F.lit(1))).alias("err_photon"),
-        F.avg((m - i) * (m - i)).alias("err_exit"),
-    )
-
-
-@query(f"SELECT frame, round({_LL}, 5) AS err_photon FROM {_MODEL} GROUP BY frame")
-def log_likelihood(spark, sf_dir):
-    return rounded(_model(spark, sf_dir).groupBy("frame").agg(_errors()[1]), 5, "err_photon")
-
-
-@query(f"SELECT frame, round(sum((sqrt(m) - sqrt(intensity)) * (sqrt(m) - sqrt(intensity))) FILTER (mask) / sum(mask::INT), 5) AS err_fourier FROM {_MODEL} GROUP BY frame")
-def fourier_error(spark, sf_dir):
-    return rounded(_model(spark, sf_dir).groupBy("frame").agg(_errors()[0]), 5, "err_fourier")
-
-
-@query(f"""
-SELECT round(avg(f), 5) AS err_fourier, round(avg(p), 5) AS err_photon, round(avg(e), 5) AS err_exit FROM (SELECT frame, sum((sqrt(m) - sqrt(intensity)) * (sqrt(m) - sqrt(intensity))) FILTER (mask) / sum(mask::INT) AS f, {_LL} AS p, avg((m - intensity) * (m - intensity)) AS e FROM {_MODEL} GROUP BY frame)""")
-def iter_error_mean(spark, sf_dir):
-    e = _model(spark, sf_dir).groupBy("frame").agg(*_errors())
-    names = ("err_fourier", "err_photon", "err_exit")
-    return rounded(e.agg(*[F.avg(n).alias(n) for n in names]), 5, *names)
-
-
-@query(f"SELECT frame, round(sum(CASE WHEN mask THEN m * intensity ELSE 0 END) / sum(CASE WHEN mask THEN m * m ELSE 0 END), 6) AS scale FROM {_MODEL} GROUP BY frame HAVING sum(mask::INT) > 0")
-def float_intensity(spark, sf_dir):
-    w = F.col("mask").cast("int")
-    g = _model(spark, sf_dir).groupBy("frame").agg(F.sum(w).alias("n"), (F.sum(w * F.col("m") * F.col("intensity")) / F.sum(w * F.col("m") * F.col("m"))).alias("scale"))
-    return rounded(g.filter("n > 0").select("frame", "scale"), 6, "scale")
-
-
-@query("""
-SELECT round(sum(w * a0 * a0), 2) AS b0, round(sum(2 * w * a0 * a1), 2) AS b1, round(sum(w * (a1 * a1 + 2 * a0 * a2)), 2) AS b2, round(-sum(2 * w * a0 * a1) / (2 * sum(w * (a1 * a1 + 2 * a0 * a2))), 6) AS step
-FROM (SELECT l_extendedprice / 1000 - l_quantity AS a0, l_discount * 10 AS a1, l_tax + 1 AS a2, 1 / (l_quantity + 1) AS w FROM lineitem)""")
-def ml_line_coeffs(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("a0"), (F.col("l_discount") * 10).alias("a1"), (F.col("l_tax") + 1).alias("a2"), (1 / (F.col("l_quantity") + 1)).alias("w"))
-    b = x.agg(F.sum(F.col("w") * F.col("a0") * F.col("a0")).alias("b0"), F.sum(2 * F.col("w") * F.col("a0") * F.col("a1")).alias("b1"), F.sum(F.col("w") * (F.col("a1") * F.col("a1") + 2 * F.col("a0") * F.col("a2"))).alias("b2"))
-    b = b.withColumn("step", -F.col("b1") / (2 * F.col("b2")))
-    return rounded(rounded(b, 6, "step"), 2, "b0", "b1", "b2")
-
-
-@query("""
-SELECT o_orderkey, shift FROM (SELECT o_orderkey, s AS shift, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(abs(o_totalprice / 1000 - 100 - 7 * s), 6), abs(s), s) AS n FROM orders, (SELECT unnest(range(-10, 11)) AS s)) WHERE n = 1""")
-def posref_argmin(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000 - 100).alias("d"))
-    grid = F.sequence(F.lit(-10).cast("long"), F.lit(10).cast("long"))
-    best = F.array_min(F.transform(grid, lambda s: F.struct(F.round(F.abs(F.col("d") - 7 * s), 6).alias("e"), F.abs(s).alias("a"), s.alias("s"))))
-    return o.select("o_orderkey", best["s"].alias("shift"))
-
-
-@query(f"""
-SELECT vec_id, f, round(sum(v * cos(2 * pi() * f * k / 8)) / sqrt(8), 5) + 0.0 AS re, round(sum(-v * sin(2 * pi() * f * k / 8)) / sqrt(8), 5) + 0.0 AS im
-FROM {VECTOR_SQL}, (SELECT unnest(range(8)) AS f) WHERE k < 8 GROUP BY vec_id, f""")
-def dft_small(spark, sf_dir):
-    import math
-
-    x = vector(spark, sf_dir).filter("k < 8").withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    phi = 2 * math.pi * F.col("f") * F.col("k") / 8
-    g = x.groupBy("vec_id", "f").agg((F.sum(F.col("v") * F.cos(phi)) / math.sqrt(8)).alias("re"), (F.sum(-F.col("v") * F.sin(phi)) / math.sqrt(8)).alias("im"))
-    return rounded(g, 5, "re", "im")
