@@ -25,6 +25,10 @@ from wavesift.functions.special import gaussian_filter, shift_zoom
 from wavesift.plans.session import checkpoint
 
 TILE = 256
+#: Probe and object go out by broadcast up to this size.
+BROADCAST_BYTES = 4 << 30
+#: Frames that one domain of a sequential engine sweeps, where their number is not given.
+DOMAIN_FRAMES = 4096
 #: Sums of up to this many tasks are added at once.
 FAN_IN = 16
 SUMS = "what string, i int, j int, num binary, den binary"
@@ -99,15 +103,28 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(first.what, first.i, first.j, num.astype("<c16").tobytes(), den.astype("<f8").tobytes())], columns=["what", "i", "j", "num", "den"])
 
 
+def tree_levels(tasks: int, fan_in: int = FAN_IN) -> int:
+    """Levels of the tree before the last, in which ``fan_in`` sums at most are added at a time."""
+    levels = 0
+    while tasks > fan_in:
+        tasks, levels = -(-tasks // fan_in), levels + 1
+    return levels
+
+
 def collect_sums(parts: DataFrame) -> dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]]:
-    """Task sums added by key, in two levels where there are many tasks; the driver gets one row for each tile or array."""
-    first = parts
-    if parts.rdd.getNumPartitions() > FAN_IN:
-        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-        first = salted.groupBy("what", "i", "j", "salt").applyInPandas(lambda p: _add_up(p.drop(columns="salt")), SUMS)
+    """Task sums added by key up a tree of fan-in FAN_IN; the driver gets one row for each tile or array.
+
+    No task of any level holds more than FAN_IN sums of a key, however many tasks there were.
+    """
+    levels = tree_levels(parts.rdd.getNumPartitions())
+    if levels:
+        parts = parts.withColumn("node", F.spark_partition_id())
+    for _ in range(levels):
+        above = parts.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("int"))
+        parts = above.groupBy("what", "i", "j", "node").applyInPandas(lambda key, p: _add_up(p.drop(columns="node")).assign(node=key[3]), SUMS + ", node int")
     return {
         (r["what"], r["i"], r["j"]): (np.frombuffer(r["num"], "<c16"), np.frombuffer(r["den"], "<f8"))
-        for r in first.groupBy("what", "i", "j").applyInPandas(_add_up, SUMS).collect()
+        for r in parts.drop("node").groupBy("what", "i", "j").applyInPandas(_add_up, SUMS).collect()
     }
 
 
@@ -134,6 +151,8 @@ class Engine:
     clip_object: tuple[float, float] | None = None
     probe_support: float | None = None
     probe_fourier_support: float | None = None
+    #: A posref.PositionRefinement: places are looked for again after the iterations that it names.
+    position_refinement: object | None = None
     after: Callable[[Engine], None] | None = None
     log: list[dict] = field(default_factory=list)
     name = "engine"
@@ -151,10 +170,25 @@ class Engine:
             began = time.time()
             errors = self.iterate()
             self.log.append({"engine": self.name, "iteration": len(self.log) + 1, "duration": time.time() - began, **errors})
+            if self.position_refinement and self.position_refinement.due(len(self.log)):
+                self.refine_positions()
             if self.after:
                 self.after(self)
         return self.state
 
+    def placed(self) -> DataFrame:
+        """The frames with their places, as the engine uses them."""
+        return self.frames
+
+    def replace_frames(self, frames: DataFrame) -> None:
+        self.frames = frames
+
+    def refine_positions(self) -> None:
+        """Every frame to the best of its candidate places under the present probe and object; in place, without a shuffle."""
+        from wavesift.operators.posref import refined
+
+        self.replace_frames(checkpoint(refined(self.placed(), self.state, self.position_refinement, len(self.log))))
+
     @property
     def iteration(self) -> int:
         return len(self.log)
@@ -165,6 +199,9 @@ class Engine:
         return self.frames.sparkSession.createDataFrame(rows, "engine string, iteration int, duration double, err_fourier double, err_photon double, err_exit double")
 
     def broadcast(self):
+        size = self.state.probe.nbytes + self.state.obj.nbytes
+        if size > BROADCAST_BYTES:
+            raise ValueError(f"probe and object have {size} bytes, more than the {BROADCAST_BYTES} that are broadcast; split the object into scans of their own")
         return self.frames.sparkSession.sparkContext.broadcast((self.state.probe, self.state.obj))
 
     def limited(self, obj: np.ndarray) -> np.ndarray:
@@ -249,6 +286,12 @@ class ProjectionEngine(Engine):
         means = self.waves.agg(*[F.avg(e).alias(e) for e in ERRORS]).first()
         return {e: means[e] or 0.0 for e in ERRORS}
 
+    def placed(self) -> DataFrame:
+        return self.waves
+
+    def replace_frames(self, frames: DataFrame) -> None:
+        self.waves = frames
+
     def frame_error(self) -> DataFrame:
         return self.waves.select("frame_idx", *ERRORS)
 
@@ -499,12 +542,13 @@ class SequentialEngine(Engine):
     """Frame after frame in a seeded random order.
 
     ``domains`` is 1 for the textbook order, in which every step needs the one
-    before and so a single task does them all. More domains deal the frames by
+    before and so a single task does them all; 0 stands for as many as give each
+    DOMAIN_FRAMES frames or fewer. More domains deal the frames by
     place: each is swept by a task of its own on a copy of probe and object, and
     the copies are averaged where they were lit after every ``synchronise`` sweeps.
     """
 
-    domains: int = 1
+    domains: int = 0
     synchronise: int = 1
     object_norm_is_global: bool = False
 
@@ -516,7 +560,9 @@ class SequentialEngine(Engine):
         return 0.0, 1.0, 0.0, 1.0
 
     def domain(self):
-        side = max(1, round(math.sqrt(self.domains)))
+        if self.domains == 0:
+            self.domains = -(-self.frames.count() // DOMAIN_FRAMES) or 1
+        side = max(1, math.ceil(math.sqrt(self.domains)))
         n = self.state.probe.shape[-1]
         h, w = (s - n + 1 for s in self.state.obj.shape[-2:])
         i = F.least(F.floor(F.col("r0") * side / h), F.lit(side - 1))
@@ -579,10 +625,11 @@ class SequentialEngine(Engine):
 
     def iterate(self) -> dict[str, float]:
         shared = self.broadcast()
+        domain = self.domain()
         frames, after, log, self.frames, self.after = self.frames, self.after, self.log, None, None  # the task needs the parameters only
         try:
             run = self.task(shared, len(log))
-            grouped = frames.withColumn("domain", self.domain()).groupBy("domain").applyInPandas(lambda key, pdf: run(key, pdf), SUMS)
+            grouped = frames.withColumn("domain", domain).groupBy("domain").applyInPandas(lambda key, pdf: run(key, pdf), SUMS)
             sums = collect_sums(grouped)
         finally:
             self.frames, self.after = frames, after

@@ -69,6 +69,24 @@ def refine(frames: DataFrame, state: State, how: PositionRefinement, iteration:
     return frames.mapInPandas(run, MOVED)
 
 
+def refined(frames: DataFrame, state: State, how: PositionRefinement, iteration: int = 0) -> DataFrame:
+    """``frames`` with the best place of each, all other columns as they are."""
+    shared = frames.sparkSession.sparkContext.broadcast((state.probe, state.obj))
+    metric = METRICS[how.metric]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probe, obj = shared.value
+        for pdf in batches:
+            places = []
+            for row in pdf.itertuples():
+                r, c, _, intensity, mask = frame_arrays(row)
+                dr, dc, *_ = K.best_shift(probe, obj, r, c, how.shifts(int(row.frame_idx), iteration), intensity, mask, metric)
+                places.append((r + dr, c + dc))
+            yield pdf.assign(r0=[r for r, _ in places], c0=[c for _, c in places])
+
+    return frames.mapInPandas(run, frames.schema)
+
+
 def move(frames: DataFrame, moved: DataFrame) -> DataFrame:
     """Frames at their new places."""
     new = moved.select("frame_idx", "new_r0", "new_c0")

@@ -12,7 +12,7 @@ from wavesift.functions.propagate import Geometry
 from wavesift.operators import bragg, lowrank  # noqa: F401  register their engines
 from wavesift.operators import posref
 from wavesift.operators.engines import ENGINES, State, by_name
-from wavesift.plans.demo_tables import read
+from wavesift.plans.demo_tables import VECTOR_SQL, read, rounded
 from wavesift.sources.frames import moonflower, pixels, prepare, simulated
 from wavesift.functions import generate
 from wavesift.operators.scan import spiral_scan
@@ -39,7 +39,7 @@ def _engine(name: str) -> None:
 
 
 for _name in ENGINES:
-    if _name not in ("DM_3dBragg", "DM", "RAAR", "AP", "DM_object_regul"):  # volumes have a query of their own, the others one with SQL
+    if _name not in ("DM_3dBragg", "DM", "RAAR", "AP", "DM_object_regul", "ML"):  # volumes have a query of their own, the others one with SQL
         _engine(_name)
 
 
@@ -102,7 +102,7 @@ def embedding_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def farfield_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding as an 8 by 8 wave, carried to the far field: power before and after."""
+    """Every embedding as an 8 by 8 wave, carried to the far field and back: power before and after, largest difference."""
     g = Geometry(shape=(8, 8)).resolved()
 
     def run(batches):
@@ -112,7 +112,11 @@ def farfield_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
             f = p.fw(w)
             yield pdf[["vec_id"]].assign(before=(np.abs(w) ** 2).sum(axis=(1, 2)), after=(np.abs(f) ** 2).sum(axis=(1, 2)), back=np.abs(p.bw(f) - w).max(axis=(1, 2)))
 
-    return read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, before double, after double, back double")
+    waves = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, before double, after double, back double")
+    return rounded(waves, 5, "before", "after", "back")
+
+
+ORACLE["farfield_embeddings"] = f"SELECT vec_id, round(sum(v * v), 5) AS before, round(sum(v * v), 5) AS after, 0.0::DOUBLE AS back FROM {VECTOR_SQL} GROUP BY vec_id"
 
 
 for _f in (moonflower_pixels, simulated_scan, prepared_frames, embedding_modes, farfield_embeddings):

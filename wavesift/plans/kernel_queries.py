@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wavesift.functions import kernels as K
 from wavesift.functions.propagate import fourier
-from wavesift.operators.engines import AP, DM, RAAR, SUMS, DMObjectRegul, State, TileSums, collect_sums, object_sums
+from wavesift.operators.engines import AP, DM, ML, RAAR, SUMS, DMObjectRegul, State, TileSums, collect_sums, object_sums
 from wavesift.plans.demo_tables import read, rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,4 +333,26 @@ _projection_engine(RAAR, (-0.5, 0.75, 2.0))
 _projection_engine(AP, (0.0, 1.0, 1.0))
 _projection_engine(DMObjectRegul, (-1.0, 1.0, 2.0))
 
+_PH = "(SELECT vec_id, k, {} AS re, {} AS im FROM fw_ JOIN go USING (y, x))".format(*_times("pr,pi_", "(-a),(-b)"))
+_ML = f"""WITH {_FRAMES},
+fw_ AS (SELECT *, {_PLACED} FROM w),
+f AS {_fw("(SELECT vec_id, k, pr AS re, pi_ AS im FROM w)")},
+mo AS (SELECT vec_id, k, re, im, re * re + im * im AS a0, i, m FROM f JOIN w USING (vec_id, k)),
+y AS {_bw("(SELECT vec_id, k, m / (i + 1) * (a0 - i) * re AS re, m / (i + 1) * (a0 - i) * im AS im FROM mo)")},
+go AS (SELECT y, x, 2 * sum(pr * g.re + pi_ * g.im) AS a, 2 * sum(pr * g.im - pi_ * g.re) AS b FROM fw_ JOIN (SELECT * FROM (SELECT vec_id, k, re, im FROM y)) g USING (vec_id, k) GROUP BY y, x),
+h AS {_fw(_PH)},
+t AS (SELECT -0.5 * sum(2 * m / (i + 1) * (a0 - i) * a1) / sum(m / (i + 1) * (a1 * a1 + 2 * (a0 - i) * a2)) AS t FROM (SELECT i, m, a0, 2 * (mo.re * h.re + mo.im * h.im) AS a1, h.re * h.re + h.im * h.im AS a2 FROM mo JOIN h USING (vec_id, k))),
+n AS (SELECT (mo.re + t * h.re) * (mo.re + t * h.re) + (mo.im + t * h.im) * (mo.im + t * h.im) AS a0, i, m, vec_id FROM mo JOIN h USING (vec_id, k), t)
+SELECT 'ML' AS engine, 1::INT AS iteration, 0.0::DOUBLE AS err_fourier, round(sum(m / (i + 1) * (a0 - i) * (a0 - i)) / count(DISTINCT vec_id) / 64, 6) AS err_photon, 0.0::DOUBLE AS err_exit FROM mo
+UNION ALL SELECT 'ML', 2::INT, 0.0::DOUBLE, round(sum(m / (i + 1) * (a0 - i) * (a0 - i)) / count(DISTINCT vec_id) / 64, 6), 0.0::DOUBLE FROM n"""
+
+
+@query(_ML)
+def engine_ml(spark, sf_dir):
+    """Gradient, line search and step of the Gaussian model, and the cost that they lead to."""
+    e = ML(scan_of_embeddings(spark, sf_dir), State(PROBE.copy(), np.ones((1, FIELD, FIELD), complex)), numiter=2, probe_update_start=99)
+    e.run()
+    return rounded(e.iter_info().drop("duration"), 6, "err_photon")
+
+
 QUERIES["iter_error_mean"], ORACLE["iter_error_mean"] = (lambda spark, sf_dir: QUERIES["engine_ap"](spark, sf_dir).filter("iteration = 1").drop("engine", "iteration")), f"SELECT err_fourier, err_photon, err_exit FROM ({_engine_sql('AP', (0.0, 1.0, 1.0), 1)})"

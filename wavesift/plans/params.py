@@ -208,6 +208,12 @@ def engine_schema() -> Schema:
     s.add("scan.shape", Entry(64, ("int",), low=4))
     s.add("scan.density", Entry(0.2, ("float",), low=0.01, high=1.0))
     s.add("scan.photons", Entry(1e8, ("float",), low=1))
+    s.add("scan.path", Entry(None, ("str", "None"), "file or folder of a source that reads"))
+    s.add("scan.slow", Entry(None, ("str", "None"), "positions along the slow axis: a file, or a name in the file"))
+    s.add("scan.fast", Entry(None, ("str", "None"), "positions along the fast axis"))
+    s.add("scan.layout", Entry("generic", ("str",), "names of the datasets of a facility"))
+    s.add("scan.resolution", Entry(1.0, ("float",), "size of an object pixel in the unit of positions", low=1e-300))
+    s.add("scan.probe_radius", Entry(0.25, ("float",), "radius of the first probe, in frames", low=0.01, high=1.0))
     s.add("io.home", Entry(None, ("str", "None"), "folder of results"))
     s.add("engines.*.name", Entry("DM", ("str",)))
     s.add("engines.*.numiter", Entry(20, ("int",), low=1))

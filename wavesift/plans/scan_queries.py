@@ -278,10 +278,10 @@ def view_coverage(spark, sf_dir):
     return link.view_coverage(views, [], {"pixel": ("lo", "hi")})
 
 
-@query("SELECT p_brand, min(p_size - 2) AS lo, max(p_size + 2) AS hi, count(DISTINCT p_type) AS n_layers FROM part WHERE p_retailprice > 1000 GROUP BY p_brand")
+@query("SELECT p_brand, min(p_size - 2) AS lo, max(p_size + 2) AS hi, count(DISTINCT p_type) AS n_layers FROM part WHERE p_size > 25 GROUP BY p_brand")
 def reformat_bounds(spark, sf_dir):
     v = read(spark, sf_dir, "part").withColumn("lo", F.col("p_size") - 2).withColumn("hi", F.col("p_size") + 2)
-    return link.reformat_bounds(v, ["p_brand"], "lo", "hi", "p_type", F.col("p_retailprice") > 1000).select("p_brand", "lo", "hi", F.size("layers").cast("long").alias("n_layers"))
+    return link.reformat_bounds(v, ["p_brand"], "lo", "hi", "p_type", F.col("p_size") > 25).select("p_brand", "lo", "hi", F.size("layers").cast("long").alias("n_layers"))
 
 
 @query("SELECT o_orderkey, c_custkey, n_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")

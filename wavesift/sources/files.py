@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -146,29 +147,94 @@ def read_images(spark: SparkSession, path: str, roi: tuple[int, int, int, int] |
     return files.mapInPandas(run, "path string, height int, width int, intensity binary, header string")
 
 
-def read_hdf5(spark: SparkSession, path: str, intensity: str, slow: str, fast: str, partitions: int = 8) -> DataFrame:
-    """Frames of an HDF5 file that all executors can open; needs h5py, which is optional."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 needs the h5py module") from e
-    with h5py.File(path, "r") as f:
-        shape = f[intensity].shape
-        ys, xs = (np.asarray(f[k]) for k in (slow, fast))
+@dataclass(frozen=True)
+class Corrections:
+    """What is done to each image: dark, flat, mask of good pixels, norm by frame, rows and columns that are kept."""
+
+    dark: np.ndarray | None = None
+    flat: np.ndarray | None = None
+    mask: np.ndarray | None = None
+    norm: np.ndarray | None = None
+    crop: tuple[int, int, int, int] | None = None
+
+    def apply(self, index: int, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(image, mask) of frame ``index``; dead pixels of the flat are masked."""
+        x, m = image.astype(float), np.ones(image.shape) if self.mask is None else np.asarray(self.mask, float)
+        if self.dark is not None:
+            x = np.maximum(x - self.dark, 0)
+        if self.flat is not None:
+            x, m = np.where(self.flat > 0, x / np.where(self.flat > 0, self.flat, 1), 0), m * (self.flat > 0)
+        if self.norm is not None:
+            x = x / np.asarray(self.norm).ravel()[index]
+        if self.crop is not None:
+            x, m = (a[self.crop[0] : self.crop[1], self.crop[2] : self.crop[3]] for a in (x, m))
+        return x, m
+
+
+def read_stack(spark: SparkSession, open_: Callable, shape: tuple[int, ...], slow, fast, resolution: float = 1.0, corrections: Corrections | None = None, partitions: int | None = None, **subset) -> DataFrame:
+    """Frames of a stack of images with their places on the object.
+
+    ``open_()`` gives, on an executor, a function from a frame's number to its image;
+    ``shape`` is that of the stack. Positions are in the unit of ``resolution``, an
+    object pixel; the least of those that are used is pixel 0. ``subset`` (box, skip,
+    keep, order) is scan_layout's. Frames come in the order of their ``frame_idx``, which
+    counts those that are used; images must be square after the crop.
+    """
     from wavesift.sources.layouts import scan_layout
 
-    layout = scan_layout(shape[:-2], ys, xs)
-    index = spark.createDataFrame(layout, ["idx", "y", "x"]).repartition(partitions)
-    n = shape[-1]
+    own = corrections or Corrections()
+    layout = scan_layout(tuple(shape[:-2]), slow, fast, **subset)
+    low = [min((p[k] for p in layout), default=0.0) for k in (1, 2)]
+    places = [(k, i, round((y - low[0]) / resolution), round((x - low[1]) / resolution)) for k, (i, y, x) in enumerate(layout)]
+    index = spark.createDataFrame(places, "frame_idx long, at long, r0 int, c0 int")
+    n_parts = partitions or max(1, min(len(places) // 64, 4096))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with h5py.File(path, "r") as f:
-            data = f[intensity]
-            for pdf in batches:
-                rows = [(i, 0, 0, n, np.asarray(data[np.unravel_index(i, shape[:-2])]).astype("<f4").tobytes(), np.ones(n * n, np.uint8).tobytes()) for i in pdf["idx"]]
+        image = open_()
+        for pdf in batches:
+            for start in range(0, len(pdf), 64):
+                rows = []
+                for row in pdf.iloc[start : start + 64].itertuples():
+                    x, m = own.apply(int(row.at), np.asarray(image(int(row.at))))
+                    if x.shape[0] != x.shape[1]:
+                        raise ValueError(f"images of {x.shape} are not square; crop them")
+                    rows.append((row.frame_idx, row.r0, row.c0, x.shape[0], x.astype("<f4").tobytes(), (m > 0).astype(np.uint8).tobytes()))
                 yield pd.DataFrame(rows, columns=["frame_idx", "r0", "c0", "n", "intensity", "mask"])
 
-    return index.mapInPandas(run, FRAMES)
+    return index.repartitionByRange(n_parts, "frame_idx").mapInPandas(run, FRAMES)
+
+
+def read_npy(spark: SparkSession, path: str, slow, fast, resolution: float = 1.0, corrections: Corrections | None = None, partitions: int | None = None, **subset) -> DataFrame:
+    """Frames of a .npy file that all executors can open; images are read one by one."""
+    shape = np.load(path, mmap_mode="r").shape
+
+    def open_():
+        data = np.load(path, mmap_mode="r")
+        return lambda i: data[np.unravel_index(i, shape[:-2])]
+
+    return read_stack(spark, open_, shape, slow, fast, resolution, corrections, partitions, **subset)
+
+
+def read_hdf5(spark: SparkSession, path: str, intensity: str, slow: str, fast: str, resolution: float = 1.0, partitions: int | None = None, dark: str | None = None, flat: str | None = None, mask: str | None = None, norm: str | None = None, keep: str | None = None, crop: tuple[int, int, int, int] | None = None, **subset) -> DataFrame:
+    """Frames of an HDF5 file that all executors can open; needs h5py, which is optional. Names are those of its datasets."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 needs the h5py module") from e
+    with h5py.File(path, "r") as f:
+        shape = f[intensity].shape
+        read = lambda k: None if k is None else np.asarray(f[k])
+        average = lambda a: a if a is None or a.ndim == 2 else a.reshape(-1, *a.shape[-2:]).mean(axis=0)
+        ys, xs = read(slow), read(fast)
+        corrections = Corrections(average(read(dark)), average(read(flat)), read(mask), read(norm), crop)
+        if keep is not None:
+            subset["keep"] = read(keep)
+
+    def open_():
+        data = h5py.File(path, "r")[intensity]
+        return lambda i: data[np.unravel_index(i, shape[:-2])]
+
+    return read_stack(spark, open_, shape, ys, xs, resolution, corrections, partitions, **subset)
 
 
 def describe(spark: SparkSession, path: str) -> DataFrame:
