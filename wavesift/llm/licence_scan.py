@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import table, text_or_empty
+from wavesift.llm._common import materialise, table, text_or_empty
 from wavesift.llm.licence_texts import NONE, TEMPLATES
 
 UNKNOWN = "unknown"
@@ -186,8 +186,19 @@ def _scored(paragraphs: DataFrame, key: list[str], model: Model) -> DataFrame:
     return scored.withColumn("family", F.when(F.col("odds") >= model.margin, F.col("best")).otherwise(UNKNOWN)).drop("best")
 
 
-def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Families that a block between blank lines, or a line without a licence word, confirms.
+def candidate_texts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, stem, gate, text): rows as they are written once, with the texts that have a licence word or pass the gate.
+
+    All else reads these rows, so texts are read once and the numbers of rows never change.
+    """
+    text = F.col("text")
+    own = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
+    flagged = own.select("row", "doc_id", _has(WORD_STEMS, text).alias("stem"), _has(GATE, text).alias("gate"), "text")
+    return materialise(flagged.withColumn("text", F.when(F.col("stem") | F.col("gate"), text)))
+
+
+def wrapped_notices(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """Of rows of candidate_texts the families that a block between blank lines, or a line without a licence word, confirms.
 
     Trigrams run over line ends here. A notice is a stretch of at most twice the
     words of a template that holds CONFIRM_PERCENT of its trigrams; the best stretch
@@ -198,12 +209,11 @@ def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Columns: doc_id, row, paragraph (number of the block), family, odds, confirmed (true).
     """
     model = model or fit()
-    templates = docs.sparkSession.createDataFrame(template_trigrams(), "template int, known string, of int, gram string")
+    templates = rows.sparkSession.createDataFrame(template_trigrams(), "template int, known string, of int, gram string")
     lines = F.transform(F.split("block", "\n"), lambda line: F.struct(normal_words(line).alias("ws"), _has(WORD_STEMS, line).alias("stem")))
     of_words = F.transform("lines", lambda x, i: F.transform(x["ws"], lambda w: F.struct(i.alias("line"), x["stem"].alias("stem"))))
     blocks = (
-        docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
-        .filter(_has(GATE, F.col("text")))
+        rows.filter("gate")
         .select("doc_id", "row", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "block"))
         .filter(_has(GATE, F.col("block")))
         .select("doc_id", "row", "paragraph", lines.alias("lines"))
@@ -233,20 +243,19 @@ def wrapped_notices(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return scored.groupBy("doc_id", "row", "paragraph", "family").agg(F.max("odds").alias("odds")).withColumn("confirmed", F.lit(True))
 
 
-def licence_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Candidate paragraphs of all documents, scored and compared.
+def licence_paragraphs(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """Candidate lines of rows of candidate_texts, scored and compared.
 
     Columns: doc_id, row, paragraph (its number), family, odds (thousandths of
     log-odds against unknown), confirmed.
     """
     model = model or fit()
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     # At most one row for each trigram of a template: bounded by licence_texts.
     templates = spark.createDataFrame(template_trigrams(), "template int, family string, of int, gram string")
 
-    own = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
     paragraphs = (
-        own.filter(_has(WORD_STEMS, F.col("text")))
+        rows.filter("stem")
         .select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
         .filter(_has(WORD_STEMS, F.col("line")))
         .select("doc_id", "row", "paragraph", normal_words(F.col("line")).alias("ws"))
@@ -274,26 +283,24 @@ def licence_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     without any; n_candidates counts lines with a licence word in STEMS, n_unknown those of
     the unknown class, n_unconfirmed those whose family no template confirms. What
     wrapped_notices finds beyond these lines counts in n_candidates and n_confirmed. Null texts count as empty. Repeated rows each give a row, an empty
-    table none; other columns are ignored.
+    table none; other columns are ignored. Families of equal odds come in the order of
+    FAMILIES. Very long texts are read whole; their lines and blocks go to many tasks.
 
     Columns: doc_id, n_candidates, n_unknown, n_unconfirmed, n_confirmed, licences.
     """
-    wrapped = wrapped_notices(docs, model)
-    found = licence_paragraphs(docs, model).unionByName(wrapped)
+    rows = candidate_texts(docs)
+    found = licence_paragraphs(rows, model).unionByName(wrapped_notices(rows, model))
     is_known = F.col("family") != UNKNOWN
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    per_row = found.groupBy("doc_id", "row").agg(
+    per_row = found.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_candidates"),
         count(~is_known).alias("n_unknown"),
         count(is_known & ~F.col("confirmed")).alias("n_unconfirmed"),
         count(is_known & F.col("confirmed")).alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(is_known & F.col("confirmed"), F.col("family")))), ",").alias("licences"),
     )
-    zero = F.lit(0).cast("long")
-    stemless = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id()).filter(~_has(WORD_STEMS, F.col("text")))
-    stemless = stemless.select("doc_id", "row").join(wrapped.select("row").distinct(), "row", "left_anti")
-    no_paragraph = stemless.select("doc_id", *[zero.alias(n) for n in ("n_candidates", "n_unknown", "n_unconfirmed", "n_confirmed")], F.lit("").alias("licences"))
-    return per_row.drop("row").unionByName(no_paragraph)
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_candidates", "n_unknown", "n_unconfirmed", "n_confirmed")]
+    return rows.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", *counts, F.coalesce("licences", F.lit("")).alias("licences"))
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
