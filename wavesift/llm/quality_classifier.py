@@ -114,7 +114,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """At most ``rows`` texts of each label that are not held out, chosen by a hash of the id.
 
-    Labels that are null or contradict one another are not used.
+    Labels that are null or contradict one another are not used. Of several texts of
+    one id the least is taken.
     """
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -124,8 +125,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, c
     )
     sample = known.filter("quality = 0").orderBy("h", "doc_id").limit(rows).unionByName(known.filter("quality = 1").orderBy("h", "doc_id").limit(rows))
     ids = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)  # at most 2 * rows
-    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    found = sorted(texts.select("h", "doc_id", "text", "quality").collect())
+    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
+    found = sorted(texts.groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text")).select("h", "doc_id", "text", "quality").collect())
     return [(r["text"], r["quality"]) for r in found]
 
 
