@@ -120,3 +120,10 @@ def test_scatter_add_on_the_small_grid(spark):
     long = scatter_add(spark.createDataFrame(rows, "r int, c int, num double, den double"), ["r", "c"], num=F.col("num"), den=F.col("den"))
     for row in long.collect():
         assert row["num"] == pytest.approx(num[row["r"], row["c"]].real) and row["den"] == pytest.approx(den[row["r"], row["c"]])
+
+
+@pytest.mark.parametrize("ml_type", ["gaussian", "poisson", "euclid"])
+def test_ml_preconditioned_by_the_wavefield_gets_better(spark, ml_type):
+    r = Reconstruction(spark, {"scan": {"num_frames": 9, "shape": 16}, "engines": {"a": {"name": "ML", "numiter": 4, "ml_type": ml_type, "wavefield_precond": True, "poly_line_coeffs": "all", "smooth_gradient": 1.0, "smooth_gradient_decay": 0.5}}})
+    errors = [x["err_photon"] for x in r.engines[0].iter_info().orderBy("iteration").collect()]
+    assert errors[-1] < errors[0]

@@ -147,11 +147,23 @@ def test_exact_line_polynomial():
     rng = np.random.default_rng(5)
     z = lambda: rng.standard_normal((1, 5, 5)) + 1j * rng.standard_normal((1, 5, 5))
     p, o, hp, ho, i, m = z(), z(), z(), z(), rng.uniform(1, 5, (5, 5)), np.ones((5, 5))
-    b = kernels.line_coefficients_all(p, o, hp, ho, i, m)
+    b = kernels.line_coefficients_all("gaussian", p, o, hp, ho, i, m)
     t = 0.37
     assert np.polyval(b[::-1], t) == pytest.approx(kernels.gradients("gaussian", p + t * hp, o + t * ho, i, m)[2])
 
 
+@pytest.mark.parametrize("model", ["poisson", "euclid"])
+def test_line_series_near_and_to_second_order(model):
+    rng = np.random.default_rng(8)
+    z = lambda: rng.standard_normal((2, 5, 5)) + 1j * rng.standard_normal((2, 5, 5))
+    p, o, hp, ho, i, m = z(), z(), z(), z(), rng.uniform(1, 5, (5, 5)), (rng.uniform(size=(5, 5)) > 0.2).astype(float)
+    b = kernels.line_coefficients_all(model, p, o, hp, ho, i, m)
+    assert np.allclose(b[:2], kernels.line_coefficients(model, p, o, hp, ho, i, m)[:2])
+    cost = lambda t: kernels.gradients(model, p + t * hp, o + t * ho, i, m)[2]
+    t = 1e-3
+    assert np.polyval(b[::-1], t) - b[0] == pytest.approx(cost(t) - cost(0), rel=1e-3)
+
+
 @pytest.mark.parametrize("pbound", [None, 0.1, 1e9])
 def test_projection_reaches_the_data(pbound):
     rng = np.random.default_rng(6)

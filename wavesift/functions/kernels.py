@@ -88,15 +88,39 @@ def line_coefficients(model: str, probe, patch, probe_h, patch_h, intensity, mas
     return np.array([(mask * (amp - meas) ** 2).sum(), (mask * (1 - meas / amp) * a1).sum(), (mask * ((1 - meas / amp) * a2 + 0.25 * meas * a1 * a1 / amp**3)).sum()])
 
 
-def line_coefficients_all(probe, patch, probe_h, patch_h, intensity, mask, fw=fourier) -> np.ndarray:
-    """b0..b8 of the Gaussian cost along the line, exact."""
+def cost_series(model: str, a0, intensity, mask) -> list[np.ndarray]:
+    """Factors of 1, d, d^2, ... of a noise model's cost where the model intensity is a0 + d.
+
+    Gaussian: exact. Poisson: to second order of the logarithm. Euclid: the square
+    of the amplitude's second-order expansion.
+    """
+    if model == "gaussian":
+        w = mask / (intensity + 1)
+        return [w * (a0 - intensity) ** 2, 2 * w * (a0 - intensity), w]
+    if model == "poisson":
+        a0 = a0 + 1e-6
+        return [mask * (a0 - intensity * np.log(a0)), mask * (1 - intensity / a0), mask * 0.5 * intensity / a0**2]
+    if model == "euclid":
+        amp, meas = np.sqrt(a0) + 1e-10, np.sqrt(intensity)
+        return [mask * (amp - meas) ** 2, mask * (1 - meas / amp), mask * 0.25 * meas / amp**3, -mask / (8 * amp**4), mask / (64 * amp**6)]
+    raise ValueError(f"no noise model {model!r}")
+
+
+def line_coefficients_all(model: str, probe, patch, probe_h, patch_h, intensity, mask, fw=fourier) -> np.ndarray:
+    """b0..b8 of the cost's series along the line; exact for the Gaussian model."""
     f, g, h = fw(probe * patch), fw(probe * patch_h + probe_h * patch), fw(probe_h * patch_h)
     re = lambda x, y: (x * np.conj(y)).real.sum(axis=0)
-    a = [re(f, f) - intensity, 2 * re(f, g), re(g, g) + 2 * re(f, h), 2 * re(g, h), re(h, h)]
-    w, out = mask / (intensity + 1), np.zeros(9)
-    for i, x in enumerate(a):
-        for j, y in enumerate(a):
-            out[i + j] += (w * x * y).sum()
+    a0, d = re(f, f), [2 * re(f, g), re(g, g) + 2 * re(f, h), 2 * re(g, h), re(h, h)]
+    out, power = np.zeros(9), {0: np.ones_like(a0)}
+    for factor in cost_series(model, a0, intensity, mask):
+        for k, x in power.items():
+            out[k] += (factor * x).sum()
+        grown: dict[int, np.ndarray] = {}
+        for k, x in power.items():
+            for j, y in enumerate(d, 1):
+                if k + j <= 8:
+                    grown[k + j] = grown.get(k + j, 0) + x * y
+        power = grown
     return out
 
 

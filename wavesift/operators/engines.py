@@ -427,6 +427,10 @@ class ML(Engine):
     reg_del2: bool = False
     reg_del2_amplitude: float = 0.01
     smooth_gradient: float = 0.0
+    smooth_gradient_decay: float = 0.0
+    wavefield_precond: bool = False
+    wavefield_delta_object: float = 0.1
+    wavefield_delta_probe: float = 0.1
     scale_precond: bool = False
     scale_probe_object: float = 1.0
     poly_line_coeffs: str = "quadratic"
@@ -437,24 +441,30 @@ class ML(Engine):
         self.num_frames = self.frames.count()
 
     def gradient(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """(object gradient, probe gradient, cost) at the current state, with the regulariser."""
-        shared, model, floating = self.broadcast(), self.ml_type, self.floating_intensities
+        """(object gradient, probe gradient, cost) at the current state, with the regulariser.
+
+        With ``wavefield_precond`` the same pass sums the fluences of object and probe.
+        """
+        shared, model, floating, fluence = self.broadcast(), self.ml_type, self.floating_intensities, self.wavefield_precond
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, (probe, obj) = TileSums(), shared.value
             for pdf in batches:
                 for row in pdf.itertuples():
                     r, c, n, intensity, mask = frame_arrays(row)
-                    g_obj, g_probe, cost = K.gradients(model, probe, obj[:, r : r + n, c : c + n], intensity, mask, floating)
-                    sums.add_patch(r, c, g_obj, np.zeros((n, n)))
-                    sums.add("probe", g_probe, np.zeros(1))
+                    patch = obj[:, r : r + n, c : c + n]
+                    g_obj, g_probe, cost = K.gradients(model, probe, patch, intensity, mask, floating)
+                    sums.add_patch(r, c, g_obj, K.abs2(probe).sum(axis=0) if fluence else np.zeros((n, n)))
+                    sums.add("probe", g_probe, np.broadcast_to(K.abs2(patch), g_probe.shape) if fluence else np.zeros(1))
                     sums.add("cost", np.zeros(1), np.array([cost]))
             yield sums.rows()
 
         sums = collect_sums(self.frames.mapInPandas(partial, SUMS))
         shared.destroy()
-        g_obj = object_sums(sums, self.state.obj.shape[-2:])[0][None]
+        g_obj, lit = (x[None] for x in object_sums(sums, self.state.obj.shape[-2:]))
         cost = float(sums["cost", 0, 0][1][0])
+        if fluence:
+            self.damping = np.sqrt(lit + self.wavefield_delta_object), np.sqrt(sums["probe", 0, 0][1].reshape(self.state.probe.shape) + self.wavefield_delta_probe)
         if self.reg_del2:
             g, value = del2(self.state.obj, self.reg_del2_amplitude)
             g_obj, cost = g_obj + g, cost + value
@@ -471,7 +481,7 @@ class ML(Engine):
                 for row in pdf.itertuples():
                     r, c, n, intensity, mask = frame_arrays(row)
                     at = (slice(None), slice(r, r + n), slice(c, c + n))
-                    own = K.line_coefficients_all(probe, obj[at], hp, ho[at], intensity, mask) if whole and model == "gaussian" else K.line_coefficients(model, probe, obj[at], hp, ho[at], intensity, mask)
+                    own = K.line_coefficients_all(model, probe, obj[at], hp, ho[at], intensity, mask) if whole else K.line_coefficients(model, probe, obj[at], hp, ho[at], intensity, mask)
                     sums.add("line", np.zeros(1), own)
             yield sums.rows()
 
@@ -490,8 +500,11 @@ class ML(Engine):
 
     def iterate(self) -> dict[str, float]:
         g_obj, g_probe, cost = self.gradient()
+        plain_obj, damp_obj, damp_probe = g_obj, *(self.damping if self.wavefield_precond else (1.0, 1.0))
+        g_obj, g_probe = g_obj / damp_obj, g_probe / damp_probe
         if self.smooth_gradient:
-            g_obj = gaussian_filter(g_obj, (0, self.smooth_gradient, self.smooth_gradient))
+            sigma = self.smooth_gradient * (1 - self.smooth_gradient_decay) ** (self.iteration + 1)
+            g_obj = gaussian_filter(g_obj, (0, sigma, sigma))
         if self.iteration < self.probe_update_start:
             g_probe = np.zeros_like(g_probe)
         elif self.scale_precond:
@@ -502,9 +515,10 @@ class ML(Engine):
         beta = 0.0
         if self.old is not None and dot(self.old, self.old) > 0:
             beta = max(0.0, (dot(g, g) - dot(g, self.old)) / dot(self.old, self.old))
-        h = tuple(-x + beta * (s if self.step is not None else 0) for x, s in zip(g, self.step or (0, 0), strict=True))
-        if dot(h, g) > 0:
-            h = tuple(-x for x in g)
+        down = (-g_obj / damp_obj, -g_probe / damp_probe)
+        h = tuple(x + beta * (s if self.step is not None else 0) for x, s in zip(down, self.step or (0, 0), strict=True))
+        if dot(h, (plain_obj, g_probe * damp_probe) if self.wavefield_precond else g) > 0:
+            h = down
         t = self.best_step(self.line(*h))
         self.state = State(self.supported(self.state.probe + t * h[1]), self.limited(self.state.obj + t * h[0]))
         self.old, self.step = g, h

@@ -7,6 +7,7 @@ the SQL with the 64 by 64 sums of a discrete Fourier transform.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -225,15 +226,42 @@ for _model, _name in (("gaussian", "ml_line_coeffs"), ("poisson", "ml_line_poiss
     _line(_model, _name)
 
 _A = ("(a0 - i)", "a1", "a2", "a3", "a4")
+_NINE = [f"b{k}" for k in range(9)]
 _B9 = ", ".join(f"round(sum(m / (i + 1) * ({' + '.join(f'{x} * {_A[k - j]}' for j, x in enumerate(_A) if 0 <= k - j < 5)})), 5) + 0.0 AS b{k}" for k in range(9))
 
 
 @query(f"WITH {_LINE} SELECT vec_id, {_B9} FROM l GROUP BY vec_id")
 def ml_line_all(spark, sf_dir):
     """All nine coefficients of the Gaussian cost along a line."""
-    names = [f"b{k}" for k in range(9)]
-    out = by_frame(spark, sf_dir, ", ".join(f"{n} double" for n in names), lambda a: [tuple(K.line_coefficients_all(PROBE, a["patch"], PROBE_STEP, a["patch_step"], a["intensity"], a["mask"]).tolist())])
-    return rounded(out, 5, *names)
+    return _nine(spark, sf_dir, "gaussian")
+
+
+def _nine(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    out = by_frame(spark, sf_dir, ", ".join(f"{n} double" for n in _NINE), lambda a: [tuple(K.line_coefficients_all(model, PROBE, a["patch"], PROBE_STEP, a["patch_step"], a["intensity"], a["mask"]).tolist())])
+    return rounded(out, 5, *_NINE)
+
+
+#: Factors of d, d^2, ... where the model intensity of a pixel grows by d = a1 t + ... + a4 t^4; x as in _COST.
+_SERIES = {
+    "poisson": ("m * (x - i * ln(x))", "m * (1 - i / x)", "m * i / (2 * x * x)"),
+    "euclid": ("m * (x - sqrt(i)) * (x - sqrt(i))", "m * (1 - sqrt(i) / x)", "m * sqrt(i) / (4 * x * x * x)", "-m / (8 * x * x * x * x)", "m / (64 * x * x * x * x * x * x)"),
+}
+
+
+def _line_all(model: str) -> None:
+    terms: list[list[str]] = [[] for _ in range(9)]
+    for p, factor in enumerate(_SERIES[model]):
+        for powers in itertools.product(range(1, 5), repeat=p):
+            if sum(powers) <= 8:
+                terms[sum(powers)].append(" * ".join([f"f{p}", *(f"a{k}" for k in powers)]))
+    factors = ", ".join(f"{f} AS f{p}" for p, f in enumerate(_SERIES[model]))
+    sums = ", ".join(f"round(sum({' + '.join(t)}), 5) + 0.0 AS b{k}" for k, t in enumerate(terms))
+    ORACLE[f"ml_line_all_{model}"] = f"WITH {_LINE} SELECT vec_id, {sums} FROM (SELECT *, {factors} FROM (SELECT *, {_COST[model][0]} AS x FROM l)) GROUP BY vec_id"
+    QUERIES[f"ml_line_all_{model}"] = lambda spark, sf_dir: _nine(spark, sf_dir, model)
+
+
+for _model in _SERIES:
+    _line_all(_model)
 
 
 # ---- positions ------------------------------------------------------------------
@@ -333,6 +361,8 @@ _projection_engine(RAAR, (-0.5, 0.75, 2.0))
 _projection_engine(AP, (0.0, 1.0, 1.0))
 _projection_engine(DMObjectRegul, (-1.0, 1.0, 2.0))
 
+
+# The direction is the gradient, over the fluence where the wavefield preconditions.
 _PH = "(SELECT vec_id, k, {} AS re, {} AS im FROM fw_ JOIN go USING (y, x))".format(*_times("pr,pi_", "(-a),(-b)"))
 _ML = f"""WITH {_FRAMES},
 fw_ AS (SELECT *, {_PLACED} FROM w),
@@ -356,3 +386,11 @@ def engine_ml(spark, sf_dir):
 
 
 QUERIES["iter_error_mean"], ORACLE["iter_error_mean"] = (lambda spark, sf_dir: QUERIES["engine_ap"](spark, sf_dir).filter("iteration = 1").drop("engine", "iteration")), f"SELECT err_fourier, err_photon, err_exit FROM ({_engine_sql('AP', (0.0, 1.0, 1.0), 1)})"
+
+
+@query(_ML.replace("2 * sum(pr * g.re + pi_ * g.im) AS a, 2 * sum(pr * g.im - pi_ * g.re) AS b", "2 * sum(pr * g.re + pi_ * g.im) / (0.1 + sum(pr * pr + pi_ * pi_)) AS a, 2 * sum(pr * g.im - pi_ * g.re) / (0.1 + sum(pr * pr + pi_ * pi_)) AS b"))
+def engine_ml_wavefield(spark, sf_dir):
+    """As engine_ml, with the gradient over the fluence of the object."""
+    e = ML(scan_of_embeddings(spark, sf_dir), State(PROBE.copy(), np.ones((1, FIELD, FIELD), complex)), numiter=2, probe_update_start=99, wavefield_precond=True)
+    e.run()
+    return rounded(e.iter_info().drop("duration"), 6, "err_photon")
