@@ -184,3 +184,36 @@ def test_parsers():
     assert text.str_to_index("[1:3, :, 4]") == (slice(1, 3), slice(None), 4)
     spec = text.parse_spec("#S 7 ascan x 0 1\n#D today\n#L x  y\n0 1\n1 2\n")
     assert spec[7]["data"] == [[0.0, 1.0], [1.0, 2.0]] and spec[7]["labels"] == ["x", "y"]
+
+
+@pytest.mark.parametrize("offset", [(0, 0, 0), (1, -2, 3), (-1, 2, -3), (5, 0, 0), (0, 0, -9), (0, -4, 0)])
+def test_paste_cuts_what_is_outside(offset):
+    a, b = np.zeros((3, 4, 5)), np.arange(1.0, 61).reshape(3, 4, 5)
+    out = arrays.paste(a, b, offset)
+    for i in np.ndindex(a.shape):
+        j = tuple(x - o for x, o in zip(i, offset, strict=True))
+        assert out[i] == (b[j] if all(0 <= x < n for x, n in zip(j, b.shape, strict=True)) else 0)
+    assert not a.any()
+
+
+def test_text_codes_and_back(spark):
+    values = ["hallo", "", None, "Ä€😀x"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").select("k", text.text_codes(F.col("v"), 7).alias("c")).select("k", "c", text.codes_text(F.col("c")).alias("b")).orderBy("k").collect()
+    assert [r["b"] for r in rows] == values
+    assert list(rows[0]["c"]) == [104, 97, 108, 108, 111, 0, 0] and list(rows[1]["c"]) == [0] * 7
+    assert list(rows[3]["c"]) == list("Ä€😀x".encode())
+
+
+def test_hue_of_plain_colours(spark):
+    rgb = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (1.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rgb)], "k int, r double, g double, b double").select("k", complexcol.rgb_to_hsv(F.struct("r", "g", "b")).alias("x")).orderBy("k")
+    assert np.allclose([tuple(r["x"]) for r in df.collect()], [(0, 1, 1), (1 / 3, 1, 1), (2 / 3, 1, 1), (0, 0, 0.5), (0, 0, 0), (5 / 6, 1, 1)], atol=1e-5)
+
+
+def test_probe_extent_by_angles():
+    g = propagate.BraggGeometry(theta=30.0)
+    e3, e1, e2 = np.array(g.shape) * g.resolution
+    theta = np.deg2rad(g.theta)
+    far = e1 + e3 * np.sin(theta), e3 * np.cos(theta)
+    slant = np.pi / 2 - np.arctan2(*far) - theta
+    assert g.probe_extent() == pytest.approx((np.hypot(*far) * np.cos(slant), e2))

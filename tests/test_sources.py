@@ -106,3 +106,46 @@ def test_schema():
     assert {k: v[0] for k, v in found.items()} == {"a": "PASS", "a.n": "FAIL", "a.kind": "FAIL", "a.more": "UNKNOWN", "e": "PASS", "e.q": "PASS", "e.q.n": "PASS", "b": "INVALID"}
     with pytest.raises(ValueError):
         s.validate({"a": {"n": True}})
+
+
+class _Base:
+    """A scan.
+
+    Defaults:
+
+    [steps]
+    default = 5
+    type = int
+    lowlim = 1
+    help = how many
+      steps it takes
+
+    [label]
+    default = a
+    type = str
+    """
+
+
+class _Own(_Base):
+    """
+    [steps]
+    default = 7
+    type = int
+    lowlim = 1
+
+    [box.size]
+    default = (2, 3)
+    type = tuple, None
+    """
+
+
+def test_schema_from_docstrings_and_options():
+    base, own = Schema().add_class(_Base), Schema().add_class(_Own)
+    assert base.at("steps").help == "how many steps it takes" and base.defaults() == {"steps": 5, "label": "a"}
+    assert own.defaults().to_dict() == {"steps": 7, "label": "a", "box": {"size": (2, 3)}}
+    got = own.from_arguments(["--steps", "9", "--label", "12", "--box.size", "(4, 5)"])
+    assert got.to_dict() == {"steps": 9, "label": "12", "box": {"size": (4, 5)}}
+    with pytest.raises(ValueError):
+        own.from_arguments(["--steps", "0"])
+    with pytest.raises(ValueError):
+        own.from_arguments(["--steps", "__import__('os')"])

@@ -74,6 +74,20 @@ def crop_pad_symmetric(a: np.ndarray, shape: tuple[int, int], center=None) -> tu
     return crop_pad(a, np.stack([low, high], axis=1)), c + low
 
 
+def paste(a: np.ndarray, b: np.ndarray, offset=None) -> np.ndarray:
+    """A copy of ``a`` with ``b`` laid over it at ``offset`` (of any sign); what falls outside is cut off."""
+    if a.ndim != b.ndim:
+        raise ValueError(f"{b.ndim} axes do not fit on {a.ndim}")
+    to, of = [], []
+    for n, m, o in zip(a.shape, b.shape, [0] * a.ndim if offset is None else offset, strict=True):
+        low, high = max(o, 0), max(min(o + m, n), max(o, 0))
+        to.append(slice(low, high))
+        of.append(slice(low - o, high - o))
+    out = a.copy()
+    out[tuple(to)] = b[tuple(of)]
+    return out
+
+
 def orient(a: np.ndarray, orientation: int, center=None):
     """Bit 4 transposes the last two axes, bit 2 flips up-down, bit 1 left-right; the centre moves along."""
     c = None if center is None else list(center)

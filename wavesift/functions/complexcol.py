@@ -68,6 +68,16 @@ def hsv(a: Column, vmin: float = 0.0, vmax: float = 1.0) -> Column:
     return F.struct((0.5 * arg(a) / F.lit(math.pi) + 0.5).alias("h"), F.lit(1.0).alias("s"), v.alias("v"))
 
 
+def rgb_to_hsv(c: Column, eps: float = 1e-6) -> Column:
+    """RGB struct to HSV struct; hue 0 where it is grey, saturation 0 where it is black. Of equal largest parts red comes first."""
+    r, g, b = (c[k].cast("double") for k in "rgb")
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = top - low + eps
+    part = {k: (top - x) / span for k, x in (("r", r), ("g", g), ("b", b))}
+    sixth = F.when(top == low, 0.0).when(r == top, part["b"] - part["g"]).when(g == top, 2.0 + part["r"] - part["b"]).otherwise(4.0 + part["g"] - part["r"])
+    return F.struct(F.pmod(sixth / 6.0, F.lit(1.0)).alias("h"), F.when(top <= eps, 0.0).otherwise((top - low) / (top + eps)).alias("s"), top.alias("v"))
+
+
 def rgb(h: Column) -> Column:
     """HSV struct (each 0..1) to RGB struct (0..255, rounded down)."""
     i = F.floor(h["h"] * 6.0)

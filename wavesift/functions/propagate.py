@@ -156,6 +156,12 @@ class BraggGeometry:
     def bw(self, w: np.ndarray) -> np.ndarray:
         return np.fft.ifftn(w, axes=(-3, -2, -1), norm="ortho")
 
+    def probe_extent(self) -> tuple[float, float]:
+        """Height and width in m of the smallest beam that covers the field of view."""
+        e3, e1, e2 = (n * d for n, d in zip(self.shape, self.resolution, strict=True))
+        t = np.deg2rad(self.theta)
+        return float(e1 * np.cos(t) + e3 * np.sin(2 * t)), float(e2)
+
     def probe_3d(self, wave: np.ndarray) -> np.ndarray:
         """A two-dimensional wavefield extended along the beam, on natural pixels."""
         return self.shear(np.repeat(wave[None], self.shape[0], axis=0), inverse_=True)

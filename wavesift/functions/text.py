@@ -4,6 +4,22 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def text_codes(s: Column, width: int = 0) -> Column:
+    """The bytes of a text as numbers, with zeros up to ``width``; null stays null."""
+    own = F.transform(F.sequence(F.lit(1), F.octet_length(s)), lambda i: F.conv(F.hex(F.substring(F.encode(s, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+    own = F.when(F.octet_length(s) > 0, own).when(s.isNotNull(), F.array().cast("array<int>"))
+    return F.concat(own, F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.octet_length(s), F.lit(0))))
+
+
+def codes_text(codes: Column) -> Column:
+    """The text of ``text_codes``; zeros are left out."""
+    digits = F.transform(F.filter(codes, lambda x: x != 0), lambda x: F.lpad(F.hex(x), 2, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-8")
+
 
 def str_to_range(s: str) -> list[int]:
     """'a', 'a:b' or 'a:b:c' as a list of indices, the end left out."""

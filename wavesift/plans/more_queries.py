@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.functions import complexcol as cc
+from wavesift.functions import text
 from wavesift.operators import partition, scan, scatter, select, setops
 from wavesift.plans.demo_tables import VECTOR_SQL, WAVES_SQL, read, rounded, vector, waves
 from wavesift.plans.session import shared_folder
@@ -118,6 +119,22 @@ def complex_to_red(spark, sf_dir):
     return w.select("vec_id", "k", F.floor(red * 255 + 1e-9).cast("int").alias("r"))
 
 
+@query(f"""
+WITH c AS (SELECT vec_id, k, abs(re) AS r, abs(im) AS g, abs(re - im) / 2 AS b FROM {WAVES_SQL}), t AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM c),
+d AS (SELECT *, CASE WHEN top = low THEN 0 WHEN r = top THEN (g - b) / (top - low + 1e-6) WHEN g = top THEN 2 + (b - r) / (top - low + 1e-6) ELSE 4 + (r - g) / (top - low + 1e-6) END / 6 AS h FROM t)
+SELECT vec_id, k::INT AS k, round(h - floor(h), 5) AS h, round(CASE WHEN top <= 1e-6 THEN 0 ELSE (top - low) / (top + 1e-6) END, 5) AS s, round(top, 5) AS v FROM d""")
+def rgb_to_hsv(spark, sf_dir):
+    c = F.struct(F.abs("re").alias("r"), F.abs("im").alias("g"), (F.abs(F.col("re") - F.col("im")) / 2).alias("b"))
+    return rounded(waves(spark, sf_dir).select("vec_id", "k", cc.rgb_to_hsv(c).alias("x")).select("vec_id", "k", "x.h", "x.s", "x.v"), 5, "h", "s", "v")
+
+
+@query("SELECT c_custkey, array_to_string([ascii(x) FOR x IN string_split(c_name, '')], ',') || repeat(',0', greatest(24 - length(c_name), 0)::BIGINT) AS codes, c_name AS back FROM customer")
+def text_codes(spark, sf_dir):
+    """Names as numbers and back."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", text.text_codes(F.col("c_name"), 24).alias("x"))
+    return c.select("c_custkey", F.array_join("x", ",").alias("codes"), text.codes_text(F.col("x")).alias("back"))
+
+
 # ---- grids, positions, regions ----------------------------------------------
 
 

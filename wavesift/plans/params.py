@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import argparse
+import ast
 import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -133,6 +136,23 @@ class Entry:
         return None
 
 
+def _literal(text: str):
+    """The number, text, tuple and so on that is written; other writing stands for itself. Nothing is evaluated."""
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        return text
+
+
+def _entry(own: Mapping[str, str]) -> Entry:
+    types = tuple(t.strip() for t in own.get("type", "").split(",") if t.strip())
+    default = _literal(own["default"]) if own.get("default") else None
+    if types and set(types) <= {"str", "file"} and default is not None:
+        default = str(default)
+    values = {k: _literal(own[k]) if own.get(k) else None for k in ("lowlim", "uplim", "choices", "userlevel")}
+    return Entry(default, types, own.get("help", ""), values["lowlim"], values["uplim"], values["choices"], 1 if values["userlevel"] is None else values["userlevel"])
+
+
 @dataclass
 class Schema:
     """A tree of entries."""
@@ -149,6 +169,47 @@ class Schema:
         at.children[leaf] = entry
         return self
 
+    def add_text(self, text: str, prefix: str = "") -> Schema:
+        """Entries from text: a '[path]' line, then 'key = value' lines (default, type, help, lowlim, uplim, choices, userlevel).
+
+        More lines than one of a value are joined by blanks. Values are literals; what is none stands for itself.
+        """
+        name, own, last = None, {}, None
+        for line in (*text.splitlines(), "[]"):
+            line = line.strip()
+            if line.startswith("[") and line.endswith("]") and "=" not in line:
+                if name:
+                    self.add(prefix + name, _entry(own))
+                name, own, last = line[1:-1].strip(), {}, None
+            elif name and re.match(r"\w+\s*=", line):
+                last, value = (x.strip() for x in line.split("=", 1))
+                own[last] = value
+            elif name and line and last:
+                own[last] += " " + line
+        return self
+
+    def add_class(self, cls: type, prefix: str = "") -> Schema:
+        """Entries in the docstrings of a class and its bases, the class's own last."""
+        for c in reversed(cls.__mro__):
+            self.add_text(c.__dict__.get("__doc__") or "", prefix)
+        return self
+
+    def arguments(self, parser: argparse.ArgumentParser | None = None) -> argparse.ArgumentParser:
+        """An option '--path' for every entry that has no children and no wildcard."""
+        parser = parser or argparse.ArgumentParser()
+        for path, entry in self.paths():
+            if not entry.children and "*" not in path.split("."):
+                parser.add_argument("--" + path, dest=path, default=argparse.SUPPRESS, help=entry.help.replace("%", "%%"), type=lambda v, e=entry: v if set(e.types) & {"str", "file"} and v != "None" else _literal(v))
+        return parser
+
+    def from_arguments(self, argv: Sequence[str]) -> Param:
+        """Defaults with what the options say; values that are not allowed raise ValueError."""
+        out = self.defaults()
+        for path, value in vars(self.arguments().parse_args(argv)).items():
+            out[path] = value
+        self.validate(out)
+        return out
+
     def link(self, path: str, target: str) -> Schema:
         """``path`` has the children of ``target``."""
         return self.add(path, Entry(types=("Param",), children=self.at(target).children))
@@ -223,5 +284,7 @@ def engine_schema() -> Schema:
     s.add("engines.*.overlap_max_iterations", Entry(3, ("int",), low=1))
     s.add("engines.*.overlap_converge_factor", Entry(0.05, ("float",), low=0))
     s.add("engines.*.ml_type", Entry("gaussian", ("str",), choices=("gaussian", "poisson", "euclid")))
+    s.add("engines.*.poly_line_coeffs", Entry("quadratic", ("str",), choices=("quadratic", "all")))
+    s.add("engines.*.wavefield_precond", Entry(False, ("bool",), "gradients over the fluence"))
     s.add("engines.*.clip_object", Entry(None, ("tuple", "None")))
     return s
