@@ -24,8 +24,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (word 5-grams, Jaccard 0.8 or more): the one with the smallest doc_id.
 
-    By the positional index, tally and check of the SimHash operator, over bytes of
-    another fingerprint: 64 SimHash bits say too little at 0.8.
+    By SimHash, a positional index and tally as in the SimHash operator, over 24
+    fingerprints in place of one, as 64 bits say too little at 0.8; exact sets decide.
     """
     return jaccard_dedup.drop_near_copies(docs)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -99,3 +100,57 @@ def test_one_row_of_each_class_whatever_repeats(spark, drop):
     largest = drop is exact_dedup.drop_exact_copies
     assert got == [("a", 5 if largest else 1), ("b", 5), ("c", 7), ("d", None), ("e", None)]
     assert sorted(map(repr, drop(docs.repartition(5)).collect())) == sorted(map(repr, out.collect()))  # ties are not left to chance
+
+
+def test_positional_bytes_are_a_simhash_of_the_shingles():
+    """Each bit is the majority of votes of distinct shingles: near copies differ in an angle's share of bits, others in half."""
+    rng, own, other = random.Random(6), [], []
+    for _ in range(40):
+        ws = [f"w{rng.random()}" for _ in range(204)]
+        a, b, c = (J.shingles(" ".join(x)) for x in (ws, changed(rng, ws, 18), ws[::-1]))  # a and b: 178 of 200 shingles each
+        x, y, z = (np.unpackbits(np.frombuffer(J.positional_bytes(s), np.uint8)) for s in (a, b, c))
+        own.append((x != y).mean())
+        other.append((x != z).mean())
+    assert abs(np.mean(own) - np.arccos(178 / 200) / np.pi) < 0.01 and abs(np.mean(other) - 0.5) < 0.01
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 3, 4, 300, 700)]
+    for s in sets:  # votes add up: a bit that two halves agree on, the whole has, too
+        x, y, whole = (np.unpackbits(np.frombuffer(J.positional_bytes(p), np.uint8)) for p in (s[: len(s) // 2], s[len(s) // 2 :], s))
+        agree = x == y
+        assert len(s) == 1 or (whole[agree] == x[agree]).all()
+
+
+def test_components_of_keys_by_all_pairs():
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.integers(0, 30, 400))
+    base = rng.integers(0, 1 << 64, (8, 3), np.uint64)
+    bits = base[rng.integers(0, 8, 400)]
+    for _ in range(30):
+        bits[np.arange(400), rng.integers(0, 3, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400, np.uint64)
+    want = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if key[i] == key[j] and np.bitwise_count(bits[i] ^ bits[j]).sum() <= J.MOST and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    got = J.components(key, *bits.T)
+    assert got.tolist() == want and 30 < len(set(want)) < 400
+
+
+def test_keys_of_many_texts_are_cut_without_loss(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], SCHEMA).repartition(3)
+    got = [r["doc_id"] for r in J.drop_near_copies(docs, block=4, key_block=2).collect()]
+    assert sorted(got) == sorted(kept_by_all_pairs(rows))
+
+
+def test_recall_at_the_threshold_through_all_filters():
+    """Pairs of exactly 0.8, short texts among them, through index, bits and tally."""
+    rng, lost = np.random.default_rng(9), 0
+    for k in range(2000):
+        a, b, both = [(50, 50, 400), (0, 100, 400), (0, 1, 4), (1, 1, 8), (10, 0, 40)][k % 5]
+        u = rng.integers(0, 1 << 64, a + b + both, np.uint64)
+        x, y = J.positional_bytes(u[: a + both]), J.positional_bytes(u[a:])
+        x_, y_ = (np.frombuffer(f, np.uint64) for f in (x, y))
+        met = (J.index_keys(x) == J.index_keys(y)).any() and np.bitwise_count(x_[:3] ^ y_[:3]).sum() <= J.MOST
+        lost += not (met and sum(p == q for p, q in zip(x, y, strict=True)) >= J.LEAST)
+    assert lost <= 8  # 2 expected

@@ -1,17 +1,18 @@
-"""Near copies by word 5-gram Jaccard similarity: the near-duplicate stage of the pipeline.
+"""Near copies by word 5-gram Jaccard similarity: the SimHash near-duplicate stage of the pipeline.
 
 The way is that of simhash_dedup, a byte-position inverted index with count
-filtering, over another fingerprint. At similarity 0.8 the 64 bits of a SimHash
-differ in ten places and more, so no number of its 8 bytes is shared for sure.
-Here every text has POSITIONS bytes, each of the least of its shingles' hashes
-under a function of its own: two texts of similarity s share a byte with
-probability s at least. The index lists a text under the bytes of each of
-POSITIONS / WIDTH sets of WIDTH positions; a pair of similarity 0.8 is listed
-together under none with probability 7e-5. Where texts meet, the shared bytes of
-all positions are tallied, pairs with fewer than LEAST are dropped (0.8 falls
-below with probability 1e-7), and exact shingle sets decide. Only a spanning
-forest of the links of a key leaves its task; keys of many texts are cut into
-blocks that meet two by two.
+filtering over SimHash, for another threshold: at similarity 0.8 a bit of two
+SimHashes differs with probability 0.15, so the 8 bytes of one say too little.
+Here every text has POSITIONS bytes, 24 SimHashes of 64 bits of its distinct
+shingles. A shingle votes on each bit with a byte of its hash, from -127.5 to
+127.5, in place of +1 or -1, so that votes of short texts hardly tie. The index
+lists a text under the bytes of each of POSITIONS / WIDTH sets of WIDTH positions;
+a pair of similarity 0.8 is listed together under none with probability 8e-4, one
+of 0.85 with 1e-5. Texts of one key whose first 192 bits differ in MOST or fewer
+go on, as components. There the shared bytes of all positions are tallied, pairs
+with fewer than LEAST are dropped, and exact shingle sets decide. Only a spanning
+forest of the links of a group leaves its task; keys and groups of many texts are
+cut into blocks that meet two by two.
 """
 
 from __future__ import annotations
@@ -21,21 +22,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavesift.llm._common import join_split, materialise, row_key, rows_of_keys, small_batches, text_or_empty
+from wavesift.llm._common import join_counted, join_split, materialise, row_key, rows_of_keys, small_batches, text_or_empty
 from wavesift.llm.simhash_dedup import connected_components
 
 SHINGLE = 5
 #: Texts are near copies from this Jaccard similarity on, in percent.
 PERCENT = 80
-POSITIONS, WIDTH = 120, 5
+POSITIONS, WIDTH = 192, 2
 #: Positional bytes that a pair must share: five and a half deviations below what is expected at 0.8.
-LEAST = 72
+LEAST = 18
+#: Of the first 192 bits so many may differ: four deviations above what is expected at 0.8, six below that of other texts.
+MOST = 50
 SEED = 42
 #: Texts of one key that a task compares with one another at most, twice this for two blocks.
 BLOCK = 512
+#: Fingerprints of one key that a task compares with one another at most, twice this for two blocks.
+KEY_BLOCK = 4096
+#: Texts of a key are counted by one node in so many, to cut large keys; which texts meet does not depend on it.
+COUNTED = 16
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -54,21 +61,68 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return flips, factors | np.uint64(1)
 
 
-def positional_bytes(own: np.ndarray) -> bytes:
-    """The fingerprint of a text with these shingles: one byte of the least hash for each position."""
-    flips, factors = _CONSTANTS
-    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 512):
-        np.minimum(least, ((own[at : at + 512, None] ^ flips) * factors).min(axis=0), out=least)
-    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
 _CONSTANTS = _constants()
+#: Every other byte of a word. Sums of 256 bytes stay within two.
+LANES = np.uint64(0x00FF00FF00FF00FF)
 
 
-def index_keys(fingerprint: Column) -> Column:
+def positional_bytes(own: np.ndarray) -> bytes:
+    """The SimHashes of a text with these shingles: a bit is 1 where the bytes that its shingles vote with are above 127.5 on average."""
+    flips, factors = _CONSTANTS
+    votes = np.zeros((2, POSITIONS * 4), np.int64)
+    for at in range(0, len(own), 256):
+        words = own[at : at + 256, None] ^ flips
+        words *= factors
+        words ^= words >> np.uint64(32)
+        words *= np.uint64(0x9E3779B97F4A7C15)
+        votes[0] += (words & LANES).sum(axis=0).view(np.uint16)
+        words >>= np.uint64(8)
+        words &= LANES
+        votes[1] += words.sum(axis=0).view(np.uint16)
+    return np.packbits(2 * votes > 255 * len(own)).tobytes()
+
+
+def index_keys(fingerprint: bytes) -> np.ndarray:
     """The keys under which a text is listed: the number of a set of positions, and their bytes."""
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(fingerprint, 1 + k * WIDTH, WIDTH)) for k in range(POSITIONS // WIDTH)])
+    own = np.frombuffer(fingerprint, np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    return np.arange(len(own)) << 8 * WIDTH | own @ (1 << 8 * np.arange(WIDTH))
+
+
+def components(key: np.ndarray, *bits: np.ndarray) -> np.ndarray:
+    """For rows sorted by key, the first row of each one's component: rows of a key are linked where MOST or fewer bits of their words differ."""
+    first, i, step = np.arange(len(key)), np.arange(len(key)), 1
+    while True:
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        if not len(i):
+            return first
+        j = i + step
+        near = sum(np.bitwise_count(x[i] ^ x[j]) for x in bits) <= MOST
+        u, v = first[i[near]], first[j[near]]
+        while (u != v).any():
+            np.minimum.at(first, np.maximum(u, v), np.minimum(u, v))
+            while (first[first] != first).any():
+                first = first[first]
+            u, v = first[u], first[v]
+        step += 1
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over rows (cell, node, x, y, z) sorted by cell: components of two or more, by the node of their first row."""
+
+    def of(cell: np.ndarray, node: np.ndarray, *bits: np.ndarray) -> pd.DataFrame:
+        first = components(cell, *(x.view(np.uint64) for x in bits))
+        some = np.bincount(first, minlength=len(first))[first] > 1
+        return pd.DataFrame({"cell": cell[some], "root": node[first[some]], "node": node[some]})
+
+    rows = np.empty((5, 0), np.int64)
+    for pdf in batches:
+        rows = np.concatenate([rows, pdf[["cell", "node", "x", "y", "z"]].to_numpy(np.int64).T], axis=1)
+        last = np.searchsorted(rows[0], rows[0, -1]) if rows.size else 0
+        if last:
+            yield of(*rows[:, :last])
+            rows = rows[:, last:]
+    yield of(*rows)
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], bytes_: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
@@ -125,19 +179,41 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, first, fingerprint) for each distinct text; node is its 64-bit hash, first its least doc_id."""
+    """(node, first, keys, x, y, z) for each distinct text; node is its 64-bit hash, first its least doc_id, x to z are its first 192 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": pdf["node"], "fingerprint": [positional_bytes(shingles(t, shingle)) for t in pdf["text"]]})
+            own = [positional_bytes(shingles(t, shingle)) for t in pdf["text"]]
+            bits = np.frombuffer(b"".join(own), np.int64).reshape(-1, POSITIONS // 8)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": pdf["node"], "keys": [index_keys(f) for f in own], "x": bits[:, 0], "y": bits[:, 1], "z": bits[:, 2]})
 
     text = text_or_empty()
     own = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node"), text.alias("text"))
-    rows = own.mapInPandas(run, "doc_id long, node long, fingerprint binary")
-    return rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("fingerprint").alias("fingerprint"))
+    rows = own.mapInPandas(run, "doc_id long, node long, keys array<int>, x long, y long, z long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    return rows.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("keys", "x", "y", "z")])
+
+
+def meetings(nodes: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
+    """(key, node): groups of two or more texts that may be near copies; every pair listed under one key that passes the bits is in one."""
+    listed = nodes.select("node", "x", "y", "z", F.explode("keys").alias("key"))
+    count = (F.count(F.lit(1)) * COUNTED).alias("count")
+    large = materialise(listed.filter(F.pmod("node", F.lit(COUNTED)) == 0).groupBy("key").agg(count).filter(F.col("count") > block))
+    cells = (
+        join_counted(listed, large, ["key"], "node", "left")
+        .withColumn("cut", F.coalesce(F.ceil(F.col("count") / F.lit(block)).cast("long"), F.lit(1).cast("long")))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
+        .select(
+            F.shiftleft(F.least("own", "other"), 43).bitwiseOR(F.shiftleft(F.greatest("own", "other"), 23)).bitwiseOR(F.col("key").cast("long")).alias("cell"),
+            "node", "x", "y", "z",
+        )
+    )
+    met = cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_meetings, "cell long, root long, node long")
+    return met.select(F.xxhash64("cell", "root").alias("key"), "node")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK) -> DataFrame:
     """(u, v), u > v: links between distinct texts that connect all that links connect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +221,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: in
             own = [shingles(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in own], "fingerprint": [positional_bytes(s) for s in own]})
 
-    listed = nodes.select("node", F.explode(index_keys(F.col("fingerprint"))).alias("key"))
+    listed = materialise(meetings(nodes, key_block))
     groups = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     groups = materialise(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"))  # one key for each set of texts
     met = materialise(join_split(listed, groups, "key", "n"))
@@ -164,7 +240,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: in
     return pairs.distinct()
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK) -> DataFrame:
     """``docs`` with one row of each class, one with the smallest doc_id; all columns stay, whatever their names.
 
     Texts of Jaccard similarity ``percent`` or more are linked; classes are what
@@ -174,7 +250,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     is larger than any. An empty table gives none.
     """
     nodes = materialise(sketches(docs, shingle))
-    root = connected_components(links(docs, nodes, shingle, percent, block))
+    root = connected_components(links(docs, nodes, shingle, percent, block, key_block))
     placed = nodes.join(root.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "first", F.coalesce("v", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("f")).select(row_key(F.col("f.first.doc_id"), F.col("f.node")))
     return rows_of_keys(docs, row_key(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty())), kept)
