@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.llm import bpe, exact_dedup, licence_scan, packing, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
+from wavesift.llm import (
+    bpe,
+    exact_dedup,
+    licence_scan,
+    packing,
+    pii,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    url_filter,
+    whitening,
+)
 
 _QUERIES = {
     f.__name__: f
@@ -21,6 +34,8 @@ _QUERIES = {
         pii.op8_pii,
         quality_rules.op9_quality_rules,
         url_filter.op10_url_filters,
+        prefix_trie.op11_prefix_trie,
+        whitening.op13_whitening,
     )
 }
 
@@ -35,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_url_filters": url_filter.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
     }
