@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As materialise, but a Parquet table: its size is known from its files.
+
+    A checkpoint keeps the estimated size of its plan, in which joins multiply;
+    after a chain of them the planner reckons with numbers of a million digits.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Rows of a side up to which it is broadcast; they are counted first. Rows are keys and numbers, of 100 bytes or so.
 BROADCAST_ROWS = 50_000
 #: Tasks that the rows of one key are dealt to in a join that is not broadcast.

@@ -10,6 +10,7 @@ from wavesift.llm import (
     bpe,
     exact_dedup,
     licence_scan,
+    ngram_join,
     packing,
     pii,
     prefix_trie,
@@ -35,6 +36,7 @@ _QUERIES = {
         quality_rules.op9_quality_rules,
         url_filter.op10_url_filters,
         prefix_trie.op11_prefix_trie,
+        ngram_join.op12_ngram_join,
         whitening.op13_whitening,
     )
 }

@@ -13,7 +13,7 @@ two in tasks of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -169,14 +169,14 @@ def salted(edges: DataFrame, least: DataFrame, salts: int = SALTS) -> DataFrame:
     return own.join(copies.hint("merge"), ["u", "salt"]).drop("salt")  # never by broadcast: nodes grow with the input
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """(u, v): the smallest node v that each linked node u > v reaches.
 
     Alternating large and small stars; each round is two aggregations and joins,
-    written to the shared folder. Ends when a round changes nothing.
+    written to the shared folder by ``cut``. Ends when a round changes nothing.
     """
     size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")]
-    edges = materialise(edges)
+    edges = cut(edges)
     before = edges.agg(*size).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -184,7 +184,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = salted(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted(large, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.u", "e.v").filter("u != v").distinct())
+        edges = cut(small.select("e.u", "e.v").filter("u != v").distinct())
         now = edges.agg(*size).first()
         if now == before:
             return edges
