@@ -9,8 +9,7 @@ from wavesift.plans.params import Entry, Param, Schema, as_param
 from wavesift.sources import files
 from wavesift.sources.frames import FRAMES, moonflower, prepare, quickscan
 from wavesift.sources.layouts import scan_layout
-from wavesift.streaming.live import EOS, WAIT, FrameFeed, LiveReconstruction, feed_of
-from wavesift.streaming.rocking import complete_positions, complete_positions_stream
+from wavesift.streaming.live import EOS, WAIT, FrameFeed, feed_of
 
 
 def test_frames_round_trip_and_partitions(spark, tmp_path):
@@ -36,26 +35,6 @@ def test_feed_waits_for_enough(spark):
     assert feed_of(frames, total=5, min_frames=10).next(20).count() == 5
 
 
-def test_live_reconstruction(spark, tmp_path):
-    frames, probe, obj = moonflower(spark, 16, 16, 0.3)
-    files.write_frames(frames, str(tmp_path / "in"), "s", 8)
-    live = LiveReconstruction(lambda f, s: DM(f, s), State(probe[None].astype(complex), np.ones((1, *obj.shape), complex)), str(tmp_path / "seen"))
-    stream = files.stream_frames(spark, str(tmp_path / "in"), 1).select(*[c.split()[0] for c in FRAMES.split(", ")])
-    live.start(stream, str(tmp_path / "cp")).awaitTermination(120)
-    assert live.frames_seen == 16 and not np.allclose(live.state.obj, 1)
-
-
-def test_rocking_curves(spark, tmp_path):
-    rows = [(p, a) for p in range(3) for a in range(4) if (p, a) != (2, 1)]
-    df = spark.createDataFrame(rows, "pos int, angle int")
-    assert {r["pos"]: r["angles"] for r in complete_positions(df, "pos", "angle", 4).collect()} == {0: [0, 1, 2, 3], 1: [0, 1, 2, 3]}
-    df.repartition(2).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("pos int, angle int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = complete_positions_stream(stream, "pos", "angle", 4).writeStream.format("memory").queryName("rocking").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    assert {r["pos"] for r in spark.table("rocking").collect()} == {0, 1}
-
-
 def test_images(spark, tmp_path):
     a = np.arange(12, dtype=float).reshape(3, 4)
     (tmp_path / "x.edf").write_bytes(files.encode_edf(a))

@@ -12,13 +12,28 @@ def abs2(a: np.ndarray) -> np.ndarray:
     return a.real**2 + a.imag**2
 
 
+def pairs(probe, patch):
+    """Waves of every probe mode with every object mode, those of one probe mode side by side: (probe modes * object modes, n, n)."""
+    return (probe[:, None] * patch[None]).reshape(-1, *np.broadcast_shapes(probe.shape[1:], patch.shape[1:]))
+
+
+def object_sum(probe, waves, modes: int):
+    """conj(P) psi summed over the probe modes, for each object mode."""
+    return (np.conj(probe)[:, None] * waves.reshape(len(probe), modes, *waves.shape[1:])).sum(axis=0)
+
+
+def probe_sum(patch, waves, modes: int):
+    """conj(O) psi summed over the object modes, for each probe mode."""
+    return (np.conj(patch)[None] * waves.reshape(modes, len(patch), *waves.shape[1:])).sum(axis=1)
+
+
 def projection(psi, probe, patch, intensity, mask, a: float, b: float, c: float, pbound: float | None = None, fw=fourier, bw=inverse):
     """[x + a O + b F (c O + y)] psi with x = 1 - a - b, y = 1 - c. Returns (psi, err_fourier, err_exit).
 
     Within the power bound the Fourier constraint holds already, and the
     update takes no second transform.
     """
-    po = probe * patch
+    po = pairs(probe, patch)
     f = fw((1 - c) * psi + c * po)
     model = np.sqrt(abs2(f).sum(axis=0))
     measured = np.sqrt(np.abs(intensity))
@@ -34,7 +49,7 @@ def projection(psi, probe, patch, intensity, mask, a: float, b: float, c: float,
 
 
 def log_likelihood(probe, patch, intensity, mask, fw=fourier) -> float:
-    model = abs2(fw(probe * patch)).sum(axis=0)
+    model = abs2(fw(pairs(probe, patch))).sum(axis=0)
     return float((mask * (model - intensity) ** 2 / (intensity + 1)).sum() / intensity.size)
 
 
@@ -46,8 +61,8 @@ def step_update(target, other, change, a: float, b: float, power=None):
 
 
 def gradients(model: str, probe, patch, intensity, mask, float_intensity: bool = False, fw=fourier, bw=inverse):
-    """(object gradient, probe gradient, cost) of one frame under a noise model."""
-    f = fw(probe * patch)
+    """(object gradient, probe gradient, cost) of one frame under a noise model; gradients are by mode."""
+    f = fw(pairs(probe, patch))
     im = abs2(f).sum(axis=0)
     w = mask / (intensity + 1)
     if float_intensity and model != "poisson":
@@ -65,15 +80,14 @@ def gradients(model: str, probe, patch, intensity, mask, float_intensity: bool =
     else:
         raise ValueError(f"no noise model {model!r}")
     x = bw(g * f)
-    scale = 2.0
-    return scale * (np.conj(probe) * x).sum(axis=0), scale * np.conj(patch) * x, float(cost)
+    return 2.0 * object_sum(probe, x, len(patch)), 2.0 * probe_sum(patch, x, len(probe)), float(cost)
 
 
 def line_coefficients(model: str, probe, patch, probe_h, patch_h, intensity, mask, fw=fourier) -> np.ndarray:
     """b0, b1, b2 of the cost along (probe + t probe_h, patch + t patch_h), to second order."""
-    f = fw(probe * patch)
-    g = fw(probe * patch_h + probe_h * patch)
-    h = fw(probe_h * patch_h)
+    f = fw(pairs(probe, patch))
+    g = fw(pairs(probe, patch_h) + pairs(probe_h, patch))
+    h = fw(pairs(probe_h, patch_h))
     a0 = abs2(f).sum(axis=0)
     a1 = 2 * (f * np.conj(g)).real.sum(axis=0)
     a2 = (2 * (f * np.conj(h)).real + abs2(g)).sum(axis=0)
@@ -108,7 +122,7 @@ def cost_series(model: str, a0, intensity, mask) -> list[np.ndarray]:
 
 def line_coefficients_all(model: str, probe, patch, probe_h, patch_h, intensity, mask, fw=fourier) -> np.ndarray:
     """b0..b8 of the cost's series along the line; exact for the Gaussian model."""
-    f, g, h = fw(probe * patch), fw(probe * patch_h + probe_h * patch), fw(probe_h * patch_h)
+    f, g, h = fw(pairs(probe, patch)), fw(pairs(probe, patch_h) + pairs(probe_h, patch)), fw(pairs(probe_h, patch_h))
     re = lambda x, y: (x * np.conj(y)).real.sum(axis=0)
     a0, d = re(f, f), [2 * re(f, g), re(g, g) + 2 * re(f, h), 2 * re(g, h), re(h, h)]
     out, power = np.zeros(9), {0: np.ones_like(a0)}
@@ -125,7 +139,7 @@ def line_coefficients_all(model: str, probe, patch, probe_h, patch_h, intensity,
 
 
 def fourier_metric(probe, patch, intensity, mask, fw=fourier) -> float:
-    model = np.sqrt(abs2(fw(probe * patch)).sum(axis=0))
+    model = np.sqrt(abs2(fw(pairs(probe, patch))).sum(axis=0))
     return float((mask * (model - np.sqrt(intensity)) ** 2).sum() / max(mask.sum(), 1))
 
 

@@ -54,7 +54,7 @@ def by_name(name: str) -> type:
 
 @dataclass
 class State:
-    """Probe modes (m, n, n) and object modes (1, H, W)."""
+    """Probe modes (m, n, n) and object modes (k, H, W); every probe mode meets every object mode."""
 
     probe: np.ndarray
     obj: np.ndarray
@@ -80,16 +80,16 @@ class TileSums:
             own[1] += den
 
     def add_patch(self, r: int, c: int, num: np.ndarray, den: np.ndarray) -> None:
-        """Adds a patch to the tiles that it touches."""
-        h, w = num.shape
+        """Adds a patch, of one mode or of several, to the tiles that it touches."""
+        h, w = num.shape[-2:]
         for i in range(r // TILE, (r + h - 1) // TILE + 1):
             for j in range(c // TILE, (c + w - 1) // TILE + 1):
                 own = self.parts.get(("object", i, j))
                 if own is None:
-                    own = self.parts[("object", i, j)] = [np.zeros((TILE, TILE), complex), np.zeros((TILE, TILE))]
+                    own = self.parts[("object", i, j)] = [np.zeros((*num.shape[:-2], TILE, TILE), complex), np.zeros((TILE, TILE))]
                 y0, y1, x0, x1 = max(r, i * TILE), min(r + h, (i + 1) * TILE), max(c, j * TILE), min(c + w, (j + 1) * TILE)
                 to, of = (slice(y0 - i * TILE, y1 - i * TILE), slice(x0 - j * TILE, x1 - j * TILE)), (slice(y0 - r, y1 - r), slice(x0 - c, x1 - c))
-                own[0][to] += num[of]
+                own[0][(..., *to)] += num[(..., *of)]
                 own[1][to] += den[of]
 
     def rows(self) -> pd.DataFrame:
@@ -128,15 +128,16 @@ def collect_sums(parts: DataFrame) -> dict[tuple[str, int, int], tuple[np.ndarra
     }
 
 
-def object_sums(sums: dict, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tiles put together to images of ``shape``."""
+def object_sums(sums: dict, shape: tuple[int, int], modes: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles put together to images of ``shape``; the first has an axis of ``modes`` where that is given."""
     h, w = (-(-s // TILE) * TILE for s in shape)
-    num, den = np.zeros((h, w), complex), np.zeros((h, w))
+    num, den = np.zeros((max(modes, 1), h, w), complex), np.zeros((h, w))
     for (what, i, j), (a, b) in sums.items():
         if what == "object":
             at = (slice(i * TILE, (i + 1) * TILE), slice(j * TILE, (j + 1) * TILE))
-            num[at], den[at] = a.reshape(TILE, TILE), b.reshape(TILE, TILE)
-    return num[: shape[0], : shape[1]], den[: shape[0], : shape[1]]
+            num[(..., *at)], den[at] = a.reshape(-1, TILE, TILE), b.reshape(TILE, TILE)
+    num = num[:, : shape[0], : shape[1]]
+    return num if modes else num[0], den[: shape[0], : shape[1]]
 
 
 @dataclass
@@ -155,6 +156,7 @@ class Engine:
     position_refinement: object | None = None
     after: Callable[[Engine], None] | None = None
     log: list[dict] = field(default_factory=list)
+    prepared: bool = field(default=False, init=False)
     name = "engine"
 
     def prepare(self) -> None:
@@ -164,8 +166,9 @@ class Engine:
         raise NotImplementedError
 
     def run(self, iterations: int | None = None) -> State:
-        if not self.log:
+        if not self.prepared:
             self.prepare()
+            self.prepared = True
         for _ in range(self.numiter if iterations is None else iterations):
             began = time.time()
             errors = self.iterate()
@@ -193,6 +196,16 @@ class Engine:
     def iteration(self) -> int:
         return len(self.log)
 
+    def snapshot(self) -> tuple[dict[str, np.ndarray], dict, DataFrame | None]:
+        """(arrays, numbers, waves) that the next iteration depends on, beside frames and parameters."""
+        return {"probe": self.state.probe, "obj": self.state.obj}, {"log": self.log}, None
+
+    def restore(self, arrays: dict[str, np.ndarray], numbers: dict, waves: DataFrame | None = None) -> None:
+        """As it was when ``snapshot`` gave these."""
+        self.prepare()
+        self.prepared = True
+        self.state, self.log = State(arrays["probe"], arrays["obj"]), list(numbers["log"])
+
     def iter_info(self) -> DataFrame:
         names = ("engine", "iteration", "duration", "err_fourier", "err_photon", "err_exit")
         rows = [tuple(float(r.get(k, 0.0)) if k.startswith(("err", "dur")) else r[k] for k in names) for r in self.log]
@@ -239,6 +252,10 @@ class ProjectionEngine(Engine):
     fourier_power_bound: float | None = None
     probe_center_tol: float | None = None
     compute_log_likelihood: bool = True
+    #: Exit waves to go on with; without them each frame starts with probe times object.
+    waves: DataFrame | None = None
+    #: Sums of frames that are kept elsewhere: object and probe (num, den), frames, power, top.
+    kept: dict | None = None
 
     def coefficients(self) -> tuple[float, float, float]:
         raise NotImplementedError
@@ -248,17 +265,20 @@ class ProjectionEngine(Engine):
             for pdf in batches:
                 yield pd.DataFrame({"p": [float((np.frombuffer(a, "<f4") * np.frombuffer(m, np.uint8)).sum()) for a, m in zip(pdf["intensity"], pdf["mask"], strict=True)]})
 
-        s = self.frames.mapInPandas(power, "p double").agg(F.max("p").alias("top"), F.avg("p").alias("mean"), F.count(F.lit(1)).alias("n")).first()
-        npix = self.state.probe.shape[-1] ** 2
-        self.num_frames = s["n"]
-        self.mean_power = (s["mean"] or 0.0) / npix
-        self.pbound = self.fourier_power_bound if self.fourier_power_bound is not None else 0.25 * self.fourier_relax_factor**2 * (s["top"] or 0.0) / npix
+        s = self.frames.select("intensity", "mask").mapInPandas(power, "p double").agg(F.max("p").alias("top"), F.sum("p").alias("power"), F.count(F.lit(1)).alias("n")).first()
+        kept, npix = self.kept or {"frames": 0, "power": 0.0, "top": 0.0}, self.state.probe.shape[-1] ** 2
+        self.totals = {"frames": s["n"] + kept["frames"], "power": (s["power"] or 0.0) + kept["power"], "top": max(s["top"] or 0.0, kept["top"])}
+        self.num_frames = self.totals["frames"]
+        self.mean_power = self.totals["power"] / max(self.num_frames, 1) / npix
+        self.pbound = self.fourier_power_bound if self.fourier_power_bound is not None else 0.25 * self.fourier_relax_factor**2 * self.totals["top"] / npix
+        if self.waves is not None:
+            return
         shared = self.broadcast()
 
         def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             probe, obj = shared.value
             for pdf in batches:
-                waves = [(probe * obj[:, r : r + n, c : c + n]).astype("<c16").tobytes() for r, c, n in zip(pdf["r0"], pdf["c0"], pdf["n"], strict=True)]
+                waves = [K.pairs(probe, obj[:, r : r + n, c : c + n]).astype("<c16").tobytes() for r, c, n in zip(pdf["r0"], pdf["c0"], pdf["n"], strict=True)]
                 yield pdf.assign(exit=waves, err_fourier=0.0, err_photon=0.0, err_exit=0.0)
 
         self.waves = checkpoint(self.frames.mapInPandas(first, WITH_EXIT))
@@ -275,7 +295,7 @@ class ProjectionEngine(Engine):
                 for row in pdf.itertuples():
                     r, q, n, intensity, mask = frame_arrays(row)
                     patch = obj[:, r : r + n, q : q + n]
-                    psi = np.frombuffer(row.exit, "<c16").reshape(probe.shape)
+                    psi = np.frombuffer(row.exit, "<c16").reshape(-1, n, n)
                     psi, fourier, change = K.projection(psi, probe, patch, intensity, mask, a, b, c, pbound)
                     photon = K.log_likelihood(probe, patch, intensity, mask) if likelihood else 0.0
                     rows.append((psi.astype("<c16").tobytes(), fourier, photon, change))
@@ -286,6 +306,14 @@ class ProjectionEngine(Engine):
         means = self.waves.agg(*[F.avg(e).alias(e) for e in ERRORS]).first()
         return {e: means[e] or 0.0 for e in ERRORS}
 
+    def snapshot(self):
+        arrays, numbers, _ = super().snapshot()
+        return arrays, numbers, self.waves
+
+    def restore(self, arrays, numbers, waves=None) -> None:
+        self.waves = waves
+        super().restore(arrays, numbers)
+
     def placed(self) -> DataFrame:
         return self.waves
 
@@ -300,20 +328,43 @@ class ProjectionEngine(Engine):
         shared = self.broadcast()
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, (probe, _) = TileSums(), shared.value
-            den = K.abs2(probe).sum(axis=0)
+            sums, (probe, obj) = TileSums(), shared.value
+            den, modes = K.abs2(probe).sum(axis=0), len(obj)
             for pdf in batches:
                 for row in pdf.itertuples():
-                    psi = np.frombuffer(row.exit, "<c16").reshape(probe.shape)
-                    sums.add_patch(int(row.r0), int(row.c0), (np.conj(probe) * psi).sum(axis=0), den)
+                    psi = np.frombuffer(row.exit, "<c16").reshape(-1, row.n, row.n)
+                    sums.add_patch(int(row.r0), int(row.c0), K.object_sum(probe, psi, modes), den)
             yield sums.rows()
 
-        num, den = object_sums(collect_sums(self.waves.mapInPandas(partial, SUMS)), self.state.obj.shape[-2:])
+        num, den = object_sums(collect_sums(self.waves.mapInPandas(partial, SUMS)), self.state.obj.shape[-2:], len(self.state.obj))
         shared.destroy()
+        if self.kept:
+            num, den = num + self.kept["object"][0], den + self.kept["object"][1]
         c = self.object_inertia * self.mean_power
-        old = gaussian_filter(self.state.obj[0], self.obj_smooth_std) if self.obj_smooth_std else self.state.obj[0]
+        old = gaussian_filter(self.state.obj, (0, self.obj_smooth_std, self.obj_smooth_std)) if self.obj_smooth_std else self.state.obj
         total = c + den
-        self.state.obj = self.limited(np.where(total > 0, (c * old + num) / np.maximum(total, 1e-300), self.state.obj[0])[None])
+        self.state.obj = self.limited(np.where(total > 0, (c * old + num) / np.maximum(total, 1e-300), self.state.obj))
+
+    def wave_sums(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Sums of the present waves for both updates, without those that are kept elsewhere."""
+        shared = self.broadcast()
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, (probe, obj) = TileSums(), shared.value
+            lit, modes = K.abs2(probe).sum(axis=0), len(obj)
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    patch = obj[:, row.r0 : row.r0 + row.n, row.c0 : row.c0 + row.n]
+                    psi = np.frombuffer(row.exit, "<c16").reshape(-1, row.n, row.n)
+                    sums.add_patch(int(row.r0), int(row.c0), K.object_sum(probe, psi, modes), lit)
+                    sums.add("probe", K.probe_sum(patch, psi, len(probe)), np.broadcast_to(K.abs2(patch).sum(axis=0), probe.shape))
+            yield sums.rows()
+
+        sums = collect_sums(self.waves.mapInPandas(partial, SUMS))
+        shared.destroy()
+        shape = self.state.probe.shape
+        num, den = sums.get(("probe", 0, 0), (np.zeros(shape, complex), np.zeros(shape)))
+        return {"object": object_sums(sums, self.state.obj.shape[-2:], len(self.state.obj)), "probe": (num.reshape(shape), den.reshape(shape))}
 
     def probe_update(self) -> float:
         """P = (c P + sum conj(O) psi) / (c + sum |O|^2); returns the relative change."""
@@ -324,15 +375,17 @@ class ProjectionEngine(Engine):
             for pdf in batches:
                 for row in pdf.itertuples():
                     patch = obj[:, row.r0 : row.r0 + row.n, row.c0 : row.c0 + row.n]
-                    psi = np.frombuffer(row.exit, "<c16").reshape(probe.shape)
-                    sums.add("probe", np.conj(patch) * psi, np.broadcast_to(K.abs2(patch), psi.shape))
+                    psi = np.frombuffer(row.exit, "<c16").reshape(-1, row.n, row.n)
+                    sums.add("probe", K.probe_sum(patch, psi, len(probe)), np.broadcast_to(K.abs2(patch).sum(axis=0), probe.shape))
             yield sums.rows()
 
-        num, den = collect_sums(self.waves.mapInPandas(partial, SUMS))["probe", 0, 0]
+        num, den = (x.reshape(self.state.probe.shape) for x in collect_sums(self.waves.mapInPandas(partial, SUMS))["probe", 0, 0])
         shared.destroy()
+        if self.kept:
+            num, den = num + self.kept["probe"][0], den + self.kept["probe"][1]
         old = self.state.probe
         c = self.probe_inertia * self.num_frames
-        new = self.supported((c * old + num.reshape(old.shape)) / (c + den.reshape(old.shape) + 1e-300))
+        new = self.supported((c * old + num) / (c + den + 1e-300))
         self.state.probe = new
         return float(np.sqrt(K.abs2(new - old).sum() / max(K.abs2(new).sum(), 1e-300)))
 
@@ -353,11 +406,11 @@ class ProjectionEngine(Engine):
         if np.linalg.norm(at - to) < self.probe_center_tol:
             return
         self.state = State(*(shift_zoom(x, (1, 1), at, to) for x in (self.state.probe, self.state.obj)))
-        shape = self.state.probe.shape
+        n = self.state.probe.shape[-1]
 
         def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf.assign(exit=[shift_zoom(np.frombuffer(e, "<c16").reshape(shape), (1, 1), at, to).astype("<c16").tobytes() for e in pdf["exit"]])
+                yield pdf.assign(exit=[shift_zoom(np.frombuffer(e, "<c16").reshape(-1, n, n), (1, 1), at, to).astype("<c16").tobytes() for e in pdf["exit"]])
 
         self.waves = checkpoint(self.waves.mapInPandas(move, WITH_EXIT))
 
@@ -440,6 +493,16 @@ class ML(Engine):
         self.step: tuple[np.ndarray, np.ndarray] | None = None
         self.num_frames = self.frames.count()
 
+    def snapshot(self):
+        """With the last gradient and direction, both of object and probe."""
+        arrays, numbers, _ = super().snapshot()
+        own = {"old": self.old, "step": self.step}
+        return arrays | {f"{k}_{part}": a for k, pair in own.items() if pair for part, a in zip(("obj", "probe"), pair, strict=True)}, numbers, None
+
+    def restore(self, arrays, numbers, waves=None) -> None:
+        super().restore(arrays, numbers)
+        self.old, self.step = ((arrays[f"{k}_obj"], arrays[f"{k}_probe"]) if f"{k}_obj" in arrays else None for k in ("old", "step"))
+
     def gradient(self) -> tuple[np.ndarray, np.ndarray, float]:
         """(object gradient, probe gradient, cost) at the current state, with the regulariser.
 
@@ -455,13 +518,13 @@ class ML(Engine):
                     patch = obj[:, r : r + n, c : c + n]
                     g_obj, g_probe, cost = K.gradients(model, probe, patch, intensity, mask, floating)
                     sums.add_patch(r, c, g_obj, K.abs2(probe).sum(axis=0) if fluence else np.zeros((n, n)))
-                    sums.add("probe", g_probe, np.broadcast_to(K.abs2(patch), g_probe.shape) if fluence else np.zeros(1))
+                    sums.add("probe", g_probe, np.broadcast_to(K.abs2(patch).sum(axis=0), g_probe.shape) if fluence else np.zeros(1))
                     sums.add("cost", np.zeros(1), np.array([cost]))
             yield sums.rows()
 
         sums = collect_sums(self.frames.mapInPandas(partial, SUMS))
         shared.destroy()
-        g_obj, lit = (x[None] for x in object_sums(sums, self.state.obj.shape[-2:]))
+        g_obj, lit = object_sums(sums, self.state.obj.shape[-2:], len(self.state.obj))
         cost = float(sums["cost", 0, 0][1][0])
         if fluence:
             self.damping = np.sqrt(lit + self.wavefield_delta_object), np.sqrt(sums["probe", 0, 0][1].reshape(self.state.probe.shape) + self.wavefield_delta_probe)
@@ -566,6 +629,10 @@ class SequentialEngine(Engine):
     synchronise: int = 1
     object_norm_is_global: bool = False
 
+    def prepare(self) -> None:
+        if len(self.state.obj) > 1:
+            raise ValueError("sequential engines take one object mode; DM, RAAR, AP and ML take several")
+
     def coefficients(self) -> tuple[float, float, float]:
         return 0.0, 1.0, 1.0
 

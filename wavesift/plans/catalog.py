@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.plans import engine_queries, kernel_queries, more_queries, scan_queries
+from wavesift.plans import engine_queries, kernel_queries, mode_queries, more_queries, scan_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (scan_queries, more_queries, engine_queries, kernel_queries)
+MODULES = (scan_queries, more_queries, engine_queries, kernel_queries, mode_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wavesift.functions import kernels as K
 from wavesift.functions.propagate import fourier
-from wavesift.operators.engines import AP, DM, ML, RAAR, SUMS, DMObjectRegul, State, TileSums, collect_sums, object_sums
+from wavesift.operators.engines import AP, DM, ML, RAAR, SUMS, State, TileSums, collect_sums, object_sums
 from wavesift.plans.demo_tables import read, rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,7 +359,6 @@ def _projection_engine(cls: type, coefficients: tuple[float, float, float], iter
 _projection_engine(DM, (-1.0, 1.0, 2.0))
 _projection_engine(RAAR, (-0.5, 0.75, 2.0))
 _projection_engine(AP, (0.0, 1.0, 1.0))
-_projection_engine(DMObjectRegul, (-1.0, 1.0, 2.0))
 
 
 # The direction is the gradient, over the fluence where the wavefield preconditions.

@@ -15,7 +15,7 @@ from wavesift.operators import partition, scan, scatter, select, setops
 from wavesift.plans.demo_tables import VECTOR_SQL, WAVES_SQL, read, rounded, vector, waves
 from wavesift.plans.session import shared_folder
 from wavesift.streaming.live import count_chunks
-from wavesift.streaming.rocking import complete_positions_stream
+from wavesift.streaming.rocking import complete_positions_stream, drain, rocksdb_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,25 +162,33 @@ def redistribute_regions(spark, sf_dir):
 # ---- streams ----------------------------------------------------------------
 
 
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream; the pattern matches a file and a folder of that name alike."""
     schema = read(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-def _run(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Runs a stream until all that is there has been taken; results land in the shared folder."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
-
-
-@query("SELECT conv_id, string_agg(turn::BIGINT::VARCHAR, ',' ORDER BY turn) AS turns FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn < 4) GROUP BY conv_id HAVING count(*) = 4")
+@query("""SELECT conv_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (turn BETWEEN 0 AND 3), '') AS turns, if(count(*) FILTER (turn BETWEEN 0 AND 3) = 4, 'complete', 'given_up') AS status
+FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id""")
 def stream_rocking(spark, sf_dir):
-    """Stateful: a conversation is given out once all of its first four turns have come."""
-    done = complete_positions_stream(_stream(spark, sf_dir, "conversations").filter("turn < 4"), "conv_id", "turn", 4)
-    return _run(done, spark).select("conv_id", F.array_join(F.transform("angles", lambda a: a.cast("long").cast("string")), ",").alias("turns"))
+    """Stateful: a conversation is given out once its first four turns have come, and given up after the mark that ends the scan."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    row = "conv_id long, turn long, time timestamp"
+    spark.createDataFrame([], row).write.parquet(f"{folder}/marks")
+    frames = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.timestamp_seconds(1 + F.greatest("turn", F.lit(0))).alias("time"))
+    marks = spark.readStream.schema(row).parquet(f"{folder}/marks")
+    with rocksdb_state(spark):
+        done = complete_positions_stream(frames.unionByName(marks), "conv_id", "turn", [0, 1, 2, 3], "time")
+        q = done.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start()
+        try:
+            q.processAllAvailable()
+            spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.timestamp_seconds(F.lit(86400)).alias("time")).write.mode("append").parquet(f"{folder}/marks")
+            drain(q)
+        finally:
+            q.stop()
+    out = spark.read.schema("conv_id long, angles array<double>, status string").parquet(f"{folder}/out")
+    return out.select("conv_id", F.array_join(F.transform("angles", lambda a: a.cast("long").cast("string")), ",").alias("turns"), "status")
 
 
 @query("SELECT event_id // 500 AS chunk, count(*) AS frames FROM events GROUP BY 1")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavesift.operators.engines import State
+from wavesift.sources.commits import Commits
+
 WAIT, EOS = "WAIT", "EOS"
 
 
@@ -50,31 +53,68 @@ def feed_of(frames: DataFrame, total: int | None = None, min_frames: int = 1) ->
 
 @dataclass
 class LiveReconstruction:
-    """Runs an engine over all frames so far whenever a micro-batch brings new ones.
-
-    ``make`` builds an engine from (frames, state); the state is carried over.
-    Frames go to a table, so a batch that is delivered twice does no harm: they
-    are read back by distinct index.
+    """A projection engine over frames as they arrive; the work of a batch is in proportion to its frames.
+
+    ``make`` builds the engine from (frames, state). A batch's frames get waves of
+    their own, which are projected ``iterations`` times; the waves of earlier
+    batches stay as they are and count by their sums. Waves, sums and state are
+    committed by epoch under ``path`` (in the shared folder): an epoch that is
+    delivered again does no harm, and a new driver goes on from the last commit.
+    Up to ``min_frames`` frames are only taken in. ``refine`` runs the engine over
+    all waves so far.
     """
 
     make: Callable
-    state: object
+    state: State
     path: str
     iterations: int = 1
     min_frames: int = 1
-    frames_seen: int = 0
+
+    def __post_init__(self):
+        self.epoch, self.kept = -1, None
+        self.commits = Commits(SparkSession.active(), self.path)
+        if (last := self.commits.last()) >= 0:
+            arrays, numbers = self.commits.read(last)
+            self.state, self.epoch = State(arrays["probe"], arrays["obj"]), numbers["epoch"]
+            self.kept = {"object": (arrays["object_num"], arrays["object_den"]), "probe": (arrays["probe_num"], arrays["probe_den"]), **numbers["totals"]}
+
+    @property
+    def frames_seen(self) -> int:
+        return self.kept["frames"] if self.kept else 0
 
     def on_batch(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
-        frames = spark.read.parquet(self.path).drop("epoch").dropDuplicates(["frame_idx"])
-        self.frames_seen = frames.count()
-        if self.frames_seen >= self.min_frames:
-            self.state = self.make(frames, self.state).run(self.iterations)
+        if epoch <= self.epoch:
+            return
+        engine = self.make(batch, self.state)
+        engine.kept = self.kept
+        engine.run(0)
+        if engine.totals["frames"] == self.frames_seen:
+            return
+        if engine.totals["frames"] >= self.min_frames:
+            engine.run(self.iterations)
+        self.state = engine.state
+        self._commit(engine, epoch, self.kept, engine.totals)
+
+    def _commit(self, engine, epoch: int, kept: dict | None, totals: dict) -> None:
+        sums = engine.wave_sums()
+        for name, (num, den) in sums.items():
+            sums[name] = (num + kept[name][0], den + kept[name][1]) if kept else (num, den)
+        arrays = {"probe": self.state.probe, "obj": self.state.obj} | {f"{k}_{part}": a for k, pair in sums.items() for part, a in zip(("num", "den"), pair, strict=True)}
+        self.commits.write(epoch, arrays, {"epoch": epoch, "totals": totals}, engine.waves)
+        self.epoch, self.kept = epoch, {**sums, **totals}
+
+    def refine(self, iterations: int) -> State:
+        """The engine over all waves that are committed. Nothing is committed by it."""
+        waves = self.commits.all_waves(self.epoch)
+        engine = self.make(waves.drop("exit", "err_fourier", "err_photon", "err_exit"), self.state)
+        engine.waves = waves
+        self.state = engine.run(iterations)
+        return self.state
 
     def start(self, frames: DataFrame, checkpoint: str):
-        """A query that ends once all that is there has been taken."""
-        return frames.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """A query that ends once all that is there has been taken. Frames are told apart by index, also across batches."""
+        own = frames.dropDuplicates(["frame_idx"])
+        return own.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def count_chunks(frames: DataFrame, size: int) -> DataFrame:
