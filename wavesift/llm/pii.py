@@ -1,8 +1,9 @@
 """Personal details replaced with keyed surrogates.
 
-Detected entities are mail addresses, phone numbers, IPv4 addresses, card
-numbers, other personal numbers, and names (after a title or a phrase such as
-"my name is", or a known given name with a family name). Words of a name that a
+Detected entities are mail addresses, phone numbers, network addresses (IPv4, IPv6,
+MAC), card numbers, other personal numbers, and names (after a title or a phrase such as
+"my name is", or a given name of a short list with a family name). Letters and
+decimal digits count whatever their script, also mixed. Words of a name that a
 text gives once are found wherever else it has them. A surrogate depends on the
 key and the entity alone, and the entities of a format are one to one with their
 surrogates: an entity is the same person everywhere in the corpus, and no two
@@ -30,26 +31,43 @@ KINDS = ("email", "phone", "ip", "card", "number", "name")
 #: Where entities overlap, the kind that comes first here holds.
 PRECEDENCE = ("email", "ip", "number", "card", "phone", "name")
 
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+# Letters, digits, underscores and combining marks of every script.
+_W = r"[\w\u0300-\u036f]"
+EMAIL = re.compile(rf"(?<![\w\u0300-\u036f.%+-]){_W}[\w\u0300-\u036f.%+'’-]*@{_W}(?:[\w\u0300-\u036f-]*{_W})?(?:\.{_W}(?:[\w\u0300-\u036f-]*{_W})?)*\.[^\W\d_]{{2,}}")
 _DIGIT_FORMS = (
+    ("ip", r"(?<![\w:.-])(?:(?:[0-9A-Fa-f]{2}:){5}|(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}(?![\w:-])|(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])"),
     ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"),
-    ("number", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("number", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"),
     ("phone", r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w])|(?<![\w.+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w])|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
 )
 DIGITS = tuple((kind, re.compile(p)) for kind, p in _DIGIT_FORMS)
 
 #: Titles that come before a name, by gender.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra", "Doña", "госпожа"), "m": ("Mr", "Monsieur", "Herr", "Señor", "Sr", "Don", "господин"), "": ("Dr", "Prof")}
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+"
+
+
+def _letters(fits, end: int) -> str:
+    """The letters below ``end`` that fit, as the body of a character class."""
+    own = [c for c in range(end) if fits(chr(c))]
+    starts = [c for c in own if c - 1 not in set(own)] if len(own) < 5000 else []
+    return "".join(f"{chr(a)}-{chr(next(c for c in range(a, end + 1) if c not in set(own)) - 1)}" for a in starts)
+
+
+#: Capitals and small letters of the scripts below U+0590 (Latin, Greek, Cyrillic, Armenian) and of further Latin.
+_UP, _LOW = (_letters(f, 0x590) + more for f, more in ((str.isupper, "\u1e9e"), (str.islower, "\u0300-\u036f")))
+_CAP = rf"[{_UP}][{_LOW}'’-]+"
+#: A word of a script without capitals: Hebrew to Indic and Thai, kana, Chinese characters, Hangul.
+_UNCASED = r"[\u05d0-\u05ea\u0620-\u064a\u0900-\u0e4e\u3041-\u30ff\u3400-\u9fff\uac00-\ud7a3]{2,}"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.? ({_CAP})(?: ({_CAP}))?(?: ({_CAP}))?")
 #: Phrases that say a name comes next.
 CUES = ("my name is", "My name is", "Name:", "name:", "Dear", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
-CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)}) ({_CAP}(?: {_CAP}){{0,2}})")
+CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)}) ({_CAP}(?: {_CAP}){{0,2}}|{_UNCASED})")
 NAMED = re.compile(rf"(?<!\w)({'|'.join(sorted(S.GENDER_OF, key=len, reverse=True))}) ({_CAP})")
 
 
-_WORD = re.compile(rf"(?<!\w){_CAP}|(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]{{3,}}(?!\w)")
+_WORD = re.compile(rf"(?<!\w){_CAP}|(?<!\w)[{_UP}]{{3,}}(?!\w)|{_UNCASED}")
+_DIGIT = re.compile(r"\d|::|[A-Fa-f]:")
 #: Words after a phrase or title that are no names.
 NO_NAMES = frozenset("sir madam all friends team colleagues customer reader editor friend members students parents the and".split())
 
@@ -68,7 +86,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
-    if any(c in text for c in "0123456789"):
+    if _DIGIT.search(text):
         for kind, pattern in DIGITS:
             found += [(*m.span(), kind) for m in pattern.finditer(text)]
     for pattern, group in ((TITLED, 2), (CUED, 1), (NAMED, 1)):
@@ -103,7 +121,7 @@ def surrogate(entity: str, kind: str, key: bytes) -> str:
     """What stands for ``entity``: depends on nothing else but the key."""
     if kind == "name":
         return " ".join(S.name_word(w, key) for w in entity.split(" "))
-    return getattr(S, kind)(entity, key)
+    return S.in_script_of(getattr(S, kind)(S.plain_digits(entity), key), entity)
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]], int]:

@@ -13,6 +13,7 @@ of a detail changes at any length.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 _RADIX = {c: a for a in (LOWER, UPPER, DIGITS) for c in a}
 #: Letters that take one another's places in names: what is spoken stays speakable, and in its script.
 _SPOKEN = {c: a for a in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ") for c in a}
+_HEX = {c: a for a in ("abcdef", "ABCDEF", DIGITS) for c in a}
 ROUNDS = 8
 #: Shorter keys are refused.
 KEY_BYTES = 16
@@ -78,9 +80,43 @@ def cycle(symbols: np.ndarray, radix: np.ndarray, key: bytes, tweak: str, fits:
             return out
 
 
+@lru_cache(maxsize=4096)
+def letters_like(c: str) -> str:
+    """The letters of a character's script and case near it: those of its 128 code points; empty for what is no letter.
+
+    A small letter has ones beside it whose capital is one letter, too, and gives them back.
+    """
+    kind = unicodedata.category(c)
+    if kind not in ("Lu", "Ll", "Lo") or c in _RADIX:
+        return ""
+
+    def pairs(x: str) -> bool:
+        other = x.lower() if kind == "Lu" else x.upper()
+        return kind == "Lo" or len(other) == 1 and other != x and other.swapcase() == x
+
+    first = ord(c) & ~0x7F
+    near = [x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and x not in _RADIX and pairs(x)]
+    return "".join(near) if c in near else ""
+
+
+def plain_digits(text: str) -> str:
+    """Decimal digits of every script as 0 to 9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def in_script_of(out: str, text: str) -> str:
+    """``out`` with its digits in the script of those that ``text`` has in their places."""
+    if text.isascii() or len(out) != len(text):
+        return out
+    return "".join(chr(ord(t) - unicodedata.decimal(t) + int(c)) if t.isdecimal() and c in DIGITS else c for c, t in zip(out, text, strict=True))
+
+
 def same_format(text: str, key: bytes, tweak: str, fits: Callable[[str], bool] = lambda _: True, classes: dict[str, str] = _RADIX) -> str:
-    """Characters change within their class; all else stays. The format is part of the tweak."""
-    sets = [classes.get(c, "") for c in text]
+    """Characters change within their class, letters without one among those of their script near them; all else stays.
+
+    The format is part of the tweak.
+    """
+    sets = [classes.get(c) or letters_like(c) for c in text]
     where = [i for i, s in enumerate(sets) if s]
     if not where:
         return text
@@ -141,7 +177,9 @@ _OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
 
 
 def ip(text: str, key: bytes) -> str:
-    """Another address whose octets have as many digits each; valid ones stay valid."""
+    """Another address whose octets have as many digits each; valid ones stay valid. Hexadecimal ones (IPv6, MAC) keep their format."""
+    if ":" in text or "-" in text:
+        return same_format(text, key, "ip|hex", classes=_HEX)
     octets = text.split(".")
     forms = [_OCTETS.get(len(o)) for o in octets]
     if not all(f and 0 <= int(o) - f[0] < f[1] for o, f in zip(octets, forms, strict=True)):
