@@ -175,7 +175,7 @@ def random_shifts(n: int, amplitude: float, reach: float, seed: int) -> list[tup
 
 
 def multislice(probe, slices, fw_between, intensity, mask, alpha: float = 1.0, beta: float = 1.0, fw=fourier, bw=inverse, bw_between=None):
-    """One ePIE step through object slices: (probe, slices, error). Slices are updated from the last to the first."""
+    """One ePIE step through object slices: (probe, slices, error, light on each slice). Slices are updated from the last to the first."""
     waves, exits = [probe], []
     for k, s in enumerate(slices):
         exits.append(waves[-1] * s)
@@ -185,7 +185,7 @@ def multislice(probe, slices, fw_between, intensity, mask, alpha: float = 1.0, b
     model = np.sqrt(abs2(f).sum(axis=0))
     scale = 1 - mask + mask * np.sqrt(intensity) / (model + 1e-10)
     err = float((mask * (model - np.sqrt(intensity)) ** 2).sum() / max(mask.sum(), 1))
-    target, out = bw(scale * f), list(slices)
+    target, out, lights = bw(scale * f), list(slices), [abs2(w).sum(axis=0) for w in waves]
     for k in range(len(slices) - 1, -1, -1):
         change = target - exits[k]
         wave = waves[k]
@@ -193,4 +193,4 @@ def multislice(probe, slices, fw_between, intensity, mask, alpha: float = 1.0, b
         wave = wave + beta * np.conj(slices[k]) * change / abs2(slices[k]).max()
         if k:
             target = bw_between(wave)
-    return wave, out, err
+    return wave, out, err, lights

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wavesift.functions import kernels as K
 from wavesift.functions.arrays import grids, mass_center
 from wavesift.functions.special import gaussian_filter, shift_zoom
+from wavesift.operators.partition import by_load
 from wavesift.plans.session import checkpoint
 
 TILE = 256
@@ -79,14 +80,14 @@ class TileSums:
             own[0] += num
             own[1] += den
 
-    def add_patch(self, r: int, c: int, num: np.ndarray, den: np.ndarray) -> None:
+    def add_patch(self, r: int, c: int, num: np.ndarray, den: np.ndarray, what: str = "object") -> None:
         """Adds a patch, of one mode or of several, to the tiles that it touches."""
         h, w = num.shape[-2:]
         for i in range(r // TILE, (r + h - 1) // TILE + 1):
             for j in range(c // TILE, (c + w - 1) // TILE + 1):
-                own = self.parts.get(("object", i, j))
+                own = self.parts.get((what, i, j))
                 if own is None:
-                    own = self.parts[("object", i, j)] = [np.zeros((*num.shape[:-2], TILE, TILE), complex), np.zeros((TILE, TILE))]
+                    own = self.parts[(what, i, j)] = [np.zeros((*num.shape[:-2], TILE, TILE), complex), np.zeros((TILE, TILE))]
                 y0, y1, x0, x1 = max(r, i * TILE), min(r + h, (i + 1) * TILE), max(c, j * TILE), min(c + w, (j + 1) * TILE)
                 to, of = (slice(y0 - i * TILE, y1 - i * TILE), slice(x0 - j * TILE, x1 - j * TILE)), (slice(y0 - r, y1 - r), slice(x0 - c, x1 - c))
                 own[0][(..., *to)] += num[(..., *of)]
@@ -616,22 +617,36 @@ def del2_line(obj: np.ndarray, h: np.ndarray, amplitude: float) -> np.ndarray:
 
 @dataclass
 class SequentialEngine(Engine):
-    """Frame after frame in a seeded random order.
+    """Frame after frame in an order that seed and iteration decide, or by ``frame_idx`` (``order="frame"``).
 
     ``domains`` is 1 for the textbook order, in which every step needs the one
     before and so a single task does them all; 0 stands for as many as give each
-    DOMAIN_FRAMES frames or fewer. More domains deal the frames by
-    place: each is swept by a task of its own on a copy of probe and object, and
-    the copies are averaged where they were lit after every ``synchronise`` sweeps.
+    DOMAIN_FRAMES frames or so. More domains deal the frames by place, as many to
+    each wherever they cluster: each is swept by a task of its own on a copy of probe
+    and object, and the copies are averaged by the light that fell on them after
+    every ``synchronise`` sweeps. Frames are streamed, never held together.
     """
 
     domains: int = 0
     synchronise: int = 1
+    order: str = "random"
     object_norm_is_global: bool = False
 
     def prepare(self) -> None:
         if len(self.state.obj) > 1:
             raise ValueError("sequential engines take one object mode; DM, RAAR, AP and ML take several")
+        self.deal()
+
+    def deal(self) -> None:
+        """Gives each frame its domain."""
+        if self.domains == 0:
+            self.domains = -(-self.frames.count() // DOMAIN_FRAMES) or 1
+        own = self.frames.withColumn("domain", F.lit(0).cast("long")) if self.domains == 1 else by_load(self.frames, "r0", "c0", "frame_idx", self.domains)
+        self.dealt = checkpoint(own)
+
+    def replace_frames(self, frames: DataFrame) -> None:
+        self.frames = frames.drop("domain")
+        self.deal()
 
     def coefficients(self) -> tuple[float, float, float]:
         return 0.0, 1.0, 1.0
@@ -640,33 +655,26 @@ class SequentialEngine(Engine):
         """(a, b) of the object's and of the probe's step."""
         return 0.0, 1.0, 0.0, 1.0
 
-    def domain(self):
-        if self.domains == 0:
-            self.domains = -(-self.frames.count() // DOMAIN_FRAMES) or 1
-        side = max(1, math.ceil(math.sqrt(self.domains)))
-        n = self.state.probe.shape[-1]
-        h, w = (s - n + 1 for s in self.state.obj.shape[-2:])
-        i = F.least(F.floor(F.col("r0") * side / h), F.lit(side - 1))
-        j = F.least(F.floor(F.col("c0") * side / w), F.lit(side - 1))
-        return F.lit(0).cast("long") if self.domains == 1 else (i * side + j).cast("long")
+    def start(self, shared):
+        """Copies of what a domain changes."""
+        return tuple(x.copy() for x in shared)
 
-    def sweep(self, probe, obj, rows, rng, iteration, sums) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float, float]]]:
+    def step(self, own, row, iteration: int, sums: TileSums):
+        """One frame: (what a domain has, errors)."""
+        probe, obj = own
         a, b, c = self.coefficients()
         oa, ob, pa, pb = self.steps()
-        errors = []
-        for k in rng.permutation(len(rows)):
-            r, q, n, intensity, mask = rows[k]
-            at = (slice(None), slice(r, r + n), slice(q, q + n))
-            patch, old = obj[at], probe * obj[at]
-            psi, fourier, change = K.projection(old, probe, patch, intensity, mask, a, b, c)
-            diff = psi - old
-            power = K.abs2(obj).sum(axis=0).max() * np.ones((n, n)) if self.object_norm_is_global and pa == 0 else None
-            obj[at] = K.step_update(patch, probe, diff, oa, ob)
-            if iteration >= self.probe_update_start:
-                probe = K.step_update(probe, obj[at], diff, pa, pb, power) if probe.shape[0] == 1 else probe + (pa + pb) * np.conj(obj[at]) * diff / ((1 - pa) * K.abs2(obj[at]).sum(axis=0).max() + pa * K.abs2(obj[at]).sum(axis=0))
-            self.visited(sums, probe, obj[at], psi, r, q)
-            errors.append((fourier, K.log_likelihood(probe, obj[at], intensity, mask), change))
-        return probe, obj, errors
+        r, q, n, intensity, mask = frame_arrays(row)
+        at = (slice(None), slice(r, r + n), slice(q, q + n))
+        patch, old = obj[at], probe * obj[at]
+        psi, fourier, change = K.projection(old, probe, patch, intensity, mask, a, b, c)
+        diff = psi - old
+        power = K.abs2(obj).sum(axis=0).max() * np.ones((n, n)) if self.object_norm_is_global and pa == 0 else None
+        obj[at] = K.step_update(patch, probe, diff, oa, ob)
+        if iteration >= self.probe_update_start:
+            probe = K.step_update(probe, obj[at], diff, pa, pb, power) if probe.shape[0] == 1 else probe + (pa + pb) * np.conj(obj[at]) * diff / ((1 - pa) * K.abs2(obj[at]).sum(axis=0).max() + pa * K.abs2(obj[at]).sum(axis=0))
+        self.visited(sums, probe, obj[at], psi, r, q)
+        return (probe, obj), (fourier, K.log_likelihood(probe, obj[at], intensity, mask), change)
 
     def visited(self, sums: TileSums, probe, patch, psi, r, c) -> None:
         """What is kept of each step for the merge: where the probe's light was."""
@@ -678,48 +686,66 @@ class SequentialEngine(Engine):
         probe, n = sums["probe", 0, 0]
         self.state.probe = self.supported((probe / max(n[0], 1)).reshape(self.state.probe.shape))
 
-    def task(self, shared, iteration: int):
-        """For applyInPandas: all sweeps of one domain."""
-        seed, sweeps = self.seed, self.synchronise
-
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            probe, obj = (x.copy() for x in shared.value)
-            rows = [frame_arrays(r) for r in pdf.sort_values("frame_idx").itertuples()]
-            errors: list = []
-            for s in range(sweeps):
-                sums = TileSums()
-                probe, obj, errors = self.sweep(probe, obj, rows, np.random.default_rng((seed, iteration, s, int(key[0]))), iteration, sums)
-            self.hand_over(sums, probe, obj, len(rows))
-            sums.add("errors", np.zeros(1), np.array([*np.sum(errors, axis=0), len(errors)]))
-            return sums.rows()
+    def hand_over(self, sums: TileSums, own, count: int) -> None:
+        """The domain's object, weighted by the light that fell on it, and its probe."""
+        probe, obj = own
+        weigh(sums, "object", obj[0])
+        sums.add("probe", probe * count, np.array([float(count)]))
+
+    def domains_of(self, shared, iteration: int):
+        """For mapInPandas over frames sorted by domain, sweep and order: sums of each domain's last sweep."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, own, sums, errors, count = None, None, None, np.zeros(3), 0
+
+            def done() -> pd.DataFrame:
+                self.hand_over(sums, own, count)
+                sums.add("errors", np.zeros(1), np.array([*errors, count]))
+                return sums.rows()
+
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    if at is None or at[0] != row.domain:
+                        if at is not None:
+                            yield done()
+                        own = self.start(shared.value)
+                    if at != (row.domain, row.sweep):
+                        at, sums, errors, count = (row.domain, row.sweep), TileSums(), np.zeros(3), 0
+                    own, error = self.step(own, row, iteration, sums)
+                    errors, count = errors + error, count + 1
+            if at is not None:
+                yield done()
 
         return run
 
-    def hand_over(self, sums: TileSums, probe, obj, count: int) -> None:
-        """The domain's object, weighted by the light that fell on it, and its probe."""
-        h, w = obj.shape[-2:]
-        for (what, i, j), part in sums.parts.items():
-            if what == "object":
-                own = obj[0, i * TILE : min((i + 1) * TILE, h), j * TILE : min((j + 1) * TILE, w)]
-                part[0][: own.shape[0], : own.shape[1]] = own * part[1][: own.shape[0], : own.shape[1]]
-        sums.add("probe", probe * count, np.array([float(count)]))
+    def what_goes_out(self):
+        return self.broadcast()
 
     def iterate(self) -> dict[str, float]:
-        shared = self.broadcast()
-        domain = self.domain()
-        frames, after, log, self.frames, self.after = self.frames, self.after, self.log, None, None  # the task needs the parameters only
+        shared, it = self.what_goes_out(), self.iteration
+        rank = F.col("frame_idx") if self.order == "frame" else F.xxhash64("frame_idx", F.lit(self.seed), F.lit(it), "sweep")
+        frames = self.dealt.withColumn("sweep", F.explode(F.sequence(F.lit(0), F.lit(self.synchronise - 1)))).withColumn("rank", rank)
+        frames = frames.repartition("domain").sortWithinPartitions("domain", "sweep", "rank", "frame_idx")
+        kept = {k: self.__dict__.pop(k) for k in ("frames", "dealt", "after", "log", "state", "slices") if k in self.__dict__}  # the task needs the parameters only
         try:
-            run = self.task(shared, len(log))
-            grouped = frames.withColumn("domain", domain).groupBy("domain").applyInPandas(lambda key, pdf: run(key, pdf), SUMS)
-            sums = collect_sums(grouped)
+            sums = collect_sums(frames.mapInPandas(self.domains_of(shared, it), SUMS))
         finally:
-            self.frames, self.after = frames, after
+            self.__dict__.update(kept)
         shared.destroy()
         *total, n = sums["errors", 0, 0][1]
         self.merge(sums, int(n))
         return {e: float(t / n) for e, t in zip(ERRORS, total, strict=True)}
 
 
+def weigh(sums: TileSums, what: str, image: np.ndarray) -> None:
+    """Tiles of ``image`` times the light that ``sums`` have of it."""
+    h, w = image.shape
+    for (name, i, j), part in sums.parts.items():
+        if name == what:
+            own = image[i * TILE : min((i + 1) * TILE, h), j * TILE : min((j + 1) * TILE, w)]
+            part[0][..., : own.shape[0], : own.shape[1]] = own * part[1][: own.shape[0], : own.shape[1]]
+
+
 @register("EPIE")
 @dataclass
 class EPIE(SequentialEngine):
@@ -772,7 +798,7 @@ class WASP(SequentialEngine):
         sums.add_patch(r, c, (np.conj(probe) * psi).sum(axis=0), K.abs2(probe).sum(axis=0))
         sums.add("probe", np.conj(patch) * psi, np.broadcast_to(K.abs2(patch), psi.shape))
 
-    def hand_over(self, sums, probe, obj, count) -> None:
+    def hand_over(self, sums, own, count) -> None:
         pass
 
     def merge(self, sums: dict, count: int) -> None:
@@ -787,41 +813,54 @@ class WASP(SequentialEngine):
 @register("ThreePIE")
 @dataclass
 class ThreePIE(EPIE):
-    """Multislice ePIE: the object is a stack of slices, with free space between them."""
+    """Multislice ePIE: the object is a stack of slices, with free space between them.
+
+    Domains sweep copies of the stack; each slice is averaged by the light of the
+    waves that reached it.
+    """
 
     slices: list[np.ndarray] | None = None
     fw_between: Callable | None = None
     bw_between: Callable | None = None
 
-    def iterate(self) -> dict[str, float]:
-        """All frames in one task, as every step needs the one before."""
-        slices = self.slices or [self.state.obj, np.ones_like(self.state.obj)]
-        same, multislice = (lambda w: w), K.multislice
-        fw, bw, alpha, beta = self.fw_between or same, self.bw_between or same, self.alpha, self.beta
-        shared, seed, it, start = self.frames.sparkSession.sparkContext.broadcast((self.state.probe, slices)), self.seed, self.iteration, self.probe_update_start
-
-        def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-            probe, stack = shared.value[0].copy(), [s.copy() for s in shared.value[1]]
-            rows, total = [frame_arrays(r) for r in pdf.sort_values("frame_idx").itertuples()], 0.0
-            for k in np.random.default_rng((seed, it)).permutation(len(rows)):
-                r, c, n, intensity, mask = rows[k]
-                new, own, err = multislice(probe, [s[0, r : r + n, c : c + n] for s in stack], fw, intensity, mask, alpha, beta, bw_between=bw)
-                for s, x in zip(stack, own, strict=True):
-                    s[0, r : r + n, c : c + n] = x
-                probe, total = (new if it >= start else probe), total + err
-            sums = TileSums()
-            sums.add("probe", probe, np.zeros(1))
-            for k, s in enumerate(stack):
-                sums.add("slice", s, np.zeros(1), (k, 0))
-            sums.add("errors", np.zeros(1), np.array([total, len(rows)]))
-            return sums.rows()
-
-        got = {(r["what"], r["i"]): (np.frombuffer(r["num"], "<c16"), np.frombuffer(r["den"], "<f8")) for r in self.frames.withColumn("domain", F.lit(0)).groupBy("domain").applyInPandas(sweep, SUMS).collect()}
-        shared.destroy()
-        self.slices = [got["slice", k][0].reshape(s.shape).copy() for k, s in enumerate(slices)]
-        obj = self.slices[0]
-        for s in self.slices[1:]:
-            obj = obj * s
-        self.state = State(self.supported(got["probe", 0][0].reshape(self.state.probe.shape).copy()), obj)
-        total, n = got["errors", 0][1]
-        return {"err_fourier": float(total / max(n, 1))}
+    def prepare(self) -> None:
+        super().prepare()
+        self.slices = self.slices or [self.state.obj, np.ones_like(self.state.obj)]
+
+    def what_goes_out(self):
+        size = self.state.probe.nbytes + sum(s.nbytes for s in self.slices)
+        if size > BROADCAST_BYTES:
+            raise ValueError(f"probe and slices have {size} bytes, more than the {BROADCAST_BYTES} that are broadcast")
+        return self.frames.sparkSession.sparkContext.broadcast((self.state.probe, np.concatenate(self.slices)))
+
+    def step(self, own, row, iteration, sums):
+        probe, stack = own
+        r, c, n, intensity, mask = frame_arrays(row)
+        same = lambda w: w
+        at = (slice(r, r + n), slice(c, c + n))
+        new, out, error, lights = K.multislice(probe, [s[at] for s in stack], self.fw_between or same, intensity, mask, self.alpha, self.beta, bw_between=self.bw_between or same)
+        for k, (s, x, light) in enumerate(zip(stack, out, lights, strict=True)):
+            s[at] = x
+            sums.add_patch(r, c, np.zeros((n, n)), light, f"slice{k}")
+        return (new if iteration >= self.probe_update_start else probe, stack), (error, 0.0, 0.0)
+
+    def hand_over(self, sums, own, count) -> None:
+        probe, stack = own
+        for k, s in enumerate(stack):
+            weigh(sums, f"slice{k}", s)
+        sums.add("probe", probe * count, np.array([float(count)]))
+
+    def merge(self, sums: dict, count: int) -> None:
+        for k, old in enumerate(self.slices):
+            num, den = object_sums({("object", i, j): v for (what, i, j), v in sums.items() if what == f"slice{k}"}, old.shape[-2:])
+            self.slices[k] = np.where(den > 0, num / np.maximum(den, 1e-300), old[0])[None]
+        probe, n = sums["probe", 0, 0]
+        self.state = State(self.supported((probe / max(n[0], 1)).reshape(self.state.probe.shape)), np.prod(self.slices, axis=0))
+
+    def snapshot(self):
+        arrays, numbers, waves = super().snapshot()
+        return arrays | {f"slice{k}": s for k, s in enumerate(self.slices)}, numbers, waves
+
+    def restore(self, arrays, numbers, waves=None) -> None:
+        super().restore(arrays, numbers, waves)
+        self.slices = [arrays[f"slice{k}"] for k in range(len(self.slices))]

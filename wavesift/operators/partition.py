@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.plans.session import checkpoint
+
 
 def block_sizes(n: int, ranks: int, load: Sequence[int] | None = None) -> list[int]:
     """Contiguous blocks that even out the load: ranks above the mean get none, the last ones the remainder."""
@@ -33,8 +35,6 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
     Rows are range-partitioned and sorted; a row's number is its place in its
     partition plus the sizes of the partitions before, a few numbers on the driver.
     """
-    from wavesift.plans.session import checkpoint
-
     part = checkpoint(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = part.withColumn("_p", F.shiftright("_m", 33)).withColumn("_k", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     before, total = [], 0
@@ -84,3 +84,37 @@ def region(x: Column, y: Column, n: int, how: str = "rect") -> Column:
         return tile(x, y, n)
     along = {"angle": (F.atan2(y - 0.5, x - 0.5) / (2 * math.pi)) + 0.5, "row": y, "column": x}[how]
     return F.least(F.floor(along * n), F.lit(n - 1)).cast("long")
+
+
+#: Rows of cuts that are broadcast; with more, rows are joined to them.
+CUTS = 50_000
+
+
+def by_load(df: DataFrame, x: str, y: str, key: str, domains: int, name: str = "domain") -> DataFrame:
+    """Adds one of ``domains`` regions with about as many rows each, however rows cluster.
+
+    The plane is halved again and again across the longer side of a region, at the
+    row that parts its share of the rows. Coordinates count as pixels: rows of one
+    pixel are told apart by ``key`` (a whole number), so that a crowded pixel can be
+    cut, too. Rows lost to rounding are at most a ten-thousandth of a region.
+    """
+    shift = F.pmod(F.col(key) * 7919, F.lit(10007)) / 10007
+    out = df.withColumns({"_base": F.lit(0), "_m": F.lit(domains), "_u": F.col(x) + shift, "_v": F.col(y) + shift})
+    sizes = {domains}
+    while any(m > 1 for m in sizes):
+        shares = sorted({(m // 2) / m for m in sizes if m > 1})
+        ends = {f"{f.__name__}_{c}": f(c) for c in ("_u", "_v") for f in (F.min, F.max)}
+        cuts = {c: F.percentile_approx(c, F.array(*[F.lit(s) for s in shares]), F.lit(10_000)) for c in ("_u", "_v")}
+        own = out.filter("_m > 1").groupBy("_base", "_m").agg(*[e.alias(k) for k, e in ends.items()], *[c.alias(f"cut{k}") for k, c in cuts.items()])
+        at = F.array_position(F.array(*[F.lit(s) for s in shares]), F.floor(F.col("_m") / 2) / F.col("_m")).cast("int")
+        across_x = F.col("max__u") - F.col("min__u") >= F.col("max__v") - F.col("min__v")
+        own = checkpoint(own.select("_base", across_x.alias("_x"), F.when(across_x, F.element_at("cut_u", at)).otherwise(F.element_at("cut_v", at)).alias("_cut")))
+        if own.count() <= CUTS:
+            own = F.broadcast(own)
+        half = F.floor(F.col("_m") / 2).cast("int")
+        left = F.when(F.col("_x"), F.col("_u")).otherwise(F.col("_v")) <= F.col("_cut")
+        joined = out.join(own, "_base", "left").withColumn("_left", F.coalesce(left, F.lit(True)))
+        split = (F.col("_m") > 1) & ~F.col("_left")
+        out = joined.withColumns({"_base": F.when(split, F.col("_base") + half).otherwise(F.col("_base")), "_m": F.when(F.col("_m") == 1, 1).when(F.col("_left"), half).otherwise(F.col("_m") - half)}).drop("_x", "_cut", "_left")
+        sizes = {h for m in sizes for h in ((m // 2, m - m // 2) if m > 1 else (1,))}
+    return out.withColumn(name, F.col("_base").cast("long")).drop("_base", "_m", "_u", "_v")

@@ -39,7 +39,7 @@ def _engine(name: str) -> None:
 
 
 for _name in ENGINES:
-    if _name not in ("DM_3dBragg", "DM", "RAAR", "AP", "DM_object_regul", "ML"):  # volumes have a query of their own, the others one with SQL
+    if _name not in ("DM_3dBragg", "DM", "RAAR", "AP", "DM_object_regul", "ML", "EPIE", "EPIEParallel", "SDR", "WASP"):  # volumes have a query of their own, the others one with SQL
         _engine(_name)
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.functions import kernels as K
-from wavesift.operators.engines import AP, DM, RAAR, DMObjectRegul, Engine, State
+from wavesift.operators.engines import AP, DM, EPIE, RAAR, SDR, WASP, DMObjectRegul, Engine, EPIEParallel, SequentialEngine, State
+from wavesift.operators.partition import by_load
 from wavesift.operators.tiled import TiledDM, TiledML, TiledRAAR, cut, pixels
-from wavesift.plans.demo_tables import rounded
+from wavesift.plans.demo_tables import read, rounded
 from wavesift.plans.kernel_queries import _FRAMES, _ML, _PLACED, FIELD, N, PROBE, PROBE_STEP, _bw, _fw, _times, by_frame, scan_of_embeddings
 
 QUERIES: dict = {}
@@ -231,3 +232,103 @@ def ml_gradient_modes(spark, sf_dir):
 
     names = ["cost", *_GRADIENTS]
     return rounded(by_frame(spark, sf_dir, ", ".join(f"{n} double" for n in names), rows), 5, *names)
+
+
+# ---- domains by load, and sequential engines ------------------------------------
+
+
+def _by_load_sql(source: str, x: str, y: str, key: str, domains: int) -> list[str]:
+    """CTEs of which the last, dealt, has key and domain: ``source`` cut again and again at the row that parts its share."""
+    shift = f"{key} * 7919 % 10007 / 10007.0"
+    ctes, sizes, n = [f"lv0 AS (SELECT {key} AS key, 0 AS base, {domains} AS m, {x} + {shift} AS u, {y} + {shift} AS v FROM {source})"], {domains}, 0
+    while any(m > 1 for m in sizes):
+        ctes += [
+            f"ax{n} AS (SELECT *, max(u) OVER b - min(u) OVER b >= max(v) OVER b - min(v) OVER b AS across, count(*) OVER b AS n FROM lv{n} WINDOW b AS (PARTITION BY base))",
+            f"rk{n} AS MATERIALIZED (SELECT *, m > 1 AND row_number() OVER (PARTITION BY base ORDER BY if(across, u, v)) > ceil((m // 2) * n / m) AS after FROM ax{n})",
+            f"lv{n + 1} AS (SELECT key, if(after, base + m // 2, base) AS base, CASE WHEN m = 1 THEN 1 WHEN after THEN m - m // 2 ELSE m // 2 END AS m, u, v FROM rk{n})",
+        ]
+        n += 1
+        sizes = {h for m in sizes for h in ((m // 2, m - m // 2) if m > 1 else (1,))}
+    return [*ctes, f"dealt AS (SELECT key, base::BIGINT AS domain FROM lv{n})"]
+
+
+_CROWDED = "(SELECT c_custkey, floor(power((c_acctbal + 1000) / 1000, 3)) AS x, (c_custkey % 7 * (c_custkey % 5)) AS y FROM customer)"
+
+
+@query("WITH " + ",\n".join(_by_load_sql(_CROWDED, "x", "y", "c_custkey", 12)) + " SELECT key AS c_custkey, domain, count(*) OVER (PARTITION BY domain) <= 1.2 * count(*) OVER () / 12 + 1 AS fair FROM dealt")
+def domains_by_load(spark, sf_dir):
+    """Crowded places in 12 regions of about as many rows each."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.floor(F.pow((F.col("c_acctbal").cast("double") + 1000) / 1000, 3)).alias("x"), (F.col("c_custkey") % 7 * (F.col("c_custkey") % 5)).alias("y"))
+    own = by_load(c, "x", "y", "c_custkey", 12)
+    sizes = own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("of"))))
+    return own.join(F.broadcast(sizes), "domain").select("c_custkey", "domain", (F.col("n") <= 1.2 * F.col("of") / 12 + 1).alias("fair"))
+
+
+def _sweep_sql(b: float, steps: tuple[float, float, float, float], domains: int, averaged: bool) -> str:
+    """One sweep of every domain, frame after frame: a recursion whose rows hold probe and object as lists."""
+    oa, ob, pa, pb = steps
+    each = "list_transform(range(1, 65), lambda k: {})".format
+    norm = lambda re, im: each(f"{re}[k] * {re}[k] + {im}[k] * {im}[k]")
+    fw = lambda re, im: (f"list_transform(range(1, 65), lambda j: (list_dot_product({re}, cs[j]) - list_dot_product({im}, sn[j])) / 8)", f"list_transform(range(1, 65), lambda j: (list_dot_product({re}, sn[j]) + list_dot_product({im}, cs[j])) / 8)")
+    bw = lambda re, im: (f"list_transform(range(1, 65), lambda j: (list_dot_product({re}, cs[j]) + list_dot_product({im}, sn[j])) / 8)", f"list_transform(range(1, 65), lambda j: (list_dot_product({im}, cs[j]) - list_dot_product({re}, sn[j])) / 8)")
+    put = lambda x: f"list_transform(range(0, 256), lambda j: if(j // 16 BETWEEN r0 AND r0 + 7 AND j % 16 BETWEEN c0 AND c0 + 7, n_{x}[(j // 16 - r0) * 8 + j % 16 - c0 + 1], ob_{x}[j + 1]))"
+    conj = lambda a, c: (f"({a}_re[k] * {c}_re[k] + {a}_im[k] * {c}_im[k])", f"({a}_re[k] * {c}_im[k] - {a}_im[k] * {c}_re[k])")
+    po, f, y = _times("pr_re[k],pr_im[k]", "o_re[k],o_im[k]"), fw("po_re", "po_im"), bw("zf_re", "zf_im")
+    layers = [
+        {"o_re": each("ob_re[(r0 + (k - 1) // 8) * 16 + c0 + (k - 1) % 8 + 1]"), "o_im": each("ob_im[(r0 + (k - 1) // 8) * 16 + c0 + (k - 1) % 8 + 1]"), "pp": norm("pr_re", "pr_im")},
+        {"po_re": each(po[0]), "po_im": each(po[1])},
+        {"f_re": f[0], "f_im": f[1]},
+        {"z": each("1 - m[k] + m[k] * amp[k] / (sqrt(f_re[k] * f_re[k] + f_im[k] * f_im[k]) + 1e-10)")},
+        {"zf_re": each("z[k] * f_re[k]"), "zf_im": each("z[k] * f_im[k]")},
+        {"y_re": y[0], "y_im": y[1]},
+        {"d_re": each(f"{b} * (y_re[k] - po_re[k])"), "d_im": each(f"{b} * (y_im[k] - po_im[k])")},
+        {"psi_re": each("po_re[k] + d_re[k]"), "psi_im": each("po_im[k] + d_im[k]"), **{f"n_{x}": each(f"o_{x}[k] + {oa + ob} * {v} / ({1 - oa} * list_max(pp) + {oa} * pp[k])") for x, v in zip(("re", "im"), conj("pr", "d"), strict=True)}},
+        {"oo": norm("n_re", "n_im")},
+        {f"q_{x}": each(f"pr_{x}[k] + {pa + pb} * {v} / ({1 - pa} * list_max(oo) + {pa} * oo[k])") for x, v in zip(("re", "im"), conj("n", "d"), strict=True)},
+    ]
+    arm = "(SELECT s.domain, s.step, s.pr_re, s.pr_im, s.ob_re, s.ob_im, f.r0, f.c0, f.amp, f.m, tl.cs, tl.sn FROM s JOIN fl f ON f.domain = s.domain AND f.ord = s.step + 1, tl)"
+    for layer in layers:
+        arm = "(SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in layer.items()) + f" FROM {arm})"
+    deal = _by_load_sql("(SELECT vec_id, vec_id * 3 % 9 AS r0, vec_id * 5 % 9 AS c0 FROM embeddings)", "r0", "c0", "vec_id", domains) if domains > 1 else ["dealt AS (SELECT vec_id AS key, 0::BIGINT AS domain FROM embeddings)"]
+    none = "[]::DOUBLE[]"
+    if averaged:  # by conj(P) psi over all steps
+        obj = "SELECT y, x, CASE WHEN sum(d) >= 1e-8 THEN sum(a) / sum(d) ELSE 1.0 END AS re, CASE WHEN sum(d) >= 1e-8 THEN sum(b) / sum(d) ELSE 0.0 END AS im FROM st GROUP BY y, x"
+        probe = "SELECT k, sum(e) / sum(g) AS re, sum(h) / sum(g) AS im FROM st GROUP BY k"
+    else:  # by the light that fell on each domain's object
+        obj = """SELECT y, x, sum(l * ob_re[y * 16 + x + 1]) / sum(l) AS re, sum(l * ob_im[y * 16 + x + 1]) / sum(l) AS im
+    FROM (SELECT domain, y, x, sum(d) AS l FROM st GROUP BY ALL) JOIN en USING (domain) GROUP BY y, x"""
+        probe = "SELECT k, sum(step * pr_re[k + 1]) / sum(step) AS re, sum(step * pr_im[k + 1]) / sum(step) AS im FROM en, (SELECT unnest(range(64)) AS k) GROUP BY k"
+    return f"""WITH RECURSIVE {_FRAMES.strip()},
+{", ".join(deal)},
+fl AS MATERIALIZED (SELECT vec_id, domain, r0, c0, amp, m, row_number() OVER (PARTITION BY domain ORDER BY vec_id) AS ord FROM (
+    SELECT vec_id, vec_id * 3 % 9 AS r0, vec_id * 5 % 9 AS c0, list(sqrt(i) ORDER BY k) AS amp, list(m::DOUBLE ORDER BY k) AS m FROM w GROUP BY vec_id) JOIN dealt ON key = vec_id),
+tl AS MATERIALIZED (SELECT list(cs ORDER BY to_k) AS cs, list(sn ORDER BY to_k) AS sn FROM (SELECT to_k, list(cs ORDER BY k) AS cs, list(sn ORDER BY k) AS sn FROM tw GROUP BY to_k)),
+g0 AS (SELECT k, k // 8 AS r, k % 8 AS c, exp(-((k // 8 - 3.5) * (k // 8 - 3.5) + (k % 8 - 3.5) * (k % 8 - 3.5)) / 16) AS g FROM (SELECT unnest(range(64)) AS k)),
+s AS (
+    SELECT domain, 0::BIGINT AS step, (SELECT list(g::DOUBLE ORDER BY k) FROM g0) AS pr_re, (SELECT list((0.1 * g * (r - c))::DOUBLE ORDER BY k) FROM g0) AS pr_im,
+        list_transform(range(256), lambda j: 1.0::DOUBLE) AS ob_re, list_transform(range(256), lambda j: 0.0::DOUBLE) AS ob_im, 0::BIGINT AS r0, 0::BIGINT AS c0, {none} AS n_re, {none} AS n_im, {none} AS psi_re, {none} AS psi_im FROM (SELECT DISTINCT domain FROM dealt)
+    UNION ALL
+    SELECT domain, step + 1, q_re, q_im, {put("re")}, {put("im")}, r0, c0, n_re, n_im, psi_re, psi_im FROM {arm}),
+st AS (SELECT domain, k, r0 + k // 8 AS y, c0 + k % 8 AS x, pr_re[k + 1] * psi_re[k + 1] + pr_im[k + 1] * psi_im[k + 1] AS a, pr_re[k + 1] * psi_im[k + 1] - pr_im[k + 1] * psi_re[k + 1] AS b, pr_re[k + 1] * pr_re[k + 1] + pr_im[k + 1] * pr_im[k + 1] AS d,
+    n_re[k + 1] * psi_re[k + 1] + n_im[k + 1] * psi_im[k + 1] AS e, n_re[k + 1] * psi_im[k + 1] - n_im[k + 1] * psi_re[k + 1] AS h, n_re[k + 1] * n_re[k + 1] + n_im[k + 1] * n_im[k + 1] AS g FROM s, (SELECT unnest(range(64)) AS k) WHERE step > 0),
+en AS (SELECT * FROM s QUALIFY step = max(step) OVER (PARTITION BY domain))
+SELECT 'object' AS what, 0::INT AS mode, y::INT AS y, x::INT AS x, round(coalesce(re, 1.0), 5) + 0.0 AS re, round(coalesce(im, 0.0), 5) + 0.0 AS im FROM (SELECT (k // 16) AS y, (k % 16) AS x FROM (SELECT unnest(range(256)) AS k)) LEFT JOIN ({obj}) USING (y, x)
+UNION ALL SELECT 'probe', 0::INT, (k // 8)::INT, (k % 8)::INT, round(re, 5) + 0.0, round(im, 5) + 0.0 FROM ({probe})"""
+
+
+def _sequential(cls: type[SequentialEngine], steps: tuple[float, float, float, float], domains: int, averaged: bool = False, **how) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = cls(scan_of_embeddings(spark, sf_dir), _one(), numiter=1, domains=domains, order="frame", **how)
+        e.run()
+        return state_rows(spark, pixels(cut(spark, e.state.obj, N), (FIELD, FIELD), N), e.state.probe)
+
+    name = f"engine_{cls.name.lower()}"
+    run.__doc__ = f"One sweep in {domains} domain(s), in the order of the frames."
+    QUERIES[name], ORACLE[name] = run, _sweep_sql(1.0, steps, domains, averaged)
+
+
+_sequential(EPIE, (0.0, 1.0, 0.0, 1.0), 1)
+_sequential(EPIEParallel, (0.0, 1.0, 0.0, 1.0), 4)
+_sequential(SDR, (0.9, 0.0, 0.1, 0.0), 3)
+# Steps short enough that sums in another order stay within the digits that are compared.
+_sequential(WASP, (0.5, 0.0, 0.5, 0.0), 6, averaged=True, alpha=0.5, beta=0.5)
