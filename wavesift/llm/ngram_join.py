@@ -12,7 +12,9 @@ are its short lists, and two similar documents share K of these at least. Lists
 one document vanish where postings meet, and documents left with fewer than K lists
 go. What is left is first linked to leaders, one pair a document, so that large
 groups of near copies never meet in pairs; then lists are merged between
-documents not yet connected, and candidates are probed in whole sets.
+documents not yet connected, and candidates are probed in whole sets. A list
+gives a query only members whose parity bits leave the overlap possible: each bit
+that differs stands for one shingle at least that the sets do not share.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ FOLLOWERS = 512
 LEADER_ROUNDS = 2
 #: Words whose hashes a worker remembers; bytes of a text that it splits at a time.
 VOCABULARY, PIECE = 200_000, 1 << 20
+#: Longs of parity bits that a set has.
+LONGS = 4
+BITS = tuple(f"b{i}" for i in range(LONGS))
 _SPACE = re.compile(rb"[ \t-\r]")
 #: The odd factor and the shift of a 64-bit mix.
 FACTOR, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
@@ -100,6 +105,17 @@ def node_of(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0])
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS classes of hashes, whether an odd number of the shingles is in it; packed in longs."""
+    odd = np.bincount((own % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_apart(n_u, n_v, percent: int = PERCENT):
+    """Shingles that only one of two similar sets has, at most."""
+    return n_u + n_v - 2 * -(-percent * (n_u + n_v) // (100 + percent))
+
+
 def required(n, percent: int = PERCENT):
     """T: shingles that a set of n shares with any similar one, at least."""
     return -(-percent * n // 100)
@@ -138,23 +154,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def summaries(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, row, node, n) of the documents, and rows (token, n) of shingles that several sets of a batch hold."""
+    """Rows (doc_id, row, node, n, parity bits) of the documents, and rows (token, n) of shingles that several sets of a batch hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for pdf in batches:
             sets = sets_of(pdf, words, shingle)
             node = [node_of(s) if len(s) else None for s in sets]
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, LONGS)
             none = pd.array([None] * len(sets), "Int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "node": pd.array(node, "Int64"), "n": [len(s) for s in sets], "token": none})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "node": pd.array(node, "Int64"), "n": [len(s) for s in sets], "token": none, **dict(zip(BITS, bits.T, strict=True))})
             once = {k: s for k, s in zip(node, sets, strict=True) if k is not None}
             if once:
                 token, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
                 token, count = token[count > 1].view(np.int64), count[count > 1]
                 none = pd.array([None] * len(token), "Int64")
-                yield pd.DataFrame({"doc_id": none, "row": none, "node": none, "n": count, "token": pd.array(token, "Int64")})
+                yield pd.DataFrame({"doc_id": none, "row": none, "node": none, "n": count, "token": pd.array(token, "Int64"), **dict.fromkeys(BITS, none)})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, row long, node long, n long, token long")
+    return _texts(docs).mapInPandas(run, f"doc_id long, row long, node long, n long, token long, {', '.join(f'{b} long' for b in BITS)}")
 
 
 def frequent_shingles(counted: DataFrame, most: int = MOST_LONG, least: int = LEAST_LONG) -> np.ndarray:
@@ -224,17 +241,20 @@ def shared_lists(packed: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, own) of the sets ``wanted`` (row, node): only their texts are read again."""
+    """(node, own) of the sets ``wanted`` (row, node): only their texts are read again. Of repeated rows each task gives one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
+        words, given = Words(), set()
         for pdf in batches:
-            sets = sets_of(pdf, words, shingle)
-            keep = [i for i, (s, node) in enumerate(zip(sets, pdf["node"], strict=True)) if len(s) and node_of(s) == node]
+            sets, keep = sets_of(pdf, words, shingle), []
+            for i, (s, node) in enumerate(zip(sets, pdf["node"].tolist(), strict=True)):
+                if node not in given and len(s) and node_of(s) == node:
+                    given.add(node)
+                    keep.append(i)
             yield pd.DataFrame({"node": pdf["node"].iloc[keep], "own": [sets[i].tobytes() for i in keep]})
 
     rows = join_counted(_texts(docs), wanted, ["row"], "text").select("text", "node")
-    return rows.mapInPandas(run, "node long, own binary").dropDuplicates(["node"])
+    return rows.mapInPandas(run, "node long, own binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -272,11 +292,13 @@ def leader_pairs(lists: DataFrame, nodes: DataFrame, turn: int, percent: int = P
     """(u, v): for each set u the leader v, of another class, that leads most of its lists; a list is led by the set of least hash."""
     leaders = written(lists.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("v"), F.count(F.lit(1)).alias("n")))
     led = join_split(lists, leaders, "token", "n").filter("node != v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("lists"))
-    of_u, of_v = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
+    of_u, of_v = (nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "root", *BITS)]) for c in "uv")
     led = written(led.join(of_u, "u"))
     per_leader = written(led.groupBy("v").agg(F.count(F.lit(1)).alias("led")).join(of_v, "v"))
     both = join_split(led, per_leader, "v", "led")
-    fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    total = F.col("n_u") + F.col("n_v")
+    apart = sum((F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in BITS), F.lit(0))
+    fits = (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (apart <= total - 2 * F.ceil(total * percent / (100 + percent)))
     return both.filter("root_u != root_v").filter(fits).groupBy("u").agg(F.max_by("v", F.struct("lists", "v")).alias("v"))
 
 
@@ -289,33 +311,40 @@ def candidates(lists: DataFrame, nodes: DataFrame, block: int = BLOCK, percent:
     """
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(rows: np.ndarray) -> Iterator[tuple]:
-            """rows: columns node, n, class size, root, own block, of one cell; sorted by class."""
-            rows = rows[np.lexsort((rows[:, 3], rows[:, 2]))]
-            node, n, size, root = rows[:, :4].T
-            ends = np.searchsorted(np.cumsum(np.r_[0, (root[1:] != root[:-1]) | (size[1:] != size[:-1])]), np.arange(len(rows) + 1), "right")
-            of_class = np.cumsum(np.r_[0, (root[1:] != root[:-1]) | (size[1:] != size[:-1])])
-            for i in range(len(rows)):
-                after = slice(ends[of_class[i]], None)
-                fit = (100 * n[after] >= percent * n[i]) & (100 * n[i] >= percent * n[after]) & (rows[after, 4] != rows[i, 4] if rows[i, 5] else True)
-                if fit.any():
-                    yield int(node[i]), int(n[i]), np.sort(node[after][fit]).tobytes()
-
-        cell, held = None, []
+        def of(rows: np.ndarray) -> pd.DataFrame:
+            """For whole cells, sorted: each row with those after it in its cell, one step further at a time."""
+            rows = rows[np.lexsort((rows[:, 6], rows[:, 5], *rows[:, 2::-1].T))]
+            node, n, root, own, two, bits = rows[:, 3], rows[:, 4], rows[:, 6], rows[:, 7], rows[:, 8], rows[:, 9:].view(np.uint64)
+            i, step, pairs = np.arange(len(rows)), 1, [np.empty((2, 0), np.int64)]
+            while True:
+                i = i[i + step < len(rows)]
+                i = i[(rows[i, :3] == rows[i + step, :3]).all(axis=1)]
+                if not len(i):
+                    break
+                j = i + step
+                step += 1
+                fit = (root[i] != root[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])) & ((two[i] == 0) | (own[i] != own[j]))
+                a, b = i[fit], j[fit]
+                near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most_apart(n[a], n[b], percent)
+                pairs.append(np.stack([a[near], b[near]]))
+            a, b = np.concatenate(pairs, axis=1)
+            order = np.lexsort((node[b], a))
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+            members = [node[b[x:y]].tobytes() for x, y in zip(cuts, np.r_[cuts[1:], len(a)][: len(cuts)], strict=True)]
+            return pd.DataFrame({"u": node[a[cuts]], "n": n[a[cuts]], "members": members})
+
+        columns = ["token", "a", "b", "node", "n", "size", "root", "own", "two", *BITS]
+        rows = np.empty((0, len(columns)), np.int64)
         for pdf in batches:
-            keys = pdf[["token", "a", "b"]].to_numpy(np.int64)
-            values = pdf[["node", "n", "size", "root", "own", "two"]].to_numpy(np.int64)
-            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                if cell is not None and tuple(keys[a]) != cell:
-                    out += of(np.concatenate(held))
-                    held = []
-                cell = tuple(keys[a])
-                held.append(values[a:b])
-            yield pd.DataFrame(out, columns=["u", "n", "members"])
-        if held:
-            yield pd.DataFrame(list(of(np.concatenate(held))), columns=["u", "n", "members"])
+            rows = np.concatenate([rows, pdf[columns].to_numpy(np.int64)])
+            new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
+            last = new[-1] + 1 if len(new) else 0
+            if last:
+                yield of(rows[:last])
+                rows = rows[last:]
+        if len(rows):
+            yield of(rows)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(lists: list[np.ndarray], n: int) -> list[int]:
@@ -336,8 +365,8 @@ def candidates(lists: DataFrame, nodes: DataFrame, block: int = BLOCK, percent:
         yield pd.DataFrame([(own, v) for v in of(held, size)] if held else [], columns=["u", "v"])
 
     counts = written(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
-    of_node = written(join_split(nodes.select("node", "n", "root", "lists"), counts, "root", "size"))
-    listed = join_split(lists, of_node, "node", "lists").select("token", "node", "n", "size", "root")
+    of_node = written(join_split(nodes.select("node", "n", "root", "lists", *BITS), counts, "root", "size"))
+    listed = join_split(lists, of_node, "node", "lists").select("token", "node", "n", "size", "root", *BITS)
     mixed = listed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("count"))
     mixed = written(mixed.filter("low != high").select("token", "count"))
     cut = F.ceil(F.col("count") / F.lit(block)).cast("long")
@@ -346,21 +375,21 @@ def candidates(lists: DataFrame, nodes: DataFrame, block: int = BLOCK, percent:
         .withColumn("cut", cut)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
-        .select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "size", "root", "own", (F.col("own") != F.col("other")).cast("long").alias("two"))
+        .select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "size", "root", "own", (F.col("own") != F.col("other")).cast("long").alias("two"), *BITS)
     )
     rows = cells.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInPandas(partners, "u long, n long, members binary")
     return small_batches(rows.repartition("u").sortWithinPartitions("u")).mapInPandas(merge, "u long, v long")
 
 
 def ngram_links(docs: DataFrame, sized: DataFrame, counted: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(u, v): for each set u that is similar to others the root v of its class. ``sized``: (node, row, n) of every set."""
+    """(u, v): for each set u that is similar to others the root v of its class. ``sized``: (node, row, n, parity bits) of every set."""
     frequent = frequent_shingles(counted)
     total = sized.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) * (1 - 1 / MERGED) + 2)).first()[0] or 0
     packed = postings(docs, frequent, int(total // BUCKET) + 1, shingle, percent)
     lists = written(shared_lists(packed))
     own = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
     least = 1 + F.floor(F.ceil(percent * F.ceil(percent * F.col("n") / 100) / 100) / MERGED)
-    nodes = written(sized.join(own, "node").filter(F.col("lists") >= least).select("node", "row", "n", "lists"))
+    nodes = written(sized.join(own, "node").filter(F.col("lists") >= least).select("node", "row", "n", "lists", *BITS))
     lists = written(join_split(lists, nodes.select("node", "lists"), "node", "lists").select("token", "node"))
     sets = written(set_table(docs, written(nodes.select("row", "node")), shingle))
 
@@ -386,9 +415,9 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     Columns: doc_id, n_shingles, component_id (smallest doc_id reachable, itself included).
     """
     counted = written(summaries(docs, shingle))
-    rows = counted.filter("token is null").select("doc_id", "row", "node", "n")
-    sized = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs")))
-    root = ngram_links(docs, sized.select("node", "row", "n"), counted, shingle, percent)
+    rows = counted.filter("token is null").drop("token")
+    sized = written(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("n").alias("n"), F.count(F.lit(1)).alias("docs"), *[F.first(b).alias(b) for b in BITS]))
+    root = ngram_links(docs, sized.select("node", "row", "n", *BITS), counted, shingle, percent)
     placed = written(sized.join(root.withColumnRenamed("u", "node"), "node", "left").select("node", "doc_id", "docs", F.coalesce("v", "node").alias("root")))
     classes = written(placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")))
     of_node = written(join_split(placed.select("node", "docs", "root"), classes, "root", "sets").select("node", "docs", "component_id"))
