@@ -212,11 +212,8 @@ class Engine:
         rows = [tuple(float(r.get(k, 0.0)) if k.startswith(("err", "dur")) else r[k] for k in names) for r in self.log]
         return self.frames.sparkSession.createDataFrame(rows, "engine string, iteration int, duration double, err_fourier double, err_photon double, err_exit double")
 
-    def broadcast(self):
-        size = self.state.probe.nbytes + self.state.obj.nbytes
-        if size > BROADCAST_BYTES:
-            raise ValueError(f"probe and object have {size} bytes, more than the {BROADCAST_BYTES} that are broadcast; split the object into scans of their own")
-        return self.frames.sparkSession.sparkContext.broadcast((self.state.probe, self.state.obj))
+    def broadcast(self, *more: np.ndarray):
+        return sent(self.frames.sparkSession, self.state.probe, self.state.obj, *more)
 
     def limited(self, obj: np.ndarray) -> np.ndarray:
         if self.clip_object is None:
@@ -235,6 +232,14 @@ class Engine:
         return probe
 
 
+def sent(spark, *arrays: np.ndarray):
+    """A broadcast of ``arrays``, up to BROADCAST_BYTES."""
+    size = sum(a.nbytes for a in arrays)
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"probe and object have {size} bytes, more than the {BROADCAST_BYTES} that are broadcast; engines of operators.tiled keep the object in tiles")
+    return spark.sparkContext.broadcast(arrays)
+
+
 WITH_EXIT = "frame_idx long, r0 int, c0 int, n int, intensity binary, mask binary, exit binary, err_fourier double, err_photon double, err_exit double"
 ERRORS = ("err_fourier", "err_photon", "err_exit")
 
@@ -536,8 +541,7 @@ class ML(Engine):
 
     def line(self, h_obj: np.ndarray, h_probe: np.ndarray) -> np.ndarray:
         """Coefficients of the cost along the direction."""
-        sc = self.frames.sparkSession.sparkContext
-        shared, model, whole = sc.broadcast((self.state.probe, self.state.obj, h_probe, h_obj)), self.ml_type, self.poly_line_coeffs == "all"
+        shared, model, whole = self.broadcast(h_probe, h_obj), self.ml_type, self.poly_line_coeffs == "all"
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, (probe, obj, hp, ho) = TileSums(), shared.value
@@ -828,10 +832,7 @@ class ThreePIE(EPIE):
         self.slices = self.slices or [self.state.obj, np.ones_like(self.state.obj)]
 
     def what_goes_out(self):
-        size = self.state.probe.nbytes + sum(s.nbytes for s in self.slices)
-        if size > BROADCAST_BYTES:
-            raise ValueError(f"probe and slices have {size} bytes, more than the {BROADCAST_BYTES} that are broadcast")
-        return self.frames.sparkSession.sparkContext.broadcast((self.state.probe, np.concatenate(self.slices)))
+        return sent(self.frames.sparkSession, self.state.probe, np.concatenate(self.slices))
 
     def step(self, own, row, iteration, sums):
         probe, stack = own

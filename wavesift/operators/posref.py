@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wavesift.functions import kernels as K
 from wavesift.functions.propagate import fourier
-from wavesift.operators.engines import State, frame_arrays
+from wavesift.operators.engines import State, frame_arrays, sent
 
 MOVED = "frame_idx long, r0 int, c0 int, new_r0 int, new_c0 int, error double, old_error double"
 
@@ -53,7 +53,7 @@ class PositionRefinement:
 
 def refine(frames: DataFrame, state: State, how: PositionRefinement, iteration: int = 0) -> DataFrame:
     """Old and new place of every frame with both errors. Candidates stay inside a frame's task."""
-    shared = frames.sparkSession.sparkContext.broadcast((state.probe, state.obj))
+    shared = sent(frames.sparkSession, state.probe, state.obj)
     metric = METRICS[how.metric]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +71,7 @@ def refine(frames: DataFrame, state: State, how: PositionRefinement, iteration:
 
 def refined(frames: DataFrame, state: State, how: PositionRefinement, iteration: int = 0) -> DataFrame:
     """``frames`` with the best place of each, all other columns as they are."""
-    shared = frames.sparkSession.sparkContext.broadcast((state.probe, state.obj))
+    shared = sent(frames.sparkSession, state.probe, state.obj)
     metric = METRICS[how.metric]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

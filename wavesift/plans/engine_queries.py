@@ -67,7 +67,6 @@ def _posref(method: str) -> None:
     QUERIES[f"posref_{method.lower()}"] = run
 
 
-_posref("GridSearch")
 _posref("Annealing")
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from wavesift.functions import kernels as K
 from wavesift.operators.engines import AP, DM, EPIE, RAAR, SDR, WASP, DMObjectRegul, Engine, EPIEParallel, SequentialEngine, State
 from wavesift.operators.partition import by_load
+from wavesift.operators.posref import PositionRefinement, refine
 from wavesift.operators.tiled import TiledDM, TiledML, TiledRAAR, cut, pixels
 from wavesift.plans.demo_tables import read, rounded
-from wavesift.plans.kernel_queries import _FRAMES, _ML, _PLACED, FIELD, N, PROBE, PROBE_STEP, _bw, _fw, _times, by_frame, scan_of_embeddings
+from wavesift.plans.kernel_queries import _FRAMES, _ML, _PLACED, FIELD, N, PROBE, PROBE_STEP, _CANDIDATES, _bw, _fw, _times, by_frame, scan_of_embeddings
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -332,3 +333,32 @@ _sequential(EPIEParallel, (0.0, 1.0, 0.0, 1.0), 4)
 _sequential(SDR, (0.9, 0.0, 0.1, 0.0), 3)
 # Steps short enough that sums in another order stay within the digits that are compared.
 _sequential(WASP, (0.5, 0.0, 0.5, 0.0), 6, averaged=True, alpha=0.5, beta=0.5)
+
+
+# ---- positions on a shared object ------------------------------------------------
+
+#: An object that tells its places apart.
+TEXTURE = (1 + 0.05 * ((3 * _Y + 5 * _X) % 7) + 0.02j * (_Y - _X)).astype(complex).reshape(1, FIELD, FIELD)
+
+
+def _posref(name: str, metric: str, error: str) -> None:
+    """The best of five places of every frame, within the object."""
+    own = _times("pr,pi_", "(1 + 0.05 * ((3 * y + 5 * x) % 7)),(0.02 * (y - x))")
+    ORACLE[name] = f"""WITH {_FRAMES},
+s(n, dr, dc) AS (VALUES {_CANDIDATES}),
+pl AS (SELECT vec_id, n, (vec_id * 3 % 9)::INT AS r0, (vec_id * 5 % 9)::INT AS c0, dr, dc FROM (SELECT DISTINCT vec_id FROM w) CROSS JOIN s),
+po AS (SELECT vec_id, n, k, {own[0]} AS re, {own[1]} AS im FROM (SELECT *, r0 + dr + r AS y, c0 + dc + c AS x FROM w JOIN pl USING (vec_id) WHERE r0 + dr BETWEEN 0 AND 8 AND c0 + dc BETWEEN 0 AND 8)),
+f AS {_fw("po", "vec_id, n")},
+t AS (SELECT vec_id, n, {error} AS err FROM (SELECT *, re * re + im * im AS a0 FROM f) JOIN w USING (vec_id, k) GROUP BY vec_id, n),
+b AS (SELECT vec_id, arg_min(n, err) AS n, min(err) AS err, max(err) FILTER (n = 0) AS old FROM t GROUP BY vec_id)
+SELECT vec_id AS frame_idx, r0, c0, r0 + dr::INT AS new_r0, c0 + dc::INT AS new_c0, round(err, 6) AS error, round(old, 6) AS old_error FROM b JOIN pl USING (vec_id, n)"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        how = PositionRefinement(method="GridSearch", max_shift=1, metric=metric)
+        return rounded(refine(scan_of_embeddings(spark, sf_dir), State(PROBE.copy(), TEXTURE.copy()), how), 6, "error", "old_error")
+
+    QUERIES[name] = run
+
+
+_posref("posref_gridsearch", "fourier", "sum(m * (sqrt(a0) - sqrt(i)) * (sqrt(a0) - sqrt(i))) / sum(m)")
+_posref("posref_photon", "photon", "sum(m * (a0 - i) * (a0 - i) / (i + 1)) / 64")
