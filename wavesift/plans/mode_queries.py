@@ -14,6 +14,7 @@ from wavesift.functions import kernels as K
 from wavesift.operators.engines import AP, DM, EPIE, RAAR, SDR, WASP, DMObjectRegul, Engine, EPIEParallel, SequentialEngine, State
 from wavesift.operators.partition import by_load
 from wavesift.operators.posref import PositionRefinement, refine
+from wavesift.operators.stxm import stxm_analysis
 from wavesift.operators.tiled import TiledDM, TiledML, TiledRAAR, cut, pixels
 from wavesift.plans.demo_tables import read, rounded
 from wavesift.plans.kernel_queries import _FRAMES, _ML, _PLACED, FIELD, N, PROBE, PROBE_STEP, _CANDIDATES, _bw, _fw, _times, by_frame, scan_of_embeddings
@@ -362,3 +363,19 @@ SELECT vec_id AS frame_idx, r0, c0, r0 + dr::INT AS new_r0, c0 + dc::INT AS new_
 
 _posref("posref_gridsearch", "fourier", "sum(m * (sqrt(a0) - sqrt(i)) * (sqrt(a0) - sqrt(i))) / sum(m)")
 _posref("posref_photon", "photon", "sum(m * (a0 - i) * (a0 - i) / (i + 1)) / 64")
+
+
+# ---- maps ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {_FRAMES},
+q AS (SELECT vec_id, sum(i) AS total, (sum(r * i) / sum(i) - 4) * 2 * pi() AS dr, (sum(c * i) / sum(i) - 4) * 2 * pi() AS dc FROM w GROUP BY vec_id),
+p AS (SELECT {_PLACED}, sqrt(pr * pr + pi_ * pi_) AS l, total, dr, dc FROM w JOIN q USING (vec_id)),
+m AS (SELECT y, x, sum(l * sqrt(total)) / (sum(l) + 1e-10) / (SELECT sqrt(max(total)) FROM q) AS trans, sum(l * dr) / (sum(l) + 1e-10) AS dpc_row, sum(l * dc) / (sum(l) + 1e-10) AS dpc_col FROM p GROUP BY y, x)
+SELECT y, x, round(coalesce(trans, 0), 5) + 0.0 AS trans, round(coalesce(dpc_row, 0), 5) + 0.0 AS dpc_row, round(coalesce(dpc_col, 0), 5) + 0.0 AS dpc_col
+FROM (SELECT (k // 16)::INT AS y, (k % 16)::INT AS x FROM (SELECT unnest(range(256)) AS k)) LEFT JOIN m USING (y, x)""")
+def stxm_maps(spark, sf_dir):
+    """Transmission and both phase gradients of the scan, weighted by the probe's modulus."""
+    maps = np.stack(stxm_analysis(scan_of_embeddings(spark, sf_dir), PROBE[0], (FIELD, FIELD)))
+    rows = [(int(y), int(x), *maps[:, y, x].tolist()) for y, x in np.ndindex(FIELD, FIELD)]
+    return rounded(spark.createDataFrame(rows, "y int, x int, trans double, dpc_row double, dpc_col double"), 5, "trans", "dpc_row", "dpc_col")
