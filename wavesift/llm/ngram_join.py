@@ -50,8 +50,8 @@ FOLLOWERS = 512
 LEADER_ROUNDS = 2
 #: Words whose hashes a worker remembers; bytes of a text that it splits at a time.
 VOCABULARY, PIECE = 200_000, 1 << 20
-#: Longs of parity bits that a set has.
-LONGS = 4
+#: Longs of parity bits that a set has where it is listed, and where pairs are looked at once more before their sets travel.
+LONGS, WIDE = 4, 64
 BITS = tuple(f"b{i}" for i in range(LONGS))
 _SPACE = re.compile(rb"[ \t-\r]")
 #: The odd factor and the shift of a 64-bit mix.
@@ -105,9 +105,9 @@ def node_of(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def parity(own: np.ndarray) -> np.ndarray:
-    """For each of 64 * LONGS classes of hashes, whether an odd number of the shingles is in it; packed in longs."""
-    odd = np.bincount((own % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+def parity(own: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """For each of 64 * longs classes of hashes, whether an odd number of the shingles is in it; packed in longs."""
+    odd = np.bincount((own % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -241,7 +241,7 @@ def shared_lists(packed: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, own) of the sets ``wanted`` (row, node): only their texts are read again. Of repeated rows each task gives one."""
+    """(node, own, n, wide) of the sets ``wanted`` (row, node): only their texts are read again. Of repeated rows each task gives one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, given = Words(), set()
@@ -251,16 +251,16 @@ def set_table(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Dat
                 if node not in given and len(s) and node_of(s) == node:
                     given.add(node)
                     keep.append(i)
-            yield pd.DataFrame({"node": pdf["node"].iloc[keep], "own": [sets[i].tobytes() for i in keep]})
+            yield pd.DataFrame({"node": pdf["node"].iloc[keep], "own": [sets[i].tobytes() for i in keep], "n": [len(sets[i]) for i in keep], "wide": [parity(sets[i], WIDE) for i in keep]})
 
     rows = join_counted(_texts(docs), wanted, ["row"], "text").select("text", "node")
-    return rows.mapInPandas(run, "node long, own binary")
+    return rows.mapInPandas(run, "node long, own binary, n long, wide array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (u, v) that are similar, by binary search of the shingles of u in the set of v.
 
-    The sets of many u meet a copy of the set of their v, FOLLOWERS of them in a task at a time.
+    Pairs whose parity bits are too far apart go first. The sets of many u meet a copy of the set of their v, FOLLOWERS of them in a task at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,6 +279,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                     v.append(own_v)
             yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
+    of_u, of_v = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "uv")
+    total = F.col("n_u") + F.col("n_v")
+    apart = F.aggregate(F.zip_with("wide_u", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = pairs.join(of_u, "u").join(of_v, "v").filter(apart <= total - 2 * F.ceil(total * percent / (100 + percent)))
+    pairs = written(near.select("u", "v"))
+    sets = sets.select("node", "own")
     hubs = written(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     cut = F.ceil(F.col("n") / F.lit(FOLLOWERS)).cast("long")
     dealt = written(join_split(pairs, hubs, "v", "n").select("u", "v", F.pmod(F.xxhash64("u", "v"), cut).alias("salt")))
@@ -367,12 +373,10 @@ def candidates(lists: DataFrame, nodes: DataFrame, block: int = BLOCK, percent:
     counts = written(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     of_node = written(join_split(nodes.select("node", "n", "root", "lists", *BITS), counts, "root", "size"))
     listed = join_split(lists, of_node, "node", "lists").select("token", "node", "n", "size", "root", *BITS)
-    mixed = listed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("count"))
-    mixed = written(mixed.filter("low != high").select("token", "count"))
-    cut = F.ceil(F.col("count") / F.lit(block)).cast("long")
+    large = written(lists.groupBy("token").count().filter(F.col("count") > block))
     cells = (
-        join_split(written(listed), mixed, "token", "count")
-        .withColumn("cut", cut)
+        join_counted(listed, large, ["token"], "node", "left")
+        .withColumn("cut", F.coalesce(F.ceil(F.col("count") / F.lit(block)).cast("long"), F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
         .select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "size", "root", "own", (F.col("own") != F.col("other")).cast("long").alias("two"), *BITS)
