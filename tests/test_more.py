@@ -4,7 +4,8 @@ import json
 
 import numpy as np
 
-from wavesift.operators import stxm
+from wavesift.operators import bragg, stxm
+from wavesift.operators.engines import State
 from wavesift.plans import cli
 from wavesift.sources.datasource import MoonflowerSource
 from wavesift.sources.frames import moonflower
@@ -77,3 +78,14 @@ def test_autosave_and_description(spark, tmp_path):
     assert parts == {"content", "iter_info", "params"}
     assert files.run_paths("/x/", "r", "DM", 7)["result"] == "/x/r/result_DM_0007"
     assert Progress().table(spark).count() == 0
+
+
+def test_probe_update_of_volumes_is_plane_by_plane(spark):
+    rng = np.random.default_rng(3)
+    obj = 1 + 0.1 * rng.normal(size=(4, 16, 16)) + 0j
+    probe = rng.normal(size=(4, 8, 8)) + 1j * rng.normal(size=(4, 8, 8))
+    frames = bragg.bragg_scan(spark, probe, obj, [(0, 0), (3, 4), (8, 8)])
+    e = bragg.BraggDM(frames, State(probe.copy(), obj.copy()))
+    e.prepare()
+    e.probe_update()
+    assert np.allclose(e.state.probe, probe)  # waves of probe and object themselves

@@ -71,6 +71,8 @@ class BraggDM(DM):
     """
 
     support: BraggSupport | None = None
+    #: Plane by plane: the planes of a volume are no modes.
+    wave, probe_part, light = staticmethod(np.multiply), staticmethod(lambda patch, psi, modes: np.conj(patch) * psi), staticmethod(K.abs2)
 
     def prepare(self) -> None:
         depth = self.state.probe.shape[0]

@@ -263,6 +263,9 @@ class ProjectionEngine(Engine):
     #: Sums of frames that are kept elsewhere: object and probe (num, den), frames, power, top.
     kept: dict | None = None
 
+    #: Exit waves of a probe and a patch, their part in the probe's sum, and the light of a patch.
+    wave, probe_part, light = staticmethod(K.pairs), staticmethod(K.probe_sum), staticmethod(lambda patch: K.abs2(patch).sum(axis=0))
+
     def coefficients(self) -> tuple[float, float, float]:
         raise NotImplementedError
 
@@ -279,12 +282,12 @@ class ProjectionEngine(Engine):
         self.pbound = self.fourier_power_bound if self.fourier_power_bound is not None else 0.25 * self.fourier_relax_factor**2 * self.totals["top"] / npix
         if self.waves is not None:
             return
-        shared = self.broadcast()
+        shared, wave = self.broadcast(), type(self).wave
 
         def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             probe, obj = shared.value
             for pdf in batches:
-                waves = [K.pairs(probe, obj[:, r : r + n, c : c + n]).astype("<c16").tobytes() for r, c, n in zip(pdf["r0"], pdf["c0"], pdf["n"], strict=True)]
+                waves = [wave(probe, obj[:, r : r + n, c : c + n]).astype("<c16").tobytes() for r, c, n in zip(pdf["r0"], pdf["c0"], pdf["n"], strict=True)]
                 yield pdf.assign(exit=waves, err_fourier=0.0, err_photon=0.0, err_exit=0.0)
 
         self.waves = checkpoint(self.frames.mapInPandas(first, WITH_EXIT))
@@ -374,7 +377,7 @@ class ProjectionEngine(Engine):
 
     def probe_update(self) -> float:
         """P = (c P + sum conj(O) psi) / (c + sum |O|^2); returns the relative change."""
-        shared = self.broadcast()
+        shared, own, light = self.broadcast(), type(self).probe_part, type(self).light
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, (probe, obj) = TileSums(), shared.value
@@ -382,7 +385,7 @@ class ProjectionEngine(Engine):
                 for row in pdf.itertuples():
                     patch = obj[:, row.r0 : row.r0 + row.n, row.c0 : row.c0 + row.n]
                     psi = np.frombuffer(row.exit, "<c16").reshape(-1, row.n, row.n)
-                    sums.add("probe", K.probe_sum(patch, psi, len(probe)), np.broadcast_to(K.abs2(patch).sum(axis=0), probe.shape))
+                    sums.add("probe", own(patch, psi, len(probe)), np.broadcast_to(light(patch), probe.shape))
             yield sums.rows()
 
         num, den = (x.reshape(self.state.probe.shape) for x in collect_sums(self.waves.mapInPandas(partial, SUMS))["probe", 0, 0])
