@@ -1,5 +1,7 @@
 """Objects in tiles and several modes give what dense arrays give; domains have as many frames each."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,26 @@ def test_domains_are_fair_however_rows_cluster(spark, domains):
     assert own.columns == ["frame_idx", "r0", "c0", "domain"]
 
 
+def test_domains_are_cut_at_the_very_row_that_parts_them(spark):
+    """Against ranks in plain Python: many rows, level ones, and places that are null."""
+    rows = [(i, i * i % 977 // 100 if i % 7 else 3, i * 31 % 8 if i % 50 else None) for i in range(25_000)]
+
+    def parts(own, base, m):
+        if m == 1 or not own:
+            return dict.fromkeys((k for k, _, _ in own), base)
+        sides = [[r[c] for r in own if r[c] is not None] for c in (1, 2)]
+        wide = [max(s) - min(s) if s else None for s in sides]
+        c = 1 if None not in wide and wide[0] >= wide[1] else 2
+        own = sorted(own, key=lambda r: (r[c] is None, r[c] or 0, r[0]))
+        first = math.ceil((m // 2) * len(own) / m)
+        return parts(own[:first], base, m // 2) | parts(own[first:], base + m // 2, m - m // 2)
+
+    at = lambda k, x: None if x is None else x + k * 7919 % 10007 / 10007
+    expected = parts([(k, at(k, x), at(k, y)) for k, x, y in rows], 0, 12)
+    got = by_load(spark.createDataFrame(rows, "frame_idx long, r0 int, c0 int"), "r0", "c0", "frame_idx", 12).select("frame_idx", "domain").collect()
+    assert {r["frame_idx"]: r["domain"] for r in got} == expected
+
+
 def test_slices_of_domains_are_averaged_by_their_light(spark, data):
     frames, probes, objects = data
     shape, probe = objects.shape[1:], probes[:1]

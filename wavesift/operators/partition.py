@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavesift.plans.session import checkpoint
@@ -88,33 +88,66 @@ def region(x: Column, y: Column, n: int, how: str = "rect") -> Column:
 
 #: Rows of cuts that are broadcast; with more, rows are joined to them.
 CUTS = 50_000
+#: Ranks of approximate quantiles are wrong by a part of 1 / ACCURACY of a region at most.
+ACCURACY = 10_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= CUTS else df
+
+
+def _cuts(out: DataFrame, shares: Sequence[float], half: Column) -> DataFrame:
+    """(_base, _x, _cut, _at): the last row of each region's first part, by value and key; ``_x`` where x parts it.
+
+    Approximate quantiles bracket that row; rows below the bracket are counted and only those
+    within are ranked. Where a bracket has missed it, the whole region is its bracket.
+    """
+    over = F.col("_m") > 1
+    pick = F.array_position(F.array(*[F.lit(s) for s in shares]), F.floor(F.col("_m") / 2) / F.col("_m")).cast("int")
+    for slack in (4 / ACCURACY, 1.0):
+        ends = {f"{f.__name__}_{c}": f(c) for c in ("_u", "_v") for f in (F.min, F.max)}
+        around = {f"{side}{c}": F.percentile_approx(F.coalesce(c, F.lit(math.inf)), F.array(*[F.lit(min(max(s + d, 0.0), 1.0)) for s in shares]), F.lit(ACCURACY)) for c in ("_u", "_v") for side, d in (("lo", -slack), ("hi", slack))}
+        own = out.filter(over).groupBy("_base", "_m").agg(F.count(F.lit(1)).alias("_n"), *[e.alias(k) for k, e in ends.items()], *[e.alias(k) for k, e in around.items()])
+        across_x = F.coalesce(F.col("max__u") - F.col("min__u") >= F.col("max__v") - F.col("min__v"), F.lit(False))
+        side = lambda k: F.when(F.col("_x"), F.element_at(f"{k}_u", pick)).otherwise(F.element_at(f"{k}_v", pick)).alias(f"_{k}")
+        own = checkpoint(own.withColumn("_x", across_x).select("_base", "_x", F.ceil(half * F.col("_n") / F.col("_m")).alias("_rank"), side("lo"), side("hi")))
+        value = F.coalesce(F.when(F.col("_x"), F.col("_u")).otherwise(F.col("_v")), F.lit(math.inf)).alias("_cut")
+        near = out.filter(over).join(_small(own), "_base").select("_base", "_x", "_rank", "_lo", "_hi", value, F.col("_key").alias("_at")).filter("_cut <= _hi")
+        inside = {c: F.when(F.col("_cut") >= F.col("_lo"), F.col(c)) for c in ("_at", "_cut")}
+        ranked = near.withColumns(inside).groupBy("_base", "_x", "_rank", "_cut", "_at").agg(F.count(F.lit(1)).alias("_rows"))
+        upto = Window.partitionBy("_base").orderBy(F.asc_nulls_first("_cut"), F.asc_nulls_first("_at"))
+        ranked = ranked.withColumn("_upto", F.sum("_rows").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+        found = checkpoint(ranked.filter("_cut is not null and _upto >= _rank and _upto - _rows < _rank").select("_base", "_x", "_cut", "_at"))
+        if found.count() == own.count():
+            break
+    return found
 
 
 def by_load(df: DataFrame, x: str, y: str, key: str, domains: int, name: str = "domain") -> DataFrame:
-    """Adds one of ``domains`` regions with about as many rows each, however rows cluster.
+    """Adds one of ``domains`` regions with as many rows each but for one, however rows cluster.
 
     The plane is halved again and again across the longer side of a region, at the
     row that parts its share of the rows. Coordinates count as pixels: rows of one
     pixel are told apart by ``key`` (a whole number), so that a crowded pixel can be
-    cut, too. Rows lost to rounding are at most a ten-thousandth of a region.
+    cut, too; of rows that are level even so, those of the smaller key come first. Rows
+    of one key and pixel stay together. Places that are null come last.
     """
-    shift = F.pmod(F.col(key) * 7919, F.lit(10007)) / 10007
-    out = df.withColumns({"_base": F.lit(0), "_m": F.lit(domains), "_u": F.col(x) + shift, "_v": F.col(y) + shift})
-    sizes = {domains}
+    shift = F.col(key) * 7919 % F.lit(10007) / 10007
+    start = {"_base": F.lit(0), "_m": F.lit(domains), "_u": F.col(x) + shift, "_v": F.col(y) + shift, "_key": F.col(key)}
+    half = F.floor(F.col("_m") / 2).cast("int")
+    value = F.coalesce(F.when(F.col("_x"), F.col("_u")).otherwise(F.col("_v")), F.lit(math.inf))
+    left = F.coalesce((value < F.col("_cut")) | ((value == F.col("_cut")) & (F.col("_key") <= F.col("_at"))), F.lit(False))
+    split = (F.col("_m") > 1) & ~F.col("_left")
+
+    def parted(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+        joined = rows.join(_small(cuts), "_base", "left").withColumn("_left", left)
+        return joined.withColumns({"_base": F.when(split, F.col("_base") + half).otherwise(F.col("_base")), "_m": F.when(F.col("_m") == 1, 1).when(F.col("_left"), half).otherwise(F.col("_m") - half)}).drop("_x", "_cut", "_at", "_left")
+
+    out, sizes = df.withColumns(start), {domains}
+    if domains > 1:
+        narrow = checkpoint(out.select(*start))  # passes that look for cuts read no more than this
     while any(m > 1 for m in sizes):
-        shares = sorted({(m // 2) / m for m in sizes if m > 1})
-        ends = {f"{f.__name__}_{c}": f(c) for c in ("_u", "_v") for f in (F.min, F.max)}
-        cuts = {c: F.percentile_approx(c, F.array(*[F.lit(s) for s in shares]), F.lit(10_000)) for c in ("_u", "_v")}
-        own = out.filter("_m > 1").groupBy("_base", "_m").agg(*[e.alias(k) for k, e in ends.items()], *[c.alias(f"cut{k}") for k, c in cuts.items()])
-        at = F.array_position(F.array(*[F.lit(s) for s in shares]), F.floor(F.col("_m") / 2) / F.col("_m")).cast("int")
-        across_x = F.col("max__u") - F.col("min__u") >= F.col("max__v") - F.col("min__v")
-        own = checkpoint(own.select("_base", across_x.alias("_x"), F.when(across_x, F.element_at("cut_u", at)).otherwise(F.element_at("cut_v", at)).alias("_cut")))
-        if own.count() <= CUTS:
-            own = F.broadcast(own)
-        half = F.floor(F.col("_m") / 2).cast("int")
-        left = F.when(F.col("_x"), F.col("_u")).otherwise(F.col("_v")) <= F.col("_cut")
-        joined = out.join(own, "_base", "left").withColumn("_left", F.coalesce(left, F.lit(True)))
-        split = (F.col("_m") > 1) & ~F.col("_left")
-        out = joined.withColumns({"_base": F.when(split, F.col("_base") + half).otherwise(F.col("_base")), "_m": F.when(F.col("_m") == 1, 1).when(F.col("_left"), half).otherwise(F.col("_m") - half)}).drop("_x", "_cut", "_left")
+        cuts = _cuts(narrow, sorted({(m // 2) / m for m in sizes if m > 1}), half)
+        out, narrow = parted(out, cuts), parted(narrow, cuts)
         sizes = {h for m in sizes for h in ((m // 2, m - m // 2) if m > 1 else (1,))}
-    return out.withColumn(name, F.col("_base").cast("long")).drop("_base", "_m", "_u", "_v")
+    return out.withColumn(name, F.col("_base").cast("long")).drop(*start)
