@@ -164,3 +164,14 @@ def test_a_domain_holds_one_batch_of_frames(spark, data, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.allclose(*out)
     assert frames.filter(F.col("frame_idx") >= 0).count() == 20
+
+
+@pytest.mark.parametrize("name, domains", [("EPIEParallel", 4)])
+def test_sequential_engines_sweep_the_frames_of_exact_domains(spark, data, name, domains):
+    """The first cut of many frames is at its very rank."""
+    frames = spark.range(25_000).selectExpr("id AS frame_idx", "cast(id * id % 977 AS int) AS r0", "cast(id * 31 % 8 AS int) AS c0", "16 AS n", "cast('' AS binary) AS intensity", "cast('' AS binary) AS mask")
+    e = engines.by_name(name)(frames, State(data[1][:1], data[2][:1]), domains=domains)
+    e.prepare()
+    rows = sorted((r["r0"] + r["frame_idx"] * 7919 % 10007 / 10007, r["frame_idx"], r["domain"]) for r in e.dealt.collect())
+    first = math.ceil(domains // 2 * len(rows) / domains)
+    assert [r[2] < domains // 2 for r in rows] == [True] * first + [False] * (len(rows) - first)
