@@ -166,7 +166,7 @@ def test_a_domain_holds_one_batch_of_frames(spark, data, monkeypatch):
     assert frames.filter(F.col("frame_idx") >= 0).count() == 20
 
 
-@pytest.mark.parametrize("name, domains", [("EPIEParallel", 4), ("SDR", 3)])
+@pytest.mark.parametrize("name, domains", [("EPIEParallel", 4), ("SDR", 3), ("WASP", 6)])
 def test_sequential_engines_sweep_the_frames_of_exact_domains(spark, data, name, domains):
     """The first cut of many frames is at its very rank."""
     frames = spark.range(25_000).selectExpr("id AS frame_idx", "cast(id * id % 977 AS int) AS r0", "cast(id * 31 % 8 AS int) AS c0", "16 AS n", "cast('' AS binary) AS intensity", "cast('' AS binary) AS mask")
