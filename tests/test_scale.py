@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wavesift.operators import engines, posref
+from wavesift.operators import engines, posref, tiled
 from wavesift.operators.engines import State, TileSums, collect_sums, tree_levels
 from wavesift.sources.frames import moonflower
 
@@ -65,3 +65,23 @@ def test_large_states_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(engines, "BROADCAST_BYTES", 1000)
     with pytest.raises(ValueError, match="broadcast"):
         engines.DM(frames, State(probe[None].astype(complex), obj[None])).run()
+
+
+@pytest.mark.parametrize("engine", ["AP"])
+@pytest.mark.parametrize("before", ["64m", "67108864b", "1000"])
+def test_workers_of_engines_get_frames_in_small_batches(spark, engine, before):
+    """What a worker holds at a time does not grow with the frames of its task; lower limits stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    frames = spark.range(0, 3000, 1, 1).selectExpr("id AS frame_idx", "0 AS r0", "0 AS c0", "32 AS n", "cast(repeat('abcd', 1024) AS binary) AS intensity", "cast(repeat('a', 1024) AS binary) AS mask")
+
+    def held(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"b": [int(pdf["intensity"].str.len().sum() + pdf["mask"].str.len().sum())]})
+
+    spark.conf.set(key, before)
+    try:
+        getattr(tiled if engine.startswith("Tiled") else engines, engine)(frames, State(np.ones((1, 32, 32), complex), np.ones((1, 32, 32), complex)))
+        sizes = [r["b"] for r in frames.mapInPandas(held, "b long").collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sum(sizes) == 3000 * 5120 and max(sizes) <= (8 << 10 if before == "1000" else 2 << 20)

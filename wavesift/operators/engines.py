@@ -23,7 +23,7 @@ from wavesift.functions import kernels as K
 from wavesift.functions.arrays import grids, mass_center
 from wavesift.functions.special import gaussian_filter, shift_zoom
 from wavesift.operators.partition import by_load
-from wavesift.plans.session import checkpoint
+from wavesift.plans.session import checkpoint, small_batches
 
 TILE = 256
 #: Probe and object go out by broadcast up to this size.
@@ -160,6 +160,9 @@ class Engine:
     prepared: bool = field(default=False, init=False)
     name = "engine"
 
+    def __post_init__(self) -> None:
+        small_batches(self.frames.sparkSession)
+
     def prepare(self) -> None:
         """Called once before the first iteration, and again when frames are new."""
 

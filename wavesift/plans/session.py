@@ -25,6 +25,18 @@ def session(master: str | None = None, **settings) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of the batches that Python workers of engines get: what a worker holds does not grow with its frames.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch; a row is never cut."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([bkmgtp]?)b?", spark.conf.get(key, "64m").lower())
+    if not size or int(size[1]) << 10 * "bkmgtp".index(size[2] or "b") > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset a temporary folder on one machine, an error on a cluster."""
     sc = spark.sparkContext
