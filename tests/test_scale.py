@@ -67,7 +67,7 @@ def test_large_states_are_not_broadcast(spark, monkeypatch):
         engines.DM(frames, State(probe[None].astype(complex), obj[None])).run()
 
 
-@pytest.mark.parametrize("engine", ["AP", "TiledDM", "TiledRAAR"])
+@pytest.mark.parametrize("engine", ["AP", "TiledDM", "TiledRAAR", "RAAR"])
 @pytest.mark.parametrize("before", ["64m", "67108864b", "1000"])
 def test_workers_of_engines_get_frames_in_small_batches(spark, engine, before):
     """What a worker holds at a time does not grow with the frames of its task; lower limits stay."""
