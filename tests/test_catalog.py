@@ -47,7 +47,7 @@ def six_times(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["engine_epieparallel", "engine_sdr"])
+@pytest.mark.parametrize("name", ["engine_epieparallel", "engine_sdr", "engine_wasp"])
 def test_sequential_engine_matches_sql_where_ranks_must_be_exact(spark, six_times, name):
     df = entry.queries()[name](spark, six_times)
     con = duckdb.connect()
